@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, urls, warc
+from . import licenses, media, mixing, ngram_join, urls, warc
 
 QUERIES = {
     "op3_license_scan": licenses.op3,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_source_mix": mixing.op5,
     "op7_url_filter": urls.op7,
     "op9_warc_dictionary": warc.op9,
+    "op10_ngram_jaccard": ngram_join.op10,
 }
 SQL = {"op5_source_mix": mixing.OP5_SQL, "op7_url_filter": urls.OP7_SQL}
