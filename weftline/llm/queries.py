@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, ngram_join, urls, warc
+from . import digest, html_text, licenses, media, mixing, ngram_join, packing, quality, urls, warc
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
+    "op2_html_main_text": html_text.op2,
     "op3_license_scan": licenses.op3,
     "op4_media_sniff": media.op4,
     "op5_source_mix": mixing.op5,
+    "op6_quality_attention": quality.op6,
     "op7_url_filter": urls.op7,
+    "op8_improbable_digest": digest.op8,
     "op9_warc_dictionary": warc.op9,
     "op10_ngram_jaccard": ngram_join.op10,
 }
