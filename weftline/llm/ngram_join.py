@@ -11,7 +11,8 @@ How it runs:
 3. Equal sets collapse into classes. In each prefix token's list the class with the largest shared part is the
    leader; every other class is verified against the leader it shares most lists with. Links make components.
 4. Pairs of one component need no look. What is left of each list, across components, is checked against the
-   multi-match and length filters, and every pair that passes is verified: no link is lost.
+   multi-match filter and bounds from lengths, places and classes both have met, and every pair that passes is
+   verified: no link is lost.
 
 Token ids are the first 46 bits or more of a 64-bit hash, class ids 128 bits of two sums over the set.
 
@@ -248,63 +249,88 @@ def shared_sets(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+    """(a, b, same, linked) for the pairs (a, b) of classes: the size of their intersection and whether they link."""
     one = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     two = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     both = pairs.select("a", "b").join(one, "b").join(two, "a")
     same = F.size(F.array_intersect("ta", "tb"))
-    return both.select("a", "b", "na", "nb", same.alias("same")).filter(f"100 * same >= {PERCENT} * (na + nb - same)").select("a", "b")
+    return both.select("a", "b", "na", "nb", same.alias("same")).select("a", "b", "same", F.expr(f"100 * same >= {PERCENT} * (na + nb - same)").alias("linked"))
 
 
-def possible(na, ca, nb, cb):
-    """Length filters: the least intersection for a link fits into what either set shares with anyone."""
-    least = F.ceil(F.lit(PERCENT) * (na + nb) / F.lit(100 + PERCENT))
-    return (least <= F.least(ca, cb)) & (least <= F.least(na, nb))
+def least_same(na: str, nb: str) -> str:
+    """SQL for the least intersection with which sets of na and nb shingles link."""
+    whole = 100 + PERCENT
+    return f"(({PERCENT} * ({na} + {nb}) + {whole - 1}) div {whole})"
+
+
+#: Whether x can link with the row's class: its length and what either shares with anyone; what can still be shared
+#: before and behind this token in the common order; and, for a class p that both have met (same y.i and z.i of p's
+#: tokens), no more than the less of these and the less of what either shares outside of p.
+POSSIBLE = f"""
+x.g <> g and {least_same("n", "x.n")} <= least(k, x.k, n, x.n)
+and {least_same("n", "x.n")} <= least(at, x.at) + 1 + least(k - at - 1, x.k - x.at - 1)
+and not exists(met, y -> exists(x.met, z -> z.p = y.p and {least_same("n", "x.n")} > least(y.i, z.i) + least(k - y.i, x.k - z.i)))
+"""
+FOUND_SQL = "c long, b array<long>"
+
+
+def multi_match(rows: pa.Table) -> pa.Table:
+    """Of a class, the partners that share as many prefix tokens as the lesser l of the two asks for."""
+    b = np.concatenate([np.asarray(x, np.int64) for x in rows.column("b").to_pylist()])
+    l = np.concatenate([np.asarray(x, np.int64) for x in rows.column("lb").to_pylist()])  # noqa: E741
+    partner, first, count = np.unique(b, return_index=True, return_counts=True)
+    enough = partner[count >= np.minimum(l[first], rows.column("l")[0].as_py())]
+    return pa.table({"c": pa.array([rows.column("c")[0].as_py()], pa.int64()), "b": pa.array([enough], pa.list_(pa.int64()))})
 
 
 def link_classes(sets: DataFrame) -> DataFrame:
     """Steps 3 and 4 over classes (c, n, k, l, prefix, tokens): (id, label) of the classes that link with another."""
     spark = sets.sparkSession
-    every = sets.select("c", "n", "k", "l", F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("t"))
+    every = sets.select("c", "n", "k", "l", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("at", "t"))
     often = every.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").select("t")
     lists = staged(every.join(often, "t"), "prefix-lists")
-    label = links = None
+    label = seen = None
     rank = F.struct((F.col("k") / F.col("n")).alias("r"), (-F.col("n")).alias("n"), F.col("c").alias("c"), F.col("k").alias("k"))
     before = None
     while True:
-        known = lists.withColumn("g", F.col("c")) if label is None else lists.join(label.select(F.col("id").alias("c"), F.col("label").alias("_g")), "c", "left").withColumn("g", F.coalesce("_g", "c")).drop("_g")
-        known = staged(known, "prefix-lists-known") if label is not None else known
+        known = lists.withColumn("g", F.col("c"))
+        if label is not None:
+            named = label.select(F.col("id").alias("c"), F.col("label").alias("_g"))
+            known = staged(lists.join(named, "c", "left").withColumn("g", F.coalesce("_g", "c")).drop("_g"), "prefix-lists-known")
         groups = known.groupBy("t", "g").agg(F.count("*").alias("m"), F.max(rank).alias("top"))
-        # A leader of the first round is the best of its list; of a later one, the best outside the list's largest component.
         big = groups.groupBy("t").agg(F.max(F.struct("m", "g")).alias("big"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
         left, rows = big.agg(F.sum(F.expr("(all - big.m) * all")), F.sum("all")).first()
-        if label is not None and (not left or left <= 8 * rows or (before is not None and left > 0.7 * before)):
+        if not left or (label is not None and (left <= 8 * rows or left > 0.7 * before)):
             break
-        if not left:
-            return spark.createDataFrame([], "id long, label long")
-        before = left if label is not None else None
+        before = left
+        # A leader of the first round is the best of its list; of a later one, the best outside the list's largest component.
         chosen = groups.join(big.select("t", F.col("big.g").alias("bg")), "t")
         if label is not None:
             chosen = chosen.filter("g <> bg")
         leader = chosen.groupBy("t").agg(F.max("top").alias("top")).select("t", F.col("top.c").alias("b"), (-F.col("top.n")).alias("nb"), F.col("top.k").alias("kb"))
         leader = leader.join(known.select("t", F.col("c").alias("b"), F.col("g").alias("gb")), ["t", "b"])
-        met = known.join(leader, "t").filter("c <> b and (g <> gb)").filter(possible(F.col("n"), F.col("k"), F.col("nb"), F.col("kb")))
+        met = known.join(leader, "t").filter(f"c <> b and g <> gb and {least_same('n', 'nb')} <= least(k, kb, n, nb)")
         best = met.groupBy("c", "b").agg(F.count("*").alias("m")).groupBy("c").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-        more = staged(verified(best.select(F.col("c").alias("a"), "b"), sets), "star-links")
-        links = more if links is None else links.union(more)
-        label = staged(components(links), "class-labels")
+        more = staged(verified(best.select(F.col("c").alias("a"), "b"), sets), "star-pairs")
+        seen = more if seen is None else seen.union(more)
+        label = staged(components(seen.filter("linked")), "class-labels")
+    if label is None:
+        return spark.createDataFrame([], "id long, label long")
+    if not left:
+        return label
     # The rest, exactly: members outside a list's largest component against the whole list.
-    rest = known.join(big.select("t", F.col("big.g").alias("bg")), "t")
-    member = F.struct("c", "g", "n", "k", "l")
+    own = seen.select(F.col("b").alias("c")).distinct().join(sets.select("c", F.col("k").alias("same")), "c").select("c", F.col("c").alias("p"), "same")
+    met = seen.select(F.col("a").alias("c"), F.col("b").alias("p"), "same").union(own).groupBy("c").agg(F.collect_list(F.struct("p", F.col("same").alias("i"))).alias("met"))
+    known = known.join(met, "c", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<p:long,i:int>>")))
+    member = F.struct("c", "g", "n", "k", "l", "at", "met")
     spread = F.pmod(F.xxhash64("c"), F.ceil(F.col("all") / F.lit(BLOCK))).alias("block")
-    blocks = known.join(big.select("t", "all"), "t").groupBy("t", spread).agg(F.collect_list(member).alias("members"))
-    met = rest.filter("g <> bg").select("t", "c", "g", "n", "k", "l").join(blocks.select("t", "members"), "t")
-    fits = F.filter("members", lambda x: (x["g"] != F.col("g")) & possible(F.col("n"), F.col("k"), x["n"], x["k"]))
-    met = met.select("c", "l", F.transform(fits, lambda x: F.struct(x["c"].alias("b"), x["l"].alias("lb"))).alias("found")).filter("size(found) > 0")
-    many = met.select("c", "l", F.explode("found").alias("x")).groupBy("c", F.col("x.b").alias("b")).agg(F.count("*").alias("m"), F.min(F.least(F.col("l"), F.col("x.lb"))).alias("l")).filter("m >= l")
-    pairs = many.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
-    links = links.union(staged(verified(pairs, sets), "rest-links"))
-    return staged(components(links), "class-labels")
+    blocks = known.join(big.select("t", "all"), "t").groupBy("t", spread).agg(F.collect_list(member).alias("members")).select("t", "members")
+    rest = known.join(big.select("t", F.col("big.g").alias("bg")), "t").filter("g <> bg").select("t", "c", "g", "n", "k", "l", "at", "met")
+    fits = rest.join(blocks, "t").select("c", "l", F.expr(f"filter(members, x -> {POSSIBLE})").alias("found")).filter("size(found) > 0")
+    many = fits.select("c", "l", F.col("found.c").alias("b"), F.col("found.l").alias("lb")).groupBy("c").applyInArrow(multi_match, FOUND_SQL)
+    pairs = many.select("c", F.explode("b").alias("b")).select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+    rest_links = staged(verified(pairs, sets), "rest-pairs").filter("linked")
+    return staged(components(seen.filter("linked").select("a", "b").union(rest_links.select("a", "b"))), "class-labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
