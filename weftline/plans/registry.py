@@ -1,4 +1,6 @@
 """Registered queries over the tables-as-graph and the SQL that answers them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import graph_queries
+
+QUERIES: dict = {**graph_queries.QUERIES}
+SQL: dict = {**graph_queries.SQL}
