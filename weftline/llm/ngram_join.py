@@ -283,54 +283,46 @@ def multi_match(rows: pa.Table) -> pa.Table:
     return pa.table({"c": pa.array([rows.column("c")[0].as_py()], pa.int64()), "b": pa.array([enough], pa.list_(pa.int64()))})
 
 
+def leaders(known: DataFrame, sets: DataFrame, outside: bool) -> DataFrame:
+    """(a, b, same, linked): each class with the leader that it shares most lists with. A list's leader is the class that
+    shares the largest part of itself; `outside`: of those that are not in the list's largest group."""
+    rank = F.struct((F.col("k") / F.col("n")).alias("r"), (-F.col("n")).alias("n"), F.col("c").alias("c"), F.col("k").alias("k"), F.col("g").alias("g"))
+    groups = known.groupBy("t", "g").agg(F.count("*").alias("m"), F.max(rank).alias("top"))
+    whole = groups.groupBy("t").agg(F.max(F.struct("m", "g")).alias("big"), F.max("top").alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    if outside:
+        whole = groups.join(whole.select("t", F.col("big.g").alias("bg")), "t").filter("g <> bg").groupBy("t").agg(F.max("top").alias("top"))
+    leader = whole.select("t", F.col("top.c").alias("b"), (-F.col("top.n")).alias("nb"), F.col("top.k").alias("kb"), F.col("top.g").alias("gb"))
+    met = known.join(leader, "t").filter(f"c <> b and g <> gb and {least_same('n', 'nb')} <= least(k, kb, n, nb)")
+    best = met.groupBy("c", "b").agg(F.count("*").alias("m")).groupBy("c").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+    return staged(verified(best.select(F.col("c").alias("a"), "b"), sets), "leader-pairs")
+
+
 def link_classes(sets: DataFrame) -> DataFrame:
     """Steps 3 and 4 over classes (c, n, k, l, prefix, tokens): (id, label) of the classes that link with another."""
-    spark = sets.sparkSession
     every = sets.select("c", "n", "k", "l", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("at", "t"))
     often = every.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").select("t")
     lists = staged(every.join(often, "t"), "prefix-lists")
-    label = seen = None
-    rank = F.struct((F.col("k") / F.col("n")).alias("r"), (-F.col("n")).alias("n"), F.col("c").alias("c"), F.col("k").alias("k"))
-    before = None
-    while True:
-        known = lists.withColumn("g", F.col("c"))
-        if label is not None:
-            named = label.select(F.col("id").alias("c"), F.col("label").alias("_g"))
-            known = staged(lists.join(named, "c", "left").withColumn("g", F.coalesce("_g", "c")).drop("_g"), "prefix-lists-known")
-        groups = known.groupBy("t", "g").agg(F.count("*").alias("m"), F.max(rank).alias("top"))
-        big = groups.groupBy("t").agg(F.max(F.struct("m", "g")).alias("big"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-        left, rows = big.agg(F.sum(F.expr("(all - big.m) * all")), F.sum("all")).first()
-        if not left or (label is not None and (left <= 8 * rows or left > 0.7 * before)):
-            break
-        before = left
-        # A leader of the first round is the best of its list; of a later one, the best outside the list's largest component.
-        chosen = groups.join(big.select("t", F.col("big.g").alias("bg")), "t")
-        if label is not None:
-            chosen = chosen.filter("g <> bg")
-        leader = chosen.groupBy("t").agg(F.max("top").alias("top")).select("t", F.col("top.c").alias("b"), (-F.col("top.n")).alias("nb"), F.col("top.k").alias("kb"))
-        leader = leader.join(known.select("t", F.col("c").alias("b"), F.col("g").alias("gb")), ["t", "b"])
-        met = known.join(leader, "t").filter(f"c <> b and g <> gb and {least_same('n', 'nb')} <= least(k, kb, n, nb)")
-        best = met.groupBy("c", "b").agg(F.count("*").alias("m")).groupBy("c").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-        more = staged(verified(best.select(F.col("c").alias("a"), "b"), sets), "star-pairs")
-        seen = more if seen is None else seen.union(more)
-        label = staged(components(seen.filter("linked")), "class-labels")
-    if label is None:
-        return spark.createDataFrame([], "id long, label long")
-    if not left:
-        return label
-    # The rest, exactly: members outside a list's largest component against the whole list.
+    first = leaders(lists.withColumn("g", F.col("c")), sets, outside=False)
+    # Groups so far: a class goes with its leader, and the leader with its own. Same group, same component.
+    up = first.filter("linked").select(F.col("a").alias("c"), F.col("b").alias("g"))
+    up = up.join(up.select(F.col("c").alias("g"), F.col("g").alias("gg")), "g", "left").select("c", F.coalesce("gg", "g").alias("g"))
+    known = staged(lists.join(up, "c", "left").withColumn("g", F.coalesce("g", "c")), "prefix-lists-known")
+    seen = first.union(leaders(known, sets, outside=True))
+    # The rest, exactly: members outside a list's largest group against the whole list.
+    groups = known.groupBy("t", "g").agg(F.count("*").alias("m"))
+    big = groups.groupBy("t").agg(F.max(F.struct("m", "g")).alias("big"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1").select("t", F.col("big.g").alias("bg"), "all")
     own = seen.select(F.col("b").alias("c")).distinct().join(sets.select("c", F.col("k").alias("same")), "c").select("c", F.col("c").alias("p"), "same")
     met = seen.select(F.col("a").alias("c"), F.col("b").alias("p"), "same").union(own).groupBy("c").agg(F.collect_list(F.struct("p", F.col("same").alias("i"))).alias("met"))
-    known = known.join(met, "c", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<p:long,i:int>>")))
+    open_lists = known.join(big, "t").join(met, "c", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<p:bigint,i:int>>")))
     member = F.struct("c", "g", "n", "k", "l", "at", "met")
     spread = F.pmod(F.xxhash64("c"), F.ceil(F.col("all") / F.lit(BLOCK))).alias("block")
-    blocks = known.join(big.select("t", "all"), "t").groupBy("t", spread).agg(F.collect_list(member).alias("members")).select("t", "members")
-    rest = known.join(big.select("t", F.col("big.g").alias("bg")), "t").filter("g <> bg").select("t", "c", "g", "n", "k", "l", "at", "met")
+    blocks = open_lists.groupBy("t", spread).agg(F.collect_list(member).alias("members")).select("t", "members")
+    rest = open_lists.filter("g <> bg").select("t", "c", "g", "n", "k", "l", "at", "met")
     fits = rest.join(blocks, "t").select("c", "l", F.expr(f"filter(members, x -> {POSSIBLE})").alias("found")).filter("size(found) > 0")
     many = fits.select("c", "l", F.col("found.c").alias("b"), F.col("found.l").alias("lb")).groupBy("c").applyInArrow(multi_match, FOUND_SQL)
     pairs = many.select("c", F.explode("b").alias("b")).select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
-    rest_links = staged(verified(pairs, sets), "rest-pairs").filter("linked")
-    return staged(components(seen.filter("linked").select("a", "b").union(rest_links.select("a", "b"))), "class-labels")
+    rest_pairs = staged(verified(pairs, sets), "rest-pairs")
+    return staged(components(seen.union(rest_pairs).filter("linked")), "class-labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
