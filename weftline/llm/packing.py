@@ -12,12 +12,14 @@ an empty table gives an empty table; columns other than doc_id and text are left
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,31 +28,62 @@ from .common import staged, table
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, SEPARATOR = 2048, 0
 #: Pieces of a first partition, partitions that pool their gaps, words whose ids a task remembers.
-PART_PIECES, FAN, REMEMBERED = 8_000, 8, 400_000
+PART_PIECES, FAN, REMEMBERED = 8_000, 8, 500_000
 
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: How this vocabulary's tokenizer cuts a lower-cased word, for ASCII and for Latin letters (fixed pattern of its file).
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+LATIN_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Below this character, lower case and composition are a character's own affair; other words go to the tokenizer whole.
+PLAIN_BELOW = "\u0130"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Token ids of whole texts. This vocabulary never joins across white space, so each task remembers the ids
-    of words; a text for which that may not hold goes through the tokenizer whole."""
+    """Token ids of whole texts. This vocabulary never joins across white space, so each task remembers the ids of words
+    and of their pieces; the tokenizer's model sees each new piece once. Words beyond Latin letters go through the whole
+    tokenizer, and so does a text with special tokens or separators that Python and the tokenizer see differently."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def piece(self, text: str) -> bytes:
+        ids = self.pieces.get(text)
+        if ids is None:
+            raw = text if text.isascii() else text.encode().decode("latin-1")
+            ids = self.pieces[text] = b"".join([self.packed[t.id] for t in self.model.tokenize(raw.translate(self.letters))])
+        return ids
+
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            self.known.update(zip(part, self.plain(part), strict=True))
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        known, piece, odd = self.known, self.piece, []
+        for w in words:
+            if w.isascii():
+                known[w] = b"".join(map(piece, ASCII_PIECES.findall(w.lower())))
+            elif max(w) < PLAIN_BELOW:
+                known[w] = b"".join(map(piece, LATIN_PIECES.findall(w.lower())))
+            else:
+                odd.append(w)
+        known.update(zip(odd, self.plain(odd) if odd else [], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -58,15 +91,12 @@ class Encoder:
         split = [t.split() for t in texts]
         for i in whole:
             split[i] = []
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                for words in split:
-                    new.update(words)
-            self.learn(new)
+        words = set().union(*split)
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = words
+        self.learn(new)
         known = self.known
         out = [b"".join([known[w] for w in words]) for words in split]
         for i, ids in zip(whole, self.plain([texts[i] for i in whole]) if whole else [], strict=True):
