@@ -269,19 +269,19 @@ def adjacency(spark, d):
 
 
 def node_vectors(spark, d):
-    parts = fixture.table(spark, d, "part").select((F.lit(fixture.PART) + F.col("p_partkey")).cast("long").alias("id"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("vector"))
-    orders = fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"), F.array(F.lit(0.0), "o_totalprice").alias("vector"))
+    parts = fixture.table(spark, d, "part").select((F.lit(fixture.PART) + F.col("p_partkey")).cast("long").alias("id"), F.array(F.col("p_size").cast("double"), F.floor("p_retailprice").cast("double")).alias("vector"))
+    orders = fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"), F.array(F.lit(0.0), F.floor("o_totalprice").cast("double")).alias("vector"))
     return parts.unionByName(orders)
 
 
-_vectors = """f AS (SELECT 5000000000000 + p_partkey AS id, unnest([0, 1]) AS "at", unnest([p_size::DOUBLE, p_retailprice]) AS value FROM part
-  UNION ALL SELECT 4000000000000 + o_orderkey, unnest([0, 1]), unnest([0.0::DOUBLE, o_totalprice]) FROM orders),
+_vectors = """f AS (SELECT 5000000000000 + p_partkey AS id, unnest([0, 1]) AS "at", unnest([p_size::DOUBLE, floor(p_retailprice)]) AS value FROM part
+  UNION ALL SELECT 4000000000000 + o_orderkey, unnest([0, 1]), unnest([0.0::DOUBLE, floor(o_totalprice)]) FROM orders),
 q AS (SELECT DISTINCT id, other_id FROM incidence UNION SELECT DISTINCT id, id FROM f)"""
 
 
-@query(f"""{with_tables('incidence')}, {_vectors} SELECT q.id, "at", round(avg(value), 2) AS value FROM q JOIN f ON f.id = q.other_id GROUP BY ALL""")
+@query(f"""{with_tables('incidence')}, {_vectors} SELECT q.id, "at", round(avg(value), 6) AS value FROM q JOIN f ON f.id = q.other_id GROUP BY ALL""")
 def pooled_mean(spark, d):
-    return graph.pool(node_vectors(spark, d), inc(spark, d)).select("id", "at", F.round("value", 2).alias("value"))
+    return graph.pool(node_vectors(spark, d), inc(spark, d)).select("id", "at", F.round("value", 6).alias("value"))
 
 
 @query(f"""{with_tables('incidence')}, {_vectors} SELECT q.id, "at", max(value) AS value FROM q JOIN f ON f.id = q.other_id GROUP BY ALL""")

@@ -1,6 +1,6 @@
 """Registered queries over the tables-as-graph and the SQL that answers them."""
 
-from . import graph_queries
+from . import fusion_queries, graph_queries
 
-QUERIES: dict = {**graph_queries.QUERIES}
-SQL: dict = {**graph_queries.SQL}
+QUERIES: dict = {**graph_queries.QUERIES, **fusion_queries.QUERIES}
+SQL: dict = {**graph_queries.SQL, **fusion_queries.SQL}
