@@ -107,7 +107,7 @@ def family_last(c: Column, separators: tuple[str, ...] = (" - ", ", ")) -> Colum
     """"Family - First" and "Family, First" as "First Family"; only where there are two parts."""
     for s in separators:
         parts = F.split(c, re.escape(s))
-        c = F.when(F.size(parts) == 2, F.concat(parts[1], F.lit(" "), parts[0])).otherwise(c)
+        c = F.when(F.size(parts) == 2, F.concat(F.get(parts, 1), F.lit(" "), F.get(parts, 0))).otherwise(c)
     return c
 
 
@@ -115,9 +115,10 @@ def names_of_item(c: Column) -> Column:
     """An item's names: up to the first of ",;:", cut at " and "; of two, the first gets the last words of the second
     from its own length on, unless the second begins with "his" or "her"."""
     clauses = F.split(F.regexp_replace(c, r"(?s)[,;:].*", ""), " and ")
-    first, second = F.split(clauses[0], " "), F.split(clauses[1], " ")
-    whole = F.concat_ws(" ", clauses[0], F.when(F.size(second) > F.size(first), F.array_join(F.slice(second, F.size(first) + 1, F.greatest(F.size(second) - F.size(first), F.lit(0))), " ")))
-    return F.when((F.size(clauses) == 2) & ~clauses[1].rlike("^(his|her)"), F.array(whole, clauses[1])).otherwise(clauses)
+    head, tail = F.get(clauses, 0), F.get(clauses, 1)
+    first, second = F.split(head, " "), F.split(tail, " ")
+    whole = F.concat_ws(" ", head, F.when(F.size(second) > F.size(first), F.array_join(F.slice(second, F.size(first) + 1, F.greatest(F.size(second) - F.size(first), F.lit(0))), " ")))
+    return F.when((F.size(clauses) == 2) & ~tail.rlike("^(his|her)"), F.array(whole, tail)).otherwise(clauses)
 
 
 def trigrams(c: Column) -> Column:

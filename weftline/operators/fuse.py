@@ -65,7 +65,9 @@ def nearest_names(cand: DataFrame, max_distance: float = 0.05) -> DataFrame:
     smallest id of equals."""
     keyed = cand.select("id", "name", names.phonetic_key(F.col("name")).alias("key")).filter("key is not null")
     grams = keyed.withColumn("set", F.array_join(F.array_sort(names.trigrams(F.col("key"))), "\u0001"))
-    lowest = grams.groupBy("set").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.sort_array(F.collect_set("id"))[1].alias("second"))
+    lowest = grams.groupBy("set").agg(F.min("id").alias("first"), F.min("key").alias("key"))
+    others = grams.join(lowest.select("set", "first"), "set").filter("id <> first").groupBy("set").agg(F.min("id").alias("second"))
+    lowest = lowest.join(others, "set", "left")
     same = lowest.select("set", "set", F.lit(1.0).alias("sim"), "first", "second").toDF("set", "other", "sim", "first", "second")
     near = similar_pairs(lowest, "key", 1 - max_distance)
     both = near.select("x", "y", "sim").union(near.select("y", "x", "sim"))

@@ -227,11 +227,11 @@ def resolve_dates(spark, d):
 
 @query("""WITH w AS (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part),
 g AS (SELECT DISTINCT p_partkey, substr('  ' || w || ' ', i, 3) AS g FROM w, range(1, 60) r(i) WHERE i <= length(w) + 1),
-q AS (SELECT DISTINCT substr('  ' || w || ' ', i, 3) AS g FROM (SELECT unnest(['part', '12']) AS w), range(1, 60) r(i) WHERE i <= length(w) + 1),
+q AS (SELECT DISTINCT substr('  ' || w || ' ', i, 3) AS g FROM (SELECT unnest(['red', 'widgets']) AS w), range(1, 60) r(i) WHERE i <= length(w) + 1),
 n AS (SELECT p_partkey, count(*) AS n, count(*) FILTER (WHERE g IN (SELECT g FROM q)) AS k FROM g GROUP BY ALL)
 SELECT p_partkey, round(k / (n + (SELECT count(*) FROM q) - k)::DOUBLE, 6) AS sim FROM n WHERE k / (n + (SELECT count(*) FROM q) - k)::DOUBLE > 0.3 ORDER BY k / (n + (SELECT count(*) FROM q) - k)::DOUBLE DESC, (SELECT p_name FROM part p WHERE p.p_partkey = n.p_partkey), p_partkey LIMIT 20""")
 def similar_search(spark, d):
-    return fuse.search_similar(fixture.table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "part 12").select("p_partkey", F.round("sim", 6).alias("sim"))
+    return fuse.search_similar(fixture.table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "red widgets").select("p_partkey", F.round("sim", 6).alias("sim"))
 
 
 @query("""WITH v AS (SELECT c_custkey, list(o_totalprice ORDER BY o_totalprice DESC) AS v FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
