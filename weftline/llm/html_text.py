@@ -194,7 +194,7 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
-def choose(root: Node, nodes: list[Node]) -> tuple[list[Node], float]:
+def choose(root: Node, nodes: list[Node]) -> tuple[list[Node | str], float]:
     """The subtrees of the main text and the threshold of the path above the densest."""
     best = max(nodes, key=lambda n: (n.sum, -n.tags))
     if best.sum <= 0:
@@ -211,16 +211,24 @@ def choose(root: Node, nodes: list[Node]) -> tuple[list[Node], float]:
     articles = [n for n in nodes if n.name == "article" and n.chars]
     if articles and sum(n.chars for n in articles) >= best.chars:
         return [max(articles, key=lambda n: n.chars)], threshold
-    # Headings beside the path belong to the text below them.
-    heads, node = [], best
+    # Beside the path: what is as dense as the path itself and no list of links, and headings before it.
+    parts: list[Node | str] = [best]
+    node = best
     while node.parent is not None:
-        before = node.parent.children[: node.parent.children.index(node)]
-        heads = [c for c in before if isinstance(c, Node) and not c.drop and c.name in ("h1", "h2") and c.chars] + heads
+        here = next(k for k, c in enumerate(node.parent.children) if c is node)
+        before, after = node.parent.children[:here], node.parent.children[here + 1 :]
+        parts = [c for c in before if beside(c, threshold) or isinstance(c, Node) and not c.drop and c.name in ("h1", "h2") and c.chars] + parts + [c for c in after if beside(c, threshold)]
         node = node.parent
-    return [*heads, best], threshold
+    return parts, threshold
 
 
-def blocks(node: Node, threshold: float) -> list[str]:
+def beside(part: Node | str, threshold: float) -> bool:
+    if isinstance(part, str):
+        return len(part.strip()) > threshold
+    return not part.drop and part.chars > 0 and part.density >= threshold and 2 * part.link_chars <= part.chars
+
+
+def blocks(node: Node | str, threshold: float) -> list[str]:
     """Texts of the blocks below a node, in page order; white space made one blank."""
     out, run = [], []
 
