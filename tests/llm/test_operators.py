@@ -111,7 +111,7 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="no-s
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        (None, ""), ("", ""), ("   ", ""), ("plain <b>x</b>\n y", "plain x y"), (PAGE, "Title & more Onetwo three four five <6 7"), ("<p>some words stand here<table><tr><td>cell one<td>cell two</table><div><a href=x>only a link here</a></div>", "some words stand here cell one cell two"),
+        (None, ""), ("", ""), ("   ", ""), ("plain <b>x</b>\n y", "plain x y"), (PAGE, "Title & more Onetwo three four five <6 7"), ("<p>some words stand here<table><tr><td>cell one<td>cell two</table><div><a href=x>links</a><a href=y>only</a><a href=z>here</a></div>", "some words stand here cell one cell two"),
         ("<body><div class=menu><a href=x>a</a></div><div id=content><h2>T</h2><p>long text one two three four.<p>more long text here.<ul><li>item one<li>item two</ul></div><div class=footer>x</div>", "T long text one two three four. more long text here. item one item two"),
     ],
 )
