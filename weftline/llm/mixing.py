@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS
 
+#: Sources up to this number go to the tasks as a table of one row each (under 5 MB); more are joined by shuffle, where
+#: AQE splits the hot ones.
+BROADCAST_SOURCES = 50_000
 #: Bits of the draw, taken from the front of an MD5.
 DRAW = 32
 
@@ -58,12 +61,14 @@ def draw(seed: int) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20) -> DataFrame:
     """The documents with size, source_size, target, rate and copies (how often the mix takes each)."""
-    sized = docs.drop("size", "source_size", "target", "rate", "copies").withColumn("size", n_words(F.col("text")))
+    sized = docs.drop("size", "source_size", "target", "rate", "copies").withColumns({"size": n_words(F.col("text")), "_draw": draw(seed)})
     shares = targets(sized, weights, most).withColumnRenamed("source", "_source")
+    if docs.select("source").distinct().count() <= BROADCAST_SOURCES:
+        shares = F.broadcast(shares)
     joined = sized.join(shares, sized["source"].eqNullSafe(shares["_source"]), "left").drop("_source")
     whole = F.floor("rate")
-    copies = F.least(whole + (draw(seed) < F.col("rate") - whole).cast("long"), F.lit(int(most)))
-    return joined.withColumn("copies", copies.cast("long"))
+    copies = F.least(whole + (F.col("_draw") < F.col("rate") - whole).cast("long"), F.lit(int(most)))
+    return joined.withColumn("copies", copies.cast("long")).drop("_draw")
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
