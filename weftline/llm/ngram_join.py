@@ -40,7 +40,7 @@ N = 5
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bytes of text in a slice, and bytes of text for each hash range (64 ranges at least).
-SLICE_BYTES, RANGE_BYTES, LEAST_BITS = 3_000_000, 64_000_000, 6
+SLICE_BYTES, RANGE_BYTES, LEAST_BITS = 1_000_000, 64_000_000, 6
 REST_BITS = 40
 #: Members of a list that travel together.
 BLOCK = 512
@@ -161,7 +161,7 @@ def deal(bits: int):
 
         ids, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in ((i, t) for at in range(0, batch.num_rows, 200) for i, t in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True)):
                 if texts and (size + len(text or "") > SLICE_BYTES or len(texts) == 65_535):
                     yield out(ids, texts)
                     ids, texts, size = [], [], 0

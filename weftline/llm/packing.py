@@ -28,7 +28,7 @@ from .common import staged, table
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, SEPARATOR = 2048, 0
 #: Pieces of a first partition, partitions that pool their gaps, words whose ids a task remembers.
-PART_PIECES, FAN, REMEMBERED = 8_000, 8, 500_000
+PART_PIECES, FAN, REMEMBERED = 8_000, 8, 250_000
 
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

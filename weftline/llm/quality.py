@@ -48,7 +48,7 @@ def encode(words: list[str], known: dict[str, int]) -> list[float]:
     for w in different:
         k = known.get(w)
         if k is None:
-            if len(known) > 200_000:
+            if len(known) > 100_000:
                 known.clear()
             k = known[w] = shape(w)
         shapes[k] += 1
