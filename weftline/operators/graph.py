@@ -13,7 +13,7 @@ from weftline.sources.stage import staged
 
 from .components import components
 
-__all__ = ["adjacency", "adjacent_events", "components", "edges_in_window", "entities_in_window", "incidence", "neighbours", "obs_hops", "path", "pool", "search", "summarise_neighbours"]
+__all__ = ["adjacency", "collaborators", "commits_via_requests", "adjacent_events", "components", "edges_in_window", "entities_in_window", "incidence", "neighbours", "obs_hops", "path", "pool", "search", "summarise_neighbours"]
 
 
 def incidence(obs: DataFrame) -> DataFrame:
@@ -168,3 +168,18 @@ def search(named: DataFrame, pattern: str, limit: int = 10, column: str = "cache
     hit = F.coalesce(F.col("id") == F.lit(entity_id), F.lit(False))
     line = F.col(column).rlike("(?im)" + pattern)
     return named.filter(hit | line).withColumn("by_id", hit).orderBy(F.desc("by_id"), "id").limit(limit)
+
+
+def collaborators(obs: DataFrame) -> DataFrame:
+    """(work, person): who created a work, and who sent a message that refers to it."""
+    made = obs.filter("type = 'created'").select(F.col("dst_id").alias("work"), F.col("src_id").alias("person"))
+    refers = obs.filter("type = 'message_ref'").select(F.col("src_id").alias("message"), F.col("dst_id").alias("work"))
+    sent = obs.filter("type = 'message_from'").select(F.col("dst_id").alias("message"), F.col("src_id").alias("person"))
+    return made.union(refers.join(sent, "message").select("work", "person")).distinct()
+
+
+def commits_via_requests(obs: DataFrame) -> DataFrame:
+    """(person, commit): commits a person created, and those attached to a pull request that the person created."""
+    made = obs.filter("type = 'created'").select(F.col("src_id").alias("person"), F.col("dst_id").alias("thing"))
+    attached = obs.filter("type = 'attached_to'").select(F.col("src_id").alias("commit"), F.col("dst_id").alias("thing"))
+    return made.select("person", F.col("thing").alias("commit")).union(made.join(attached, "thing").select("person", "commit")).distinct()

@@ -141,3 +141,45 @@ def split(df: DataFrame, key: str, parts: dict[str, int], salt: int = 0) -> Data
         part = F.when((draw >= low) & (draw < low + size), name).otherwise(part)
         low += size
     return df.withColumn("part", part)
+
+
+def feature_matrix(sums: DataFrame, target: DataFrame, keys: list[str], hop: int = 2, train_percent: int = 80) -> DataFrame:
+    """(id, a column a key, target, part): neighbourhood sums of a hop distance, wide, without rows that are all zero, with
+    the target joined and scaled by the training rows' range. part: by a hash of the id."""
+    from weftline.functions.numbers import min_max
+
+    wide = sums.filter(F.col("hop") == hop).groupBy("id").pivot("key", keys).agg(F.sum("total"))
+    wide = wide.select("id", *[F.coalesce(F.col(k), F.lit(0)).cast("double").alias(k) for k in keys])
+    kept = wide.filter(F.exists(F.array(*keys), lambda x: x != 0)).join(target.select("id", "target"), "id")
+    parts = split(kept, "id", {"train": train_percent, "test": 100 - train_percent})
+    return min_max(parts, keys, parts.filter("part = 'train'"))
+
+
+def score_against(lists: DataFrame, target: DataFrame, percent: float = 10, cap: float | None = None, log: bool = False) -> DataFrame:
+    """(id, score, target): mean of the top percent of each person's scores beside a target, capped and as log10(1 + x) if
+    asked. lists: (id, scores)."""
+    from weftline.functions.numbers import top_n_pct_mean
+
+    y = F.col("target").cast("double")
+    if cap is not None:
+        y = F.least(y, F.lit(float(cap)))
+    if log:
+        y = F.log10(1 + y)
+    return lists.join(target.select("id", "target"), "id").select("id", top_n_pct_mean(F.col("scores"), percent).alias("score"), y.alias("target"))
+
+
+def work_stats(works: DataFrame, inc: DataFrame, values: DataFrame, hops: tuple[int, ...] = (1, 2), top_percent: float = 10) -> DataFrame:
+    """(id, hop, n_texts, n_words, total, per_text, per_word, top): of the texts within k hops of a work, the counted terms
+    per text and per word and the mean of the highest shares; null where there is no text. values: (id, terms, words)."""
+    from weftline.functions.numbers import top_n_pct_mean
+
+    out = None
+    for k in hops:
+        near = graph.neighbours(works.select(F.col("id").alias("seed")), inc, k).select("seed", "id")
+        rows = near.join(values, "id").withColumn("share", F.col("terms") / F.expr("nullif(words, 0)"))
+        got = rows.groupBy(F.col("seed").alias("id"), F.lit(k).alias("hop")).agg(
+            F.count("*").alias("n_texts"), F.sum("words").alias("n_words"), F.sum("terms").alias("total"), top_n_pct_mean(F.collect_list("share"), top_percent).alias("top")
+        )
+        got = got.withColumn("per_text", F.col("total") / F.col("n_texts")).withColumn("per_word", F.col("total") / F.expr("nullif(n_words, 0)"))
+        out = got if out is None else out.unionByName(got)
+    return out

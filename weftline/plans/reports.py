@@ -95,3 +95,28 @@ def word_frequencies(items: DataFrame, stop_words: DataFrame) -> DataFrame:
 def status_ratio(stats: DataFrame) -> DataFrame:
     """(author, ratio): good over bad works; null without bad ones."""
     return stats.select("author", (F.col("n_good") / F.expr("nullif(n_bad, 0)")).alias("ratio"))
+
+
+def export_texts(texts_: DataFrame, scores: DataFrame) -> DataFrame:
+    """(id, text, body, score): texts with what the scorer reads and its score, null where it has none."""
+    rows = texts_.select("id", "text", texts.split_message(F.col("text"))["body"].alias("body"))
+    return rows.join(scores.select("id", "score"), "id", "left")
+
+
+def evidence(works: DataFrame, inc: DataFrame, found: DataFrame, k: int = 2) -> DataFrame:
+    """(seed, id, term): the terms found in the texts within k hops of each work. found: (id, terms array)."""
+    near = graph.neighbours(works.select(F.col("id").alias("seed")), inc, k).select("seed", "id")
+    return near.join(found, "id").select("seed", "id", F.explode("terms").alias("term"))
+
+
+def eras(works: DataFrame, bounds: list[int]) -> DataFrame:
+    """(era, status, n): works by status class and by the first bound their year does not pass. works: (year, status)."""
+    era = F.lit("later")
+    for b in sorted(bounds, reverse=True):
+        era = F.when(F.col("year") <= b, f"to {b}").otherwise(era)
+    return works.groupBy(era.alias("era"), texts.status_class(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def joint_works(members: DataFrame) -> DataFrame:
+    """(project, n): projects of several persons."""
+    return members.groupBy("project").agg(F.count_distinct("person").alias("n")).filter("n > 1")
