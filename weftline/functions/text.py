@@ -99,3 +99,10 @@ def short_remote(url: Column) -> Column:
     """"host/path" of a repository's address; an error for other forms."""
     ssh = F.regexp_extract(url, r"^git@([^:]+):(.+)$", 0) != ""
     return F.when(ssh, F.regexp_replace(url, r"^git@([^:]+):(.+)$", "$1/$2")).when(url.startswith("https://"), F.regexp_replace(url, "^https://", "")).otherwise(F.raise_error(F.concat(F.lit("not a remote: "), url)).cast("string"))
+
+
+def terms_by_part(text: Column, lists: dict[str, list[str]]) -> Column:
+    """Array of (part, list, n) for the parts of a mail and the lists of which it has a term."""
+    parts = split_message(text)
+    rows = [F.struct(F.lit(p).alias("part"), F.lit(k).alias("list"), term_count(parts[p], v).alias("n")) for p in ("body", "quote", "sign") for k, v in lists.items()]
+    return F.filter(F.array(*rows), lambda r: r["n"] > 0)

@@ -166,3 +166,23 @@ def dangling(obs: DataFrame, entity: DataFrame) -> DataFrame:
     ids = entity.select("id").distinct()
     ends = obs.select(F.col("id").alias("obs_id"), F.explode(F.array("src_id", "dst_id")).alias("id"))
     return ends.join(ids, "id", "left_anti").select("obs_id", F.col("id").alias("missing_id")).distinct()
+
+
+def recache(entity: DataFrame, obs: DataFrame, sources: DataFrame, fusion: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both derived tables, to be written over the last ones."""
+    return fused_entities(entity, sources, fusion), fused_observations(obs, fusion)
+
+
+def check(fusion: DataFrame, top: int = 25) -> DataFrame:
+    """(id_lowest, size, rule, n): the largest groups and how often each rule joined someone to them."""
+    sizes = fusion.groupBy("id_lowest").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "id_lowest").limit(top)
+    rule = F.regexp_extract("comment", "^(.*?) match: ", 1)
+    rows = fusion.join(F.broadcast(sizes), "id_lowest")
+    return rows.groupBy("id_lowest", "size", F.when(rule == "", F.col("comment")).otherwise(rule).alias("rule")).agg(F.count("*").alias("n"))
+
+
+def fused_of(ids: DataFrame, fusion: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """(id, id_lowest, member_id[, batch_id]): an entity's group and all of its members. batches: (id, batch_id)."""
+    own = ids.select("id").join(fusion.select(F.col("id_other").alias("id"), "id_lowest"), "id")
+    out = own.join(fusion.select("id_lowest", F.col("id_other").alias("member_id")), "id_lowest").select("id", "id_lowest", "member_id")
+    return out if batches is None else out.join(batches.select(F.col("id").alias("member_id"), "batch_id"), "member_id", "left").select("id", "id_lowest", "member_id", "batch_id")

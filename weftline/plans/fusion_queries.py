@@ -245,3 +245,42 @@ def top_n_means(spark, d):
 def similar_names(spark, d):
     people = fixture.table(spark, d, "customer").select((F.lit(fixture.CUSTOMER) + F.col("c_custkey")).cast("long").alias("id"), F.concat(F.lit("the person "), F.translate("c_name", "#0123456789", " bcdfghjklm")).alias("name"))
     return fuse.nearest_names(people, 0.05)
+
+
+@query(f"""{_fused},
+why AS (SELECT a, arg_min(rule, (CASE rule WHEN 'email' THEN 1 WHEN 'github_user' THEN 2 ELSE 3 END, b)) AS why FROM m GROUP BY a),
+s AS (SELECT id_lowest, count(*) AS size FROM fusion GROUP BY ALL ORDER BY size DESC, id_lowest LIMIT 25)
+SELECT id_lowest, size, coalesce(why, 'no match') AS rule, count(*) AS n FROM fusion JOIN s USING (id_lowest) LEFT JOIN why ON a = id_other GROUP BY ALL""")
+def fusion_check(spark, d):
+    return fuse.check(fusion(spark, d))
+
+
+@query(f"""{_fused} SELECT id_lowest AS id, string_agg(DISTINCT name, ' | ' ORDER BY name) AS names, string_agg(DISTINCT email, ' | ' ORDER BY email) AS emails
+FROM person JOIN fusion ON id_other = id GROUP BY id_lowest""")
+def person_addresses(spark, d):
+    from . import reports
+
+    return reports.person_addresses(fixture.persons(spark, d), fusion(spark, d))
+
+
+@query(f"""{_fused} SELECT p.id, f.id_lowest, g.id_other AS member_id, e.batch_id FROM person p JOIN fusion f ON f.id_other = p.id JOIN fusion g ON g.id_lowest = f.id_lowest JOIN entity e ON e.id = g.id_other""")
+def fused_members(spark, d):
+    return fuse.fused_of(fixture.persons(spark, d), fusion(spark, d), fixture.entities(spark, d))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE regexp_full_match(coalesce(text, ''), '[\\x00-\\x7f]*', 's')),
+n AS (SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '(?i)\\b(?:and|the)\\b')) AS BIGINT) AS k FROM c)
+SELECT conv_id, turn, 'body' AS part, k AS n FROM n WHERE k > 0 UNION ALL SELECT conv_id, turn, 'quote', 2 FROM n UNION ALL SELECT conv_id, turn, 'sign', 1 FROM n""")
+def terms_by_part(spark, d):
+    c = fixture.table(spark, d, "conversations").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7f]"))
+    mail = F.concat(F.lit("> the old and new\n"), F.coalesce("text", F.lit("")), F.lit("\nCheers\nthe writer"))
+    rows = c.select("conv_id", "turn", F.explode(text.terms_by_part(mail, {"any": ["the", "and"]})).alias("r"))
+    return rows.select("conv_id", "turn", F.col("r.part").alias("part"), F.col("r.n").alias("n"))
+
+
+@query("SELECT 3000000000000 + user_id AS id, year(ts) AS year, sum(event_id % 3)::BIGINT AS n FROM events GROUP BY ALL")
+def sent_terms_yearly(spark, d):
+    from . import reports
+
+    counts = fixture.table(spark, d, "events").select((F.lit(fixture.EVENT) + F.col("event_id")).cast("long").alias("id"), (F.col("event_id") % 3).alias("n"))
+    return reports.sent_terms_yearly(fixture.observations(spark, d), counts)

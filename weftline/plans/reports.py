@@ -120,3 +120,16 @@ def eras(works: DataFrame, bounds: list[int]) -> DataFrame:
 def joint_works(members: DataFrame) -> DataFrame:
     """(project, n): projects of several persons."""
     return members.groupBy("project").agg(F.count_distinct("person").alias("n")).filter("n > 1")
+
+
+def person_addresses(persons: DataFrame, fusion: DataFrame) -> DataFrame:
+    """(id, names, emails): a fused person's distinct names and addresses, sorted, a blank and a bar between."""
+    rows = persons.join(fusion, F.col("id") == F.col("id_other"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " | ")
+    return rows.groupBy(F.col("id_lowest").alias("id")).agg(listed("name").alias("names"), listed("email").alias("emails"))
+
+
+def sent_terms_yearly(obs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, year, n): terms in the messages a person sent, by year. counts: (id of the message, n)."""
+    sent = obs.filter("type = 'message_from'").select(F.col("src_id").alias("id"), F.col("dst_id").alias("message"), F.year("time").cast("long").alias("year"))
+    return sent.join(counts.select(F.col("id").alias("message"), "n"), "message").groupBy("id", "year").agg(F.sum("n").alias("n"))

@@ -61,3 +61,8 @@ def computed(rows: DataFrame) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def clear(spark: SparkSession, root: str, name: str, schema: str) -> None:
+    """Empty a derived table, so that nothing stale is read after an ingest."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
