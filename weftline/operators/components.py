@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from weftline.sources.stage import staged
 
 
+#: Nodes that a task joins up in memory before it starts afresh.
+FOREST_NODES = 500_000
+
+
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a partition, the same connections as edges (node, smallest node it is joined to)."""
     up: dict[int, int] = {}
@@ -23,15 +27,19 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = root, up[x]
         return root
 
+    def forest() -> pa.RecordBatch:
+        pairs = [(x, y) for x in up if (y := top(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = top(a) if a in up else up.setdefault(a, a), top(b) if b in up else up.setdefault(b, b)
             if x != y:
                 up[max(x, y)] = min(x, y)
-    pairs = [(x, top(x)) for x in up]
-    for start in range(0, len(pairs), 100_000):
-        part = [p for p in pairs[start : start + 100_000] if p[0] != p[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if len(up) > FOREST_NODES:
+            yield forest()
+            up.clear()
+    yield forest()
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:

@@ -50,13 +50,13 @@ def score_against_target(spark, d):
 
 
 @query(f"""{with_tables('incidence')},
-w AS (SELECT 4000000000000 + o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 0),
+w AS (SELECT 4000000000000 + o_orderkey AS id FROM orders),
 v AS (SELECT 5000000000000 + p_partkey AS id, p_size AS terms, p_size + 7 AS words FROM part),
 n AS (SELECT DISTINCT w.id AS seed, i.other_id AS id FROM w JOIN incidence i ON i.id = w.id)
 SELECT seed AS id, 1 AS hop, count(*) AS n_texts, sum(words)::BIGINT AS n_words, sum(terms)::BIGINT AS total, round(list_avg(list(terms / words::DOUBLE ORDER BY terms / words::DOUBLE DESC)[1:CAST(ceil(0.1 * count(*)) AS INT)]), 9) AS top,
   round(sum(terms) / count(*)::DOUBLE, 9) AS per_text, round(sum(terms) / sum(words)::DOUBLE, 9) AS per_word FROM n JOIN v USING (id) GROUP BY seed""")
 def work_stats(spark, d):
-    works = fixture.table(spark, d, "orders").filter("o_orderkey % 10 = 0").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"))
+    works = fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"))
     values = fixture.table(spark, d, "part").select((F.lit(fixture.PART) + F.col("p_partkey")).cast("long").alias("id"), F.col("p_size").cast("long").alias("terms"), (F.col("p_size") + 7).cast("long").alias("words"))
     rows = targets.work_stats(works, graph_queries.inc(spark, d), values, (1,))
     return rows.withColumns({c: F.round(c, 9) for c in ("top", "per_text", "per_word")})
@@ -71,12 +71,12 @@ def collaborators(spark, d):
     return graph.collaborators(o.unionByName(refs))
 
 
-@query(f"""{with_tables('observation')}, r AS (SELECT o_orderkey AS c, o_orderkey % 50 AS t FROM orders WHERE o_orderkey % 3 = 0)
+@query(f"""{with_tables('observation')}, r AS (SELECT o_orderkey AS c, o_orderkey % 50 AS t FROM orders)
 SELECT src_id AS person, dst_id AS "commit" FROM observation WHERE type = 'created'
 UNION SELECT o.src_id, 4000000000000 + r.c FROM observation o JOIN r ON o.dst_id = 4000000000000 + r.t WHERE o.type = 'created'""")
 def commits_via_requests(spark, d):
     o = fixture.observations(spark, d)
-    refs = fixture.table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit(1).cast("long").alias("batch_id"), F.lit("attached_to").alias("type"), F.col("o_orderdate").alias("time"), (F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("src_id"), (F.lit(fixture.ORDER) + F.col("o_orderkey") % 50).cast("long").alias("dst_id"))
+    refs = fixture.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1).cast("long").alias("batch_id"), F.lit("attached_to").alias("type"), F.col("o_orderdate").alias("time"), (F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("src_id"), (F.lit(fixture.ORDER) + F.col("o_orderkey") % 50).cast("long").alias("dst_id"))
     return graph.commits_via_requests(o.unionByName(refs))
 
 

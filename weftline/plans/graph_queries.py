@@ -327,7 +327,7 @@ def entity_split(spark, d):
 
 @query("""WITH RECURSIVE e AS (
   SELECT DISTINCT greatest(d.doc_id, m.k) AS a, least(d.doc_id, m.k) AS b FROM documents d JOIN (SELECT md5(coalesce(text, '')) AS h, min(doc_id) AS k FROM documents GROUP BY ALL) m ON md5(coalesce(d.text, '')) = m.h
-  UNION SELECT doc_id, doc_id - 1 FROM documents WHERE doc_id % 5 IN (1, 2)),
+  UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY source, n_chars // 200) FROM documents),
 r AS (SELECT doc_id AS id, doc_id AS label FROM documents UNION
   SELECT CASE WHEN e.a = r.id THEN e.b ELSE e.a END, r.label FROM r JOIN e ON e.a = r.id OR e.b = r.id)
 SELECT id, min(label) AS label FROM r GROUP BY id""")
@@ -335,8 +335,9 @@ def component_labels(spark, d):
     docs = fixture.table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("k"))
     same = docs.join(first, "h").select(F.col("doc_id").alias("a"), F.col("k").alias("b"))
-    chain = docs.filter("doc_id % 5 in (1, 2)").select(F.col("doc_id").alias("a"), (F.col("doc_id") - 1).alias("b"))
-    return graph.components(same.union(chain), docs.select("doc_id"))
+    sized = fixture.table(spark, d, "documents").select("doc_id", "source", F.expr("n_chars div 200").alias("size"))
+    near = sized.join(sized.groupBy("source", "size").agg(F.min("doc_id").alias("b")), ["source", "size"]).select(F.col("doc_id").alias("a"), "b")
+    return graph.components(same.union(near), docs.select("doc_id"))
 
 
 @query(f"""{with_tables('observation')},

@@ -30,11 +30,11 @@ def touched(spark, d):
 
 
 def members(spark, d):
-    """Customers as persons, nations and segments as projects."""
-    return fixture.table(spark, d, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("person"), F.concat_ws("-", F.expr("o_orderkey div 40"), F.lit("p")).alias("project"), F.col("o_orderdate").alias("time"))
+    """Customers as persons, ten orders in a row as a project."""
+    return fixture.table(spark, d, "orders").select(F.col("o_custkey").alias("person"), F.concat_ws("-", F.expr("o_orderkey div 10"), F.lit("p")).alias("project"), F.col("o_orderdate").alias("time"))
 
 
-_members = "members AS (SELECT o_custkey AS person, (o_orderkey // 40) || '-p' AS project, o_orderdate AS time FROM orders WHERE o_orderkey % 4 = 0)"
+_members = "members AS (SELECT o_custkey AS person, (o_orderkey // 10) || '-p' AS project, o_orderdate AS time FROM orders)"
 _touched = """touched AS (SELECT c.src_id AS person, c.dst_id AS commit_id, m.dst_id AS file, c.time FROM observation c JOIN observation m ON m.src_id = c.dst_id WHERE c.type = 'created' AND m.type = 'modified')"""
 
 
@@ -113,10 +113,10 @@ def status_ratio(spark, d):
     return reports.status_ratio(author_stats(spark, d)).withColumn("ratio", F.round("ratio", 9))
 
 
-@query("""WITH w AS (SELECT 2000 + doc_id % 5 AS year, unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '(?m)^>.*$', '', 'g')), '[a-z]{3,}')) AS word FROM documents WHERE lang = 'en')
+@query("""WITH w AS (SELECT 2000 + doc_id % 5 AS year, unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '(?m)^>.*$', '', 'g')), '[a-z]{3,}')) AS word FROM documents)
 SELECT year, word, count(*) AS n FROM w WHERE word NOT IN (SELECT lower(lang) FROM documents UNION SELECT 'the') GROUP BY ALL""")
 def word_frequencies(spark, d):
-    docs = fixture.table(spark, d, "documents").filter("lang = 'en'").withColumn("time", F.make_date(F.lit(2000) + (F.col("doc_id") % 5).cast("int"), F.lit(6), F.lit(1)))
+    docs = fixture.table(spark, d, "documents").withColumn("time", F.make_date(F.lit(2000) + (F.col("doc_id") % 5).cast("int"), F.lit(6), F.lit(1)))
     return reports.word_frequencies(docs, spark.createDataFrame([("the",)], "word string"))
 
 
