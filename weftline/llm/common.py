@@ -2,67 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Word separators of the pipeline's own word counts and shingles.
-BLANKS = r"\x20\x09-\x0D"
+from weftline.sources.stage import shared_dir, staged
 
+__all__ = ["BLANKS", "fresh_dir", "map_rows", "shared_dir", "staged", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or in local mode a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.weftline.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.weftline.dir", made)
-    return made
+#: Word separators of the pipeline's own word counts and shingles.
+BLANKS = r"\x20\x09-\x0D"
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends, lost executors lose nothing."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the strings of a column come to about `limit` bytes a piece (one row at least)."""
-    sizes = batch.column(column)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
-    start = total = 0
-    for i, n in enumerate(lengths):
-        if i > start and total + n > limit:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < len(lengths):
-        yield batch.slice(start)
-
-
 def map_rows(df: DataFrame, columns: list[str], schema: str, build: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """One output row for each input row, by a Python function made once a task from `build`.
 
     Rows travel as Arrow batches; a batch is worked off in slices so that memory does not follow its size.
     """
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = build()

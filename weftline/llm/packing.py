@@ -212,12 +212,12 @@ def pack_part(level: int, capacity: int):
 def pack(rows: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
     """rows (doc_id, piece, start, length, ids_crc32) -> the same with sequence_id and offset.
 
-    Parts are dealt by a hash of the piece, so that each holds a mix of all lengths.
+    Parts are dealt by a hash of the piece and its row, so that each holds a mix of all lengths and copies spread.
     """
-    rows = staged(rows, "pieces")
+    rows = staged(rows, "pieces").withColumn("row", F.monotonically_increasing_id())
     n = rows.count()
     parts = max(1, round(n / part_pieces))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(parts))).drop("row")
     out, level = [], 0
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     while True:
