@@ -34,8 +34,8 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"se
 SCOPE = frozenset("table td th caption html body button object article section div main aside nav footer header form".split())
 #: Words of a class or id that name what is no article text, and roles that do.
 NOT_TEXT = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted commercial nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar sidebars side aside rail widget widgets footer foot masthead topbar toolbar header "
-    "comment comments commentlist disqus replies reply respond discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations teaser popular trending tags copyright legal skip hidden".split()
+    "ad ads adv adbox adslot adunit advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted commercial nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar sidebars side aside rail widget widgets footer foot masthead topbar toolbar header "
+    "comment comments commentlist disqus replies reply respond responses feedback discussion cookie cookies consent gdpr disclaimer notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations teaser popular trending tags copyright legal skip hidden".split()
 )
 #: Of these, the ones that also name an article's own parts and count outside articles only.
 ONLY_OUTSIDE = frozenset("header tags legal teaser aside related promotion".split())
@@ -63,7 +63,7 @@ def inside_article(node: Node | None) -> bool:
 
 
 #: Words of reader comments and teasers: they drop even an article element, and whatever stands inside.
-NOT_EVEN_ARTICLES = frozenset("comment comments commentlist disqus reply replies respond discussion ad ads advert adverts advertisement sponsored teaser related promo recommended".split())
+NOT_EVEN_ARTICLES = frozenset("comment comments commentlist disqus reply replies respond responses discussion ad ads advert adverts advertisement sponsored teaser related promo recommended".split())
 #: Degrees of dropping: not, by a layout word (an article inside shows that the word meant the page's layout), surely.
 KEPT, LAYOUT, SURE = 0, 1, 2
 
