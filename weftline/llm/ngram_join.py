@@ -342,3 +342,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+u AS (SELECT doc_id, len(g) AS n, hash(unnest(g)) AS g FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM k WHERE 100 * k >= 75 * (na + nb - k)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS label FROM s UNION SELECT t.b, r.label FROM r JOIN t ON t.a = r.id WHERE r.label < t.b)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT id, min(label) AS component_id FROM r GROUP BY id) m ON m.id = s.doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc_dictionary": warc.op9,
     "op10_ngram_jaccard": ngram_join.op10,
 }
-SQL = {"op5_source_mix": mixing.OP5_SQL, "op7_url_filter": urls.OP7_SQL}
+SQL = {"op5_source_mix": mixing.OP5_SQL, "op7_url_filter": urls.OP7_SQL, "op9_warc_dictionary": warc.OP9_SQL, "op10_ngram_jaccard": ngram_join.OP10_SQL}

@@ -183,4 +183,11 @@ def op9(spark, sf_dir):
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP9_SQL = None
+#: Five hex digits of the SHA-1 are four letters of base 32.
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {k}, 5) AS BIGINT) >> {b}) & 31 AS INT) + 1, 1)" for k in range(1, 41, 5) for b in (15, 10, 5, 0))
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
