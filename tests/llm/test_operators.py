@@ -361,3 +361,28 @@ def test_shingles_by_definition():
     tokens, doc = ngram_join.shingles(texts, ngram_join.Powers())
     assert np.bincount(doc, minlength=len(texts)).tolist() == [2, 6, 0, 0, 1, 1, 1, 1]
     assert len(set(tokens[doc == 0]) & set(tokens[doc == 1])) == 2
+
+
+def version_chain(r, name):
+    """Versions of a short text, each a word or two from the last, in 1 to 299 copies."""
+    words, out = [f"{name}w{k}" for k in range(int(r.integers(20, 40)))], []
+    for v in range(12):
+        out += [" ".join(words)] * int(r.integers(1, 300))
+        for _ in range(int(r.integers(1, 3))):
+            k, kind = int(r.integers(0, len(words))), r.integers(0, 3)
+            words[k : k + (kind != 1)] = [[f"{name}x{v}"], [f"{name}y{v}"], []][kind]
+        if r.random() < 0.5:
+            words.append(f"{name}z{v}")
+    return out
+
+
+def test_ngram_join_counts_lists_from_both_sides(spark):
+    r = np.random.default_rng(3)
+    chains = [version_chain(r, f"c{k}") for k in range(25)]
+    items = list(enumerate(chains[3] + chains[24]))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows(ngram_join.near_duplicates(spark.createDataFrame(items, "doc_id long, text string")))}
+    first = {}
+    for i, t in items:
+        first.setdefault(t, i)
+    assert len(got) == len(items) and all(got[i] == got[first[t]] for i, t in items)
+    assert sorted(str((i, *got[i])) for i in first.values()) == brute_components([(i, t) for t, i in first.items()])

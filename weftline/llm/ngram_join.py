@@ -271,16 +271,6 @@ x.g <> g and {least_same("n", "x.n")} <= least(k, x.k, n, x.n)
 and {least_same("n", "x.n")} <= least(at, x.at) + 1 + least(k - at - 1, x.k - x.at - 1)
 and not exists(met, y -> exists(x.met, z -> z.p = y.p and {least_same("n", "x.n")} > least(y.i, z.i) + least(k - y.i, x.k - z.i)))
 """
-FOUND_SQL = "c long, b array<long>"
-
-
-def multi_match(rows: pa.Table) -> pa.Table:
-    """Of a class, the partners that share as many prefix tokens as the lesser l of the two asks for."""
-    b = np.concatenate([np.asarray(x, np.int64) for x in rows.column("b").to_pylist()])
-    l = np.concatenate([np.asarray(x, np.int64) for x in rows.column("lb").to_pylist()])  # noqa: E741
-    partner, first, count = np.unique(b, return_index=True, return_counts=True)
-    enough = partner[count >= np.minimum(l[first], rows.column("l")[0].as_py())]
-    return pa.table({"c": pa.array([rows.column("c")[0].as_py()], pa.int64()), "b": pa.array([enough], pa.list_(pa.int64()))})
 
 
 def leaders(known: DataFrame, sets: DataFrame, outside: bool) -> DataFrame:
@@ -317,10 +307,11 @@ def link_classes(sets: DataFrame) -> DataFrame:
     member = F.struct("c", "g", "n", "k", "l", "at", "met")
     spread = F.pmod(F.xxhash64("c"), F.ceil(F.col("all") / F.lit(BLOCK))).alias("block")
     blocks = open_lists.groupBy("t", spread).agg(F.collect_list(member).alias("members")).select("t", "members")
-    rest = open_lists.filter("g <> bg").select("t", "c", "g", "n", "k", "l", "at", "met")
-    fits = rest.join(blocks, "t").select("c", "l", F.expr(f"filter(members, x -> {POSSIBLE})").alias("found")).filter("size(found) > 0")
-    many = fits.select("c", "l", F.col("found.c").alias("b"), F.col("found.l").alias("lb")).groupBy("c").applyInArrow(multi_match, FOUND_SQL)
-    pairs = many.select("c", F.explode("b").alias("b")).select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+    # A list has a pair once, from either side: which side has it can differ from list to list, so the pair is counted.
+    rest = open_lists.filter("g <> bg").select("t", "c", "g", "n", "k", "l", "at", "met", "bg")
+    found = rest.join(blocks, "t").select("c", "l", F.explode(F.expr(f"filter(members, x -> (x.g = bg or c < x.c) and {POSSIBLE})")).alias("x"))
+    shared = found.groupBy(F.least("c", "x.c").alias("a"), F.greatest("c", "x.c").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l", "x.l")).alias("l"))
+    pairs = shared.filter("m >= l").select("a", "b")
     rest_pairs = staged(verified(pairs, sets), "rest-pairs")
     return staged(components(seen.union(rest_pairs).filter("linked")), "class-labels")
 
