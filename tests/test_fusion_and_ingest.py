@@ -147,3 +147,10 @@ def test_ols_trials(spark):
     for r in models.ols_trials(df, "id", "x", "y", 5).collect():
         assert abs(r["slope"] - 3) < 1e-9 and abs(r["r2_test"] - 1) < 1e-9 and 30 < r["n_train"] < 60
     assert models.naive_baseline(spark.createDataFrame([(1.0,), (2.0,), (9.0,)], "y double"), "y").first()["constant"] == 2.0
+
+
+def test_every_rule_and_every_type(spark):
+    p = people(spark, [(1, "Jon Smythe", None, None), (2, "Jon Smithe", None, None), (3, "Other Person", None, None)])
+    commits = spark.createDataFrame([(10, "s"), (11, "s"), (12, "t"), (13, None), (14, None)], "id long, sha string")
+    got = {r["id_other"]: r["id_lowest"] for r in fuse.entity_fusion(spark.range(1, 21), fuse.all_edges(fuse.candidates(p), commits)).collect()}
+    assert got == {i: {2: 1, 11: 10}.get(i, i) for i in range(1, 21)}

@@ -27,3 +27,16 @@ def test_query(spark, name):
     columns = sorted(got.columns)
     rows = lambda df: sorted(map(str, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_whole_fusion_has_every_entity_and_edge(spark):
+    from weftline.plans import fixture
+
+    run = lambda name: [tuple(r) for r in registry.QUERIES[name](spark, DATA).collect()]
+    whole, part, types = run("entity_fusion_whole"), run("entity_fusion"), {r["id"]: r["type"] for r in fixture.entities(spark, DATA).collect()}
+    assert sorted(r[0] for r in whole) == sorted(types) and sorted(r for r in whole if types[r[0]] != "message") == sorted(part)
+    label, edges = {r[0]: r[1] for r in whole}, fixture.observations(spark, DATA).select("id", "src_id", "dst_id").collect()
+    assert sorted(run("fused_observation_whole")) == sorted((i, label[a], label[b]) for i, a, b in edges if a in label and b in label)
+    assert {r["id"] for r in registry.QUERIES["fused_entity_whole"](spark, DATA).collect()} == set(label.values())
+    print(len(part), len(whole), len(edges), registry.QUERIES["fused_observation"](spark, DATA).count())

@@ -90,6 +90,11 @@ def commit_edges(commits: DataFrame) -> DataFrame:
     return commits.join(low, "sha").filter("id <> b").select(F.col("id").alias("a"), "b", F.lit("sha").alias("rule"), F.col("sha").alias("evidence"))
 
 
+def all_edges(cand: DataFrame, commits: DataFrame, max_distance: float = 0.05) -> DataFrame:
+    """(a, b, rule, evidence) of every rule: of persons with the nearest name too, and of commits with the same hash."""
+    return match_edges(cand, max_distance).union(commit_edges(commits))
+
+
 def entity_fusion(entity: DataFrame, edges: DataFrame) -> DataFrame:
     """(id_other, id_lowest, comment): a row for every entity. Groups are the edges' components and are named by their
     smallest id; comment is the first rule that matched, or "no match"."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from weftline.functions import names, numbers, text
@@ -32,6 +34,12 @@ def fusion(spark, d):
     return fuse.entity_fusion(fixture.entities(spark, d).filter("type in ('person', 'git_commit', 'file')"), fuse.match_edges(cand(spark, d)))
 
 
+def whole_fusion(spark, d):
+    """Over entities of every type and by every rule; `fusion` is the part that the SQL has."""
+    commits = fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"), F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("sha"))
+    return fuse.entity_fusion(fixture.entities(spark, d), fuse.all_edges(cand(spark, d), commits))
+
+
 _invalid = names.INVALID_EMAIL.replace("'", "''")
 _edges = f"""c AS (SELECT id, lower(name) AS name, lower(email) AS email, lower(github_user) AS gh FROM person WHERE length(name) < 1000),
 e AS (
@@ -56,19 +64,19 @@ fusion AS (SELECT e.id AS id_other, coalesce(g.label, e.id) AS id_lowest FROM en
 @query(f"""{_fused},
 why AS (SELECT a, arg_min(rule || ' match: ' || evidence, (CASE rule WHEN 'email' THEN 1 WHEN 'github_user' THEN 2 ELSE 3 END, b)) AS why FROM m GROUP BY a)
 SELECT id_other, id_lowest, coalesce(why, 'no match') AS comment FROM fusion LEFT JOIN why ON a = id_other""")
-def entity_fusion(spark, d):
-    return fusion(spark, d)
+def entity_fusion(spark, d, fused=fusion):
+    return fused(spark, d)
 
 
 @query(f"{_fused} SELECT id_lowest, count(*) AS n FROM fusion GROUP BY ALL ORDER BY n DESC, id_lowest LIMIT 25")
-def fusion_group_sizes(spark, d):
-    return fusion(spark, d).groupBy("id_lowest").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id_lowest").limit(25)
+def fusion_group_sizes(spark, d, fused=fusion):
+    return fused(spark, d).groupBy("id_lowest").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id_lowest").limit(25)
 
 
 @query(f"""{_fused}, s AS (SELECT id_lowest, count(*) AS n FROM fusion GROUP BY ALL)
 SELECT n AS group_size, count(*) AS n_groups FROM s GROUP BY ALL""")
-def fusion_size_counts(spark, d):
-    return fusion(spark, d).groupBy("id_lowest").agg(F.count("*").alias("group_size")).groupBy("group_size").agg(F.count("*").alias("n_groups"))
+def fusion_size_counts(spark, d, fused=fusion):
+    return fused(spark, d).groupBy("id_lowest").agg(F.count("*").alias("group_size")).groupBy("group_size").agg(F.count("*").alias("n_groups"))
 
 
 _merged = """k AS (SELECT owner, key, arg_max({'v': value}, (src_id, coalesce(value, ''))).v AS value FROM src GROUP BY ALL),
@@ -96,16 +104,15 @@ def attr_values(spark, d):
 names AS (SELECT id_lowest AS id, string_agg(DISTINCT name, chr(10) ORDER BY name) AS cached_names FROM fusion JOIN entity ON id = id_other GROUP BY ALL),
 vals AS (SELECT owner, string_agg(key || '=' || value, ';' ORDER BY key) AS attrs FROM kept GROUP BY owner)
 SELECT e.id, e.name, e.type, coalesce(attrs, '') AS attrs, cached_names FROM entity e JOIN names ON names.id = e.id LEFT JOIN vals ON vals.owner = e.id""")
-def fused_entity(spark, d):
-    e = fixture.entities(spark, d).filter("type in ('person', 'git_commit', 'file')")
-    rows = fuse.fused_entities(e, fixture.attr_sources(spark, d), fusion(spark, d))
+def fused_entity(spark, d, fused=fusion):
+    rows = fuse.fused_entities(fixture.entities(spark, d), fixture.attr_sources(spark, d), fused(spark, d))
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
     return rows.select("id", "name", "type", shown.alias("attrs"), "cached_names")
 
 
 @query(f"""{_fused} SELECT o.id, a.id_lowest AS src_id, b.id_lowest AS dst_id FROM observation o JOIN fusion a ON a.id_other = o.src_id JOIN fusion b ON b.id_other = o.dst_id""")
-def fused_observation(spark, d):
-    return fuse.fused_observations(fixture.observations(spark, d), fusion(spark, d)).select("id", "src_id", "dst_id")
+def fused_observation(spark, d, fused=fusion):
+    return fuse.fused_observations(fixture.observations(spark, d), fused(spark, d)).select("id", "src_id", "dst_id")
 
 
 @query(f"{_fused} SELECT o.id AS obs_id, unnest([src_id, dst_id]) AS missing_id FROM observation o WHERE o.type = 'message_from'")
@@ -116,9 +123,9 @@ def dangling_edges(spark, d):
 @query(f"""{_fused}, b AS (SELECT id_lowest, bool_or(batch_id = 1) AS in_shop, bool_or(batch_id = 2) AS in_mail FROM fusion JOIN entity ON id = id_other WHERE type = 'person' GROUP BY ALL)
 SELECT count(*) FILTER (WHERE in_shop) AS n_shop, count(*) FILTER (WHERE in_mail) AS n_mail, count(*) FILTER (WHERE in_shop AND in_mail) AS n_both,
   round(count(*) FILTER (WHERE in_shop AND in_mail) / count(*) FILTER (WHERE in_shop)::DOUBLE, 6) AS ratio FROM b""")
-def matched_sources(spark, d):
+def matched_sources(spark, d, fused=fusion):
     e = fixture.entities(spark, d).filter("type = 'person'")
-    groups = e.join(fusion(spark, d), F.col("id") == F.col("id_other")).groupBy("id_lowest").agg(F.bool_or(F.col("batch_id") == 1).alias("in_shop"), F.bool_or(F.col("batch_id") == 2).alias("in_mail"))
+    groups = e.join(fused(spark, d), F.col("id") == F.col("id_other")).groupBy("id_lowest").agg(F.bool_or(F.col("batch_id") == 1).alias("in_shop"), F.bool_or(F.col("batch_id") == 2).alias("in_mail"))
     both = F.count_if(F.col("in_shop") & F.col("in_mail"))
     return groups.agg(F.count_if("in_shop").alias("n_shop"), F.count_if("in_mail").alias("n_mail"), both.alias("n_both"), F.round(both / F.count_if("in_shop"), 6).alias("ratio"))
 
@@ -256,21 +263,21 @@ def similar_names(spark, d):
 why AS (SELECT a, arg_min(rule, (CASE rule WHEN 'email' THEN 1 WHEN 'github_user' THEN 2 ELSE 3 END, b)) AS why FROM m GROUP BY a),
 s AS (SELECT id_lowest, count(*) AS size FROM fusion GROUP BY ALL ORDER BY size DESC, id_lowest LIMIT 25)
 SELECT id_lowest, size, coalesce(why, 'no match') AS rule, count(*) AS n FROM fusion JOIN s USING (id_lowest) LEFT JOIN why ON a = id_other GROUP BY ALL""")
-def fusion_check(spark, d):
-    return fuse.check(fusion(spark, d))
+def fusion_check(spark, d, fused=fusion):
+    return fuse.check(fused(spark, d))
 
 
 @query(f"""{_fused} SELECT id_lowest AS id, string_agg(DISTINCT name, ' | ' ORDER BY name) AS names, string_agg(DISTINCT email, ' | ' ORDER BY email) AS emails
 FROM person JOIN fusion ON id_other = id GROUP BY id_lowest""")
-def person_addresses(spark, d):
+def person_addresses(spark, d, fused=fusion):
     from . import reports
 
-    return reports.person_addresses(fixture.persons(spark, d), fusion(spark, d))
+    return reports.person_addresses(fixture.persons(spark, d), fused(spark, d))
 
 
 @query(f"""{_fused} SELECT p.id, f.id_lowest, g.id_other AS member_id, e.batch_id FROM person p JOIN fusion f ON f.id_other = p.id JOIN fusion g ON g.id_lowest = f.id_lowest JOIN entity e ON e.id = g.id_other""")
-def fused_members(spark, d):
-    return fuse.fused_of(fixture.persons(spark, d), fusion(spark, d), fixture.entities(spark, d))
+def fused_members(spark, d, fused=fusion):
+    return fuse.fused_of(fixture.persons(spark, d), fused(spark, d), fixture.entities(spark, d))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f]', 'x', 'g') AS text FROM conversations),
@@ -289,3 +296,8 @@ def sent_terms_yearly(spark, d):
 
     counts = fixture.table(spark, d, "events").select((F.lit(fixture.EVENT) + F.col("event_id")).cast("long").alias("id"), (F.col("event_id") % 3).alias("n"))
     return reports.sent_terms_yearly(fixture.observations(spark, d), counts)
+
+
+# The same over the whole fusion. They have no SQL: names that sound alike have no words in it.
+for _f in (entity_fusion, fusion_group_sizes, fusion_size_counts, fused_entity, fused_observation, matched_sources, fusion_check, person_addresses, fused_members):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, fused=whole_fusion)
