@@ -386,3 +386,10 @@ def test_ngram_join_counts_lists_from_both_sides(spark):
         first.setdefault(t, i)
     assert len(got) == len(items) and all(got[i] == got[first[t]] for i, t in items)
     assert sorted(str((i, *got[i])) for i in first.values()) == brute_components([(i, t) for t, i in first.items()])
+
+
+def test_license_tags_in_any_case():
+    scan = licenses.scanner(licenses.NOTICES, licenses.BASE)
+    for tag in licenses.TAGS:
+        for text in (tag, tag.upper(), tag.title(), "".join(c.upper() if k % 2 else c for k, c in enumerate(tag))):
+            assert scan(f"{text} MIT\n")[5:] == ("mit", 1.0), text

@@ -119,8 +119,9 @@ def scanner(phrases: dict[str, str], base: dict[str, str]):
             if is_base:
                 starts.append(end - length + 1)
                 base_labels.add(label)
-        for end, _ in tags.iter((text or "").lower()) if text and ("dentifier" in text or "xpression" in text or "DENTIFIER" in text) else ():
-            line = text[end + 1 :].split("\n", 1)[0] if len(text.lower()) == len(text) else text.lower()[end + 1 :].split("\n", 1)[0]
+        low = (text or "").lower()
+        for end, _ in tags.iter(low) if "dentifier" in low or "xpression" in low else ():
+            line = (text if len(low) == len(text) else low)[end + 1 :].split("\n", 1)[0]
             if (value := evaluate(line)) is not None:
                 labels |= value[0]
                 free.append(value[1])
