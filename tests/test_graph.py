@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import graph, targets
+from weftline.operators import components, graph, targets
 
 DAY0 = dt.datetime(2020, 1, 1)
 
@@ -76,8 +76,9 @@ def test_sampling_is_bounded_and_repeats(spark):
     assert len(one) == 5 and one == two and hops(spark, edges, A, 1, sample=5, salt=1) != one
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "limit"), [(3, 500_000), (4, 500_000), (4, 0)])
+def test_components(spark, seed, limit, monkeypatch):
+    monkeypatch.setattr(components, "FOREST_NODES", limit)
     r = random.Random(seed)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(500 + i, 501 + i) for i in range(60)] + [(900, 900 + i) for i in range(80)]
     up = {}

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from weftline.sources.stage import staged
 
 
-#: Nodes that a task joins up in memory before it starts afresh.
+#: Nodes that a task joins up in memory before it starts afresh; edges of half as many are joined up by one task.
 FOREST_NODES = 500_000
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a partition, the same connections as edges (node, smallest node it is joined to)."""
+    """Within a partition, the same connections as edges (node, smallest node it is joined to), one for each node."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -28,7 +28,7 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return root
 
     def forest() -> pa.RecordBatch:
-        pairs = [(x, y) for x in up if (y := top(x)) != x]
+        pairs = [(x, top(x)) for x in up]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
@@ -45,16 +45,27 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, vertices: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label) for every end of an edge (and every vertex, if given): label is the smallest id that is reachable.
 
-    Partitions first reduce their edges to forests. Then large-star and small-star steps alternate, each a min per node
-    and an equi-join, until nothing changes; a path of length n takes about log n rounds. A hub's rows are
-    pre-aggregated by task and split by AQE's skew join; each round is staged in the shared folder. Null ends and self
-    loops add nothing but the node.
+    Partitions first reduce their edges to forests. Where these have few edges, one task joins them up. Where not,
+    large-star and small-star steps alternate, each a min per node and an equi-join, until nothing changes; a path of
+    length n takes about log n rounds. A hub's rows are pre-aggregated by task and split by AQE's skew join; each round is
+    staged in the shared folder. Null ends and self loops add nothing but the node.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if vertices is not None:
-        nodes = nodes.union(vertices.select(vertices.columns[0]).filter(F.col(vertices.columns[0]).isNotNull())).distinct()
-    work, before = staged(pairs.filter("a <> b").mapInArrow(_forest, "a long, b long"), "components"), None
+    work = staged(pairs.mapInArrow(_forest, "a long, b long"), "components")
+    if work.count() <= FOREST_NODES // 2:
+        labels = staged(work.repartition(1).mapInArrow(_forest, "a long, b long"), "components")
+    else:
+        labels = work.select("a").distinct().join(_stars(work.filter("a <> b")), "a", "left").select("a", F.coalesce("b", "a").alias("b"))
+    labels = labels.withColumnsRenamed({"a": "id", "b": "label"})
+    if vertices is None:
+        return labels
+    alone = vertices.select(F.col(vertices.columns[0]).cast("long").alias("id")).filter("id is not null").distinct().join(labels, "id", "left_anti")
+    return labels.union(alone.select("id", F.col("id").alias("label")))
+
+
+def _stars(work: DataFrame) -> DataFrame:
+    """(a, b) of edges to each node's smallest reachable node, for the nodes that have a smaller one."""
+    before = None
     while True:
         both = work.union(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -65,6 +76,5 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, a: str = "a"
         work = staged(small.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "components")
         now = tuple(work.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return work
         before = now
-    return nodes.join(work.select(F.col("a").alias("id"), F.col("b").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
