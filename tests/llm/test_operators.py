@@ -388,6 +388,40 @@ def test_ngram_join_counts_lists_from_both_sides(spark):
     assert sorted(str((i, *got[i])) for i in first.values()) == brute_components([(i, t) for t, i in first.items()])
 
 
+def edited_group(r, name):
+    """Short texts edited from one another, each in 1 to 16 exact copies, in words of their own."""
+    base, out = [f"{name}.{k}" for k in range(int(r.integers(9, 45)))], []
+    texts = [base]
+    for v in range(int(r.integers(2, 14))):
+        words = list(texts[int(r.integers(0, len(texts)))] if r.random() < 0.5 else base)
+        for _ in range(int(r.integers(0, 3))):
+            k = int(r.integers(0, len(words)))
+            words[k : k + int(r.integers(0, 2))] = [f"{name}.v{v}"] * int(r.integers(0, 2))
+        texts.append(words)
+    for words in texts:
+        out += [" ".join(words)] * int(r.integers(1, 17))
+    return out
+
+
+def test_ngram_join_on_many_vocabularies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART_MEMBERS", 4)
+    r = np.random.default_rng(11)
+    items, groups = [], []
+    for k in range(300):
+        texts = edited_group(r, f"g{k}")
+        groups.append([(len(items) + i, t) for i, t in enumerate(texts)])
+        items += groups[-1]
+    order = r.permutation(len(items))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows(ngram_join.near_duplicates(spark.createDataFrame([items[k] for k in order], "doc_id long, text string")))}
+    assert len(got) == len(items)
+    for group in groups:
+        first = {}
+        for i, t in group:
+            first.setdefault(t, i)
+        assert all(got[i] == got[first[t]] for i, t in group)
+        assert sorted(str((i, *got[i])) for i in first.values()) == brute_components([(i, t) for t, i in first.items()])
+
+
 def test_license_tags_in_any_case():
     scan = licenses.scanner(licenses.NOTICES, licenses.BASE)
     for tag in licenses.TAGS:

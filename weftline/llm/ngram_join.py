@@ -6,15 +6,17 @@ the prefix's tokens before the pair is verified. l grows with the candidates tha
 
 How it runs:
 1. Tasks turn slices of documents into hashed shingles and deal them out by hash range, packed as binary arrays.
-2. Each range counts in how many documents a shingle occurs and sends those of two and more documents back to
+   A shingle that a slice has in several documents goes once with its count; which documents stays with the slice.
+2. Each range sums in how many documents a shingle occurs and sends those of two and more documents back to
    their slice. A document that shares fewer than `need` shingles with anyone has no link and leaves here.
 3. Equal sets collapse into classes. In each prefix token's list the class with the largest shared part is the
-   leader; every other class is verified against the leader it shares most lists with. Links make components.
-4. Pairs of one component need no look. What is left of each list, across components, is checked against the
-   multi-match filter and bounds from lengths, places and classes both have met, and every pair that passes is
-   verified: no link is lost.
+   leader; every other class is verified against the leader it shares most lists with. Links make groups.
+4. Pairs of one group need no look. Across groups, the class of the smaller group looks for those of the larger, in
+   every list that has both, so that a pair's lists are counted in one place. What has enough of them, and passes
+   the bounds from lengths, places and classes both have met, is verified: no link is lost.
 
-Token ids are the first 46 bits or more of a 64-bit hash, class ids 128 bits of two sums over the set.
+Exact up to collisions of hashes: token ids are the first 46 bits or more of a 64-bit hash, set ids 128 bits of two
+sums over the set.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; a text of fewer than
 five words has its whole word sequence as its only shingle; repeated rows are separate documents of one class;
@@ -42,8 +44,11 @@ PERCENT = 75
 #: Bytes of text in a slice, and bytes of text for each hash range (64 ranges at least).
 SLICE_BYTES, RANGE_BYTES, LEAST_BITS = 1_000_000, 64_000_000, 6
 REST_BITS = 40
-#: Members of a list that travel together.
-BLOCK = 512
+#: Members of a list that travel together, and members of the longest list from which a class's partners are counted in
+#: several parts.
+BLOCK, PART_MEMBERS = 512, 8192
+#: In place of a document: the slice has the shingle in several.
+SEVERAL = 0xFFFF
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANK = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
@@ -119,14 +124,20 @@ def need_of(n: np.ndarray) -> np.ndarray:
     return (PERCENT * n + 99) // 100
 
 
-DEALT = pa.schema([("range", pa.int32()), ("src", pa.int64()), ("token", pa.binary()), ("extra", pa.binary()), ("doc", pa.binary()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("d1", pa.list_(pa.int64())), ("d2", pa.list_(pa.int64()))])
-DEALT_SQL = "range int, src long, token binary, extra binary, doc binary, ids array<long>, n array<int>, d1 array<long>, d2 array<long>"
-BACK_SQL = DEALT_SQL
+DEALT_SQL = "range int, src long, token binary, extra binary, doc binary, several binary, ids array<long>, n array<int>, d1 array<long>, d2 array<long>"
+DEALT = pa.schema(
+    [("range", pa.int32()), ("src", pa.int64()), *((c, pa.binary()) for c in ("token", "extra", "doc", "several")), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("d1", pa.list_(pa.int64())), ("d2", pa.list_(pa.int64()))]
+)
 DOCS_SQL = "doc_id long, n int, d1 long, d2 long, tokens array<long>, l int, prefix int"
 
 
+def dealt_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), DEALT, strict=True)], schema=DEALT)
+
+
 def deal(bits: int):
-    """Step 1: rows (range, slice, tokens, documents), and a row for each slice with its documents."""
+    """Step 1: rows (range, slice, tokens, documents, counts of those in several), and a row for each slice with its
+    documents and the (token, document) of what it has several times."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, part, count = Powers(), TaskContext.get().partitionId(), 0
@@ -143,21 +154,24 @@ def deal(bits: int):
                 at = np.concatenate([[0], np.cumsum(n)])
                 sums.append(mixed(total[at[1:]] - total[at[:-1]]).view(np.int64))
             order = np.argsort(tokens, kind="stable")
-            tokens, doc = tokens[order], doc[order].astype(np.uint16)
-            which = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-            rest = (tokens >> np.uint64(64 - bits - REST_BITS)) & np.uint64((1 << REST_BITS) - 1)
+            tokens, doc = tokens[order] >> np.uint64(64 - bits - REST_BITS), doc[order].astype(np.uint16)
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
+            times = np.diff(np.concatenate([first, [len(tokens)]]))
+            again = np.repeat(times > 1, times)
+            own = tokens[again].tobytes(), doc[again].tobytes()
+            tokens, doc = tokens[first], np.where(times > 1, np.uint16(SEVERAL), doc[first]).astype(np.uint16)
+            which = (tokens >> np.uint64(REST_BITS)).astype(np.int64)
+            rest = tokens & np.uint64((1 << REST_BITS) - 1)
             low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
             at = np.searchsorted(which, np.arange((1 << bits) + 1))
-            ranges = np.flatnonzero(np.diff(at))
-            cut = lambda x: [x[at[r] : at[r + 1]].tobytes() for r in ranges]
-            none = [None] * len(ranges)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*ranges.tolist(), (1 << bits) + src % (1 << bits)], pa.int32()), pa.array([src] * (len(ranges) + 1), pa.int64()), pa.array([*cut(low), None], pa.binary()), pa.array([*cut(high), None], pa.binary()), pa.array([*cut(doc), None], pa.binary()),
-                    pa.array([*none, ids], DEALT.field("ids").type), pa.array([*none, n.tolist()], DEALT.field("n").type), pa.array([*none, sums[0].tolist()], DEALT.field("d1").type), pa.array([*none, sums[1].tolist()], DEALT.field("d2").type),
-                ],
-                schema=DEALT,
-            )
+            ranges = np.flatnonzero(np.diff(at)).tolist()
+            rows = []
+            for r in ranges:
+                of = slice(at[r], at[r + 1])
+                several = times[of][times[of] > 1].astype(np.uint16)
+                rows.append((r, src, low[of].tobytes(), high[of].tobytes(), doc[of].tobytes(), several.tobytes(), None, None, None, None))
+            rows.append(((1 << bits) + src % (1 << bits), src, own[0], None, own[1], None, ids, n.tolist(), sums[0].tolist(), sums[1].tolist()))
+            return dealt_rows(rows)
 
         ids, texts, size = [], [], 0
         for batch in batches:
@@ -187,21 +201,22 @@ def count_range(bits: int):
             return rows
         high = np.uint64(rows.column("range")[0].as_py())
         low, extra, doc = arrays(rows.column("token"), np.uint32), arrays(rows.column("extra"), np.uint8), arrays(rows.column("doc"), np.uint16)
-        sizes = [len(x) for x in low]
+        at = np.cumsum([0, *map(len, low)])
         token = np.concatenate(low).astype(np.uint64) | np.concatenate(extra).astype(np.uint64) << np.uint64(32)
-        _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
-        df = count[inverse]
-        keep = df > 1
-        token |= high << np.uint64(REST_BITS)
-        level = np.round(8 * np.log2(np.maximum(df, 1))).astype(np.uint8)
         doc = np.concatenate(doc)
-        out, at = [], 0
-        for src, n in zip(rows.column("src").to_pylist(), sizes, strict=True):
-            k = keep[at : at + n]
-            if k.any():
-                out.append((0, src, token[at : at + n][k].tobytes(), level[at : at + n][k].tobytes(), doc[at : at + n][k].tobytes(), None, None, None, None))
-            at += n
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), DEALT, strict=True)], schema=DEALT) if out else DEALT.empty_table()
+        times = np.ones(len(token))
+        times[doc == SEVERAL] = np.concatenate(arrays(rows.column("several"), np.uint16))
+        _, inverse = np.unique(token, return_inverse=True)
+        df = np.bincount(inverse, weights=times)[inverse]
+        token |= high << np.uint64(REST_BITS)
+        level = np.round(8 * np.log2(df)).astype(np.uint16)
+        out = []
+        for k, src in enumerate(rows.column("src").to_pylist()):
+            part = slice(at[k], at[k + 1])
+            keep = df[part] > 1
+            if keep.any():
+                out.append((0, src, token[part][keep].tobytes(), level[part][keep].tobytes(), doc[part][keep].tobytes(), None, None, None, None, None))
+        return pa.Table.from_batches([dealt_rows(out)]) if out else DEALT.empty_table()
 
     return run
 
@@ -210,10 +225,15 @@ def settle(rows: pa.Table) -> pa.Table:
     """Step 2, back at a slice: each document with its shared tokens, rare ones first, its l and prefix length.
     tokens is null where no link is possible."""
     rows = rows.cast(DEALT)
-    shared = rows.filter(pa.compute.is_valid(rows.column("token")))
+    shared = rows.filter(pa.compute.is_valid(rows.column("extra")))
     about = rows.filter(pa.compute.is_valid(rows.column("ids"))).to_pylist()[0]
     join = lambda name, kind: np.concatenate([np.empty(0, kind), *arrays(shared.column(name), kind)])
-    token, level, doc = join("token", np.uint64), join("extra", np.uint8), join("doc", np.uint16)
+    token, level, doc = join("token", np.uint64), join("extra", np.uint16), join("doc", np.uint16)
+    # What the slice has in several documents came once: give it to each of them.
+    own, owner = np.frombuffer(about["token"], np.uint64), np.frombuffer(about["doc"], np.uint16)
+    many, one = np.flatnonzero(doc == SEVERAL), doc != SEVERAL
+    many = many[np.argsort(token[many])]
+    token, level, doc = np.concatenate([token[one], own]), np.concatenate([level[one], level[many][np.searchsorted(token[many], own)]]), np.concatenate([doc[one], owner])
     order = np.lexsort((token, level, doc))
     token, level, doc = token[order].view(np.int64), level[order], doc[order]
     n = np.array(about["n"], np.int64)
@@ -244,7 +264,7 @@ def shared_sets(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal(bits), DEALT_SQL)
-    counted = dealt.groupBy("range").applyInArrow(count_range(bits), BACK_SQL)
+    counted = dealt.groupBy("range").applyInArrow(count_range(bits), DEALT_SQL)
     return staged(counted.groupBy("src").applyInArrow(settle, DOCS_SQL), "shingle-sets")
 
 
@@ -267,7 +287,7 @@ def least_same(na: str, nb: str) -> str:
 #: before and behind this token in the common order; and, for a class p that both have met (same y.i and z.i of p's
 #: tokens), no more than the less of these and the less of what either shares outside of p.
 POSSIBLE = f"""
-x.g <> g and {least_same("n", "x.n")} <= least(k, x.k, n, x.n)
+{least_same("n", "x.n")} <= least(k, x.k, n, x.n)
 and {least_same("n", "x.n")} <= least(at, x.at) + 1 + least(k - at - 1, x.k - x.at - 1)
 and not exists(met, y -> exists(x.met, z -> z.p = y.p and {least_same("n", "x.n")} > least(y.i, z.i) + least(k - y.i, x.k - z.i)))
 """
@@ -287,6 +307,15 @@ def leaders(known: DataFrame, sets: DataFrame, outside: bool) -> DataFrame:
     return staged(verified(best.select(F.col("c").alias("a"), "b"), sets), "leader-pairs")
 
 
+def multi_match(rows: pa.Table) -> pa.Table:
+    """Of a class, the partners that share as many prefix tokens as the lesser l of the two asks for."""
+    b = np.concatenate([np.asarray(x, np.int64) for x in rows.column("b").to_pylist()])
+    l = np.concatenate([np.asarray(x, np.int64) for x in rows.column("lb").to_pylist()])  # noqa: E741
+    partner, first, count = np.unique(b, return_index=True, return_counts=True)
+    enough = partner[count >= np.minimum(l[first], rows.column("l")[0].as_py())]
+    return pa.table({"a": pa.array([rows.column("c")[0].as_py()], pa.int64()), "b": pa.array([enough], pa.list_(pa.int64()))})
+
+
 def link_classes(sets: DataFrame) -> DataFrame:
     """Steps 3 and 4 over classes (c, n, k, l, prefix, tokens): (id, label) of the classes that link with another."""
     every = sets.select("c", "n", "k", "l", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("at", "t"))
@@ -296,23 +325,26 @@ def link_classes(sets: DataFrame) -> DataFrame:
     # Groups so far: a class goes with its leader, and the leader with its own. Same group, same component.
     up = first.filter("linked").select(F.col("a").alias("c"), F.col("b").alias("g"))
     up = up.join(up.select(F.col("c").alias("g"), F.col("g").alias("gg")), "g", "left").select("c", F.coalesce("gg", "g").alias("g"))
-    known = staged(lists.join(up, "c", "left").withColumn("g", F.coalesce("g", "c")), "prefix-lists-known")
+    sizes = up.groupBy("g").agg((F.count("*") + 1).alias("s"))
+    up = staged(up.join(sizes, "g").select("c", "g", "s").union(sizes.select(F.col("g").alias("c"), "g", "s").join(up, "c", "left_anti")), "groups")
+    known = staged(lists.join(up, "c", "left").withColumn("g", F.coalesce("g", "c")).withColumn("s", F.coalesce("s", F.lit(1))), "prefix-lists-known")
     seen = first.union(leaders(known, sets, outside=True))
-    # The rest, exactly: members outside a list's largest group against the whole list.
-    groups = known.groupBy("t", "g").agg(F.count("*").alias("m"))
-    big = groups.groupBy("t").agg(F.max(F.struct("m", "g")).alias("big"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1").select("t", F.col("big.g").alias("bg"), "all")
+    # The rest, exactly: each class against the members of larger groups, in all lists that have both.
+    groups = known.groupBy("t", "g").agg(F.count("*").alias("m"), F.first("s").alias("s"))
+    mixed_lists = staged(groups.groupBy("t").agg(F.max(F.struct("s", "g"))["g"].alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1").drop("parts"), "mixed-lists")
+    longest = mixed_lists.agg(F.max("all")).first()[0] or 0
+    parts = 1 << max(0, int(np.ceil(np.log2(max(1, longest / PART_MEMBERS)))))
     own = seen.select(F.col("b").alias("c")).distinct().join(sets.select("c", F.col("k").alias("same")), "c").select("c", F.col("c").alias("p"), "same")
     met = seen.select(F.col("a").alias("c"), F.col("b").alias("p"), "same").union(own).groupBy("c").agg(F.collect_list(F.struct("p", F.col("same").alias("i"))).alias("met"))
-    open_lists = known.join(big, "t").join(met, "c", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<p:bigint,i:int>>")))
-    member = F.struct("c", "g", "n", "k", "l", "at", "met")
-    spread = F.pmod(F.xxhash64("c"), F.ceil(F.col("all") / F.lit(BLOCK))).alias("block")
-    blocks = open_lists.groupBy("t", spread).agg(F.collect_list(member).alias("members")).select("t", "members")
-    # A list has a pair once, from either side: which side has it can differ from list to list, so the pair is counted.
-    rest = open_lists.filter("g <> bg").select("t", "c", "g", "n", "k", "l", "at", "met", "bg")
-    found = rest.join(blocks, "t").select("c", "l", F.explode(F.expr(f"filter(members, x -> (x.g = bg or c < x.c) and {POSSIBLE})")).alias("x"))
-    shared = found.groupBy(F.least("c", "x.c").alias("a"), F.greatest("c", "x.c").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l", "x.l")).alias("l"))
-    pairs = shared.filter("m >= l").select("a", "b")
-    rest_pairs = staged(verified(pairs, sets), "rest-pairs")
+    members = known.join(mixed_lists, "t").join(met, "c", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<p:bigint,i:int>>")))
+    part = F.pmod(F.xxhash64("c"), F.lit(parts)).alias("part")
+    block = F.pmod(F.xxhash64("c", F.lit(1)), F.ceil(F.col("all") / F.lit(BLOCK * parts))).alias("block")
+    blocks = members.groupBy("t", part, block).agg(F.collect_list(F.struct("c", "g", "s", "n", "k", "l", "at", "met")).alias("members")).select("t", "part", "members")
+    seekers = members.filter("g <> top").select("t", "c", "g", "s", "n", "k", "l", "at", "met")
+    larger = "(x.s > s or x.s = s and x.g > g)"
+    fits = seekers.join(blocks, "t").select("c", "l", "part", F.expr(f"filter(members, x -> {larger} and {POSSIBLE})").alias("found")).filter("size(found) > 0")
+    enough = fits.select("c", "l", "part", F.col("found.c").alias("b"), F.col("found.l").alias("lb")).groupBy("c", "part").applyInArrow(multi_match, "a long, b array<long>")
+    rest_pairs = staged(verified(enough.select("a", F.explode("b").alias("b")), sets), "rest-pairs")
     return staged(components(seen.union(rest_pairs).filter("linked")), "class-labels")
 
 
