@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests_llm_brute import brute_components, brute_targets
@@ -65,7 +66,8 @@ def test_best_fit_and_bound(seed):
     lengths = np.sort(r.integers(1, 2049 if seed % 2 else 1200, 3000))[::-1]
     where, offset, fills = packing.best_fit(lengths)
     assert np.array_equal(np.bincount(where, lengths), fills) and fills.max() <= 2048
-    assert packing.lower_bound(lengths) <= len(fills) <= 1.1 * packing.lower_bound(lengths) + 1
+    bound = packing.lower_bound(np.bincount(lengths, minlength=2049))
+    assert bound <= len(fills) <= 1.1 * bound + 1
     # brute force: the fullest bin with room, first of equals by any order, gives the same number of bins
     open_bins = []
     for n in lengths.tolist():
@@ -78,26 +80,46 @@ def test_best_fit_and_bound(seed):
 
 
 def test_lower_bound_is_a_bound():
-    assert packing.lower_bound(np.array([1025] * 10)) == 10
-    assert packing.lower_bound(np.array([683, 683, 683])) == 2
-    assert packing.lower_bound(np.array([], int)) == 0
-
-
-def test_pools_merge_gaps(spark):
-    df = spark.range(4000).selectExpr("id as doc_id", "0 as piece", "0L as start", "300 + pmod(xxhash64(id), 900) as length", "id as ids_crc32")
+    bound = lambda lengths: packing.lower_bound(np.bincount(np.array(lengths, int), minlength=2049))
+    assert bound([1025] * 10) == 10
+    assert bound([683, 683, 683]) == 2
+    assert bound([]) == 0
+
+
+@pytest.mark.parametrize(("low", "spread"), [(300, 900), (690, 660), (5, 60)])
+def test_pools_merge_gaps_and_stay_small(spark, monkeypatch, low, spread):
+    frames = []
+    plain = packing.staged
+    monkeypatch.setattr(packing, "staged", lambda df, name: frames.append(plain(df, name)) or frames[-1])
+    df = spark.range(4000).selectExpr("id as doc_id", "0 as piece", "0L as start", f"{low} + pmod(xxhash64(id), {spread}) as length", "id as ids_crc32")
     got = packing.pack(df, part_pieces=100)
     bins = got.groupBy("sequence_id").agg({"length": "sum"}).collect()
     lengths = np.array([r[0] for r in df.select("length").collect()])
-    assert max(r[1] for r in bins) <= 2048 and got.count() == 4000
-    assert len(bins) <= 1.03 * packing.lower_bound(lengths) + 1
+    assert max(r[1] for r in bins) <= 2048 and got.count() == got.select("doc_id").distinct().count() == 4000
+    first = frames[1].select("sequence_id").distinct().count()
+    assert len(bins) <= first and len(bins) <= 1.06 * packing.lower_bound(np.bincount(lengths, minlength=2049)) + 1
+    assert all(f.groupBy("part").count().agg({"count": "max"}).first()[0] < 160 for f in frames[1:])
 
 
-def test_encoder_equals_tokenizer():
+def test_encoder_equals_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    texts = ["", "a<|endoftext|>b", "x\x1cy", "İstanbul ΣΑΣ don't it's", "é\u00a0a\u2003b", " \u0338a", "5€ 12345 ## hello,world"]
-    assert packing.Encoder(packing.default_tokenizer()).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts = ["", "a<|endoftext|>b", "x\x1cy", "İstanbul ΣΑΣ don't it's", "é\u00a0a\u2003b", " \u0338a", "5€ 12345 ## hello,world", "  ", "ÿ\u0100 “odd” words – and plain's ones\n\n²½", LONG]
+    odd = [chr(c) for c in [*range(0x200), *range(0x200), 0x2014, 0x201C, 0x300, 0x3A3, 0x130, 0x4E00, 0x1F600, 0x200B, 0x2028, 0x660, 0xFB01, 0x1E9E]] + [" "] * 90 + ["'s", "'RE", "<|", "<|endoftext|>"]
+    r = np.random.default_rng(5)
+    texts += ["".join(odd[k] for k in r.integers(0, len(odd), r.integers(1, 40))) for _ in range(3000)]
+    for remembered in (250_000, 5):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        assert packing.Encoder(packing.default_tokenizer()).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_slices_are_whole_and_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": ["abc", None, "x" * 50, "defgh", "", "ij", "klmno"]})
+    parts = [p.column(0).to_pylist() for p in packing.slices([batch])]
+    assert parts == [[0, 1], [2], [3, 4, 5], [6]]
+    assert list(packing.slices([batch.slice(0, 0)])) == []
 
 
 # --- HTML

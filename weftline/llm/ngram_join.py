@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -225,8 +226,8 @@ def settle(rows: pa.Table) -> pa.Table:
     """Step 2, back at a slice: each document with its shared tokens, rare ones first, its l and prefix length.
     tokens is null where no link is possible."""
     rows = rows.cast(DEALT)
-    shared = rows.filter(pa.compute.is_valid(rows.column("extra")))
-    about = rows.filter(pa.compute.is_valid(rows.column("ids"))).to_pylist()[0]
+    shared = rows.filter(pc.is_valid(rows.column("extra")))
+    about = rows.filter(pc.is_valid(rows.column("ids"))).to_pylist()[0]
     join = lambda name, kind: np.concatenate([np.empty(0, kind), *arrays(shared.column(name), kind)])
     token, level, doc = join("token", np.uint64), join("extra", np.uint16), join("doc", np.uint16)
     # What the slice has in several documents came once: give it to each of them.
