@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import components, graph, targets
+from weftline.operators import components, graph, running, targets
 
 DAY0 = dt.datetime(2020, 1, 1)
 
@@ -136,3 +136,14 @@ def test_window_samples(spark):
     windows = spark.createDataFrame([(x, DAY0, DAY0 + dt.timedelta(days=4), DAY0 + dt.timedelta(days=8)) for x in (A, C)], "id long, start timestamp_ntz, pivot timestamp_ntz, end timestamp_ntz")
     rows = targets.window_samples(obs, windows).collect()
     assert [(r["id"], r["n_in"], r["n_out"], r["target"], r["weight"]) for r in rows] == [(A, 1, 2, 0.0, 2)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_running_sums(spark, n):
+    df = spark.range(n).selectExpr("pmod(xxhash64(id), 1000003) as k", "id as v")
+    rows = sorted((r["k"], r["v"], r["at"], r["s"]) for r in running.running_sums(df, ["k", "v"], {"at": F.lit(1), "s": F.col("v") * 0.5}).collect())
+    total = 0.0
+    for at, (_, v, place, s) in enumerate(rows):
+        assert (place, s) == (at, total)
+        total += v * 0.5
+    assert len(rows) == n

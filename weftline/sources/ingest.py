@@ -6,10 +6,11 @@ Ids are given when a batch is stored (`numbered`): a later batch has greater ids
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as texts
+from weftline.operators.running import running_sums
 
 
 def ref(kind: str, key: Column) -> Column:
@@ -59,18 +60,9 @@ def numbered(entities: DataFrame, observations: DataFrame, batch_id: int, base:
     return e.drop("key"), o
 
 
-def with_ids(df: DataFrame, keys: list[str], base: int, ranges: int = 64) -> DataFrame:
-    """df with `id`: base, base + 1, ... without a pass through one task. Rows are dealt to buckets by a hash of their
-    keys; a bucket numbers its rows in key order and starts behind the buckets before it (64 counts, at the driver)."""
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(ranges)))
-    sizes = {r["_bucket"]: r["count"] for r in dealt.groupBy("_bucket").count().collect()}
-    starts, total = {}, base
-    for b in range(ranges):
-        starts[b] = total
-        total += sizes.get(b, 0)
-    offset = F.element_at(F.array(*[F.lit(starts[b]) for b in range(ranges)]), (F.col("_bucket") + 1).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - 1
-    return dealt.withColumn("id", (offset + rank).cast("long")).drop("_bucket")
+def with_ids(df: DataFrame, keys: list[str], base: int) -> DataFrame:
+    """df with `id`: base, base + 1, ... in the order of the keys."""
+    return running_sums(df, keys, {"id": F.lit(1)}).withColumn("id", (F.col("id") + base).cast("long"))
 
 
 def git(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
