@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir, staged, table
 
-#: Raw bytes of records in an archive, bytes of it that train its dictionary, and the dictionary's size.
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 8_000_000, 1_500_000, 32_768
+#: Raw bytes of records in an archive, bytes of it that train its dictionary in windows of so many, and the dictionary's
+#: size; archives that a task reads back.
+ARCHIVE_BYTES, SAMPLE_BYTES, WINDOW_BYTES, DICTIONARY_BYTES, ARCHIVES_A_TASK = 8_000_000, 1_500_000, 4096, 32_768, 2
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,13 +48,15 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 
 
 def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """Trained on the archive's first records; raw content where they are too few to train on."""
-    sample, size = [], 0
+    """Trained on windows that are spread evenly over all the archive's records; raw content where too few to train on."""
+    size = sum(map(len, records))
+    every = max(1, -(-size // SAMPLE_BYTES))
+    # The archive's bytes in windows; each `every`-th is taken, wherever its record begins.
+    sample, at = [], 0
     for r in records:
-        sample.append(r[:100_000])
-        size += len(sample[-1])
-        if size >= SAMPLE_BYTES:
-            break
+        first = -(at // WINDOW_BYTES) % every
+        sample += [w for k in range(first * WINDOW_BYTES, len(r), every * WINDOW_BYTES) if (w := r[k : k + WINDOW_BYTES])]
+        at += -(-len(r) // WINDOW_BYTES) * WINDOW_BYTES
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=512, d=8)
     except zstandard.ZstdError:
@@ -108,7 +111,8 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives below a folder; returns the manifest (path, n_records, n_bytes) as a stored table."""
-    known = revisits(pages, min_bytes).withColumnsRenamed({"page_id": "_p", "digest": "_d"})
+    # A stored table of narrow rows: where its files are small, Spark sends it to the tasks and no page is shuffled.
+    known = staged(revisits(pages, min_bytes).withColumnsRenamed({"page_id": "_p", "digest": "_d"}), "warc-revisits")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     joined = rows.join(known, F.col("page_id").eqNullSafe(F.col("_p")) & (F.sha1(F.col("html").cast("binary")) == F.col("_d")), "left").select("page_id", "url", "html", "refers_to")
 
@@ -174,7 +178,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    tasks = max(1, -(-manifest.count() // ARCHIVES_A_TASK))
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def op9(spark, sf_dir):
