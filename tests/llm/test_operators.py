@@ -229,6 +229,28 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(k, "a b c", "s" if k % 2 else None, 77, 88.0, 5, 9, "o", "d") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, rate double, copies long, draw long, of string, doc string")
+    out = mixing.emit(docs)
+    assert out.columns == docs.columns and {r[3:] for r in map(tuple, out.collect())} == {(77, 88.0, 5, 9, "o", "d")}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "draw", "of", "doc", "size", "source_size", "target", "rate", "copies"]
+    assert mixing.emit(docs.limit(0)).count() == 0
+
+
+def test_mixing_of_very_many_sources(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', 1 + int(pmod(xxhash64(id), 30))) as text", "concat('s', pmod(id, 500)) as source")
+    sizes = {r["source"]: r["n"] for r in docs.selectExpr("source", "size(split(trim(text), ' ')) as n").groupBy("source").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    want = brute_targets(sizes)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
+
+
 def test_mix_meets_targets(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', 1 + cast(id % 50 as int)) as text", "concat('s', id % 7 * (id % 3)) as source")
     for r in mixing.mix(docs).groupBy("source").agg({"target": "max", "source_size": "max"}).join(mixing.mix(docs).selectExpr("source as s", "size * copies as taken").groupBy("s").sum("taken"), mixing.F.col("s") == mixing.F.col("source")).collect():
@@ -344,6 +366,18 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0), folder), folder).count() == 0
 
 
+def test_dictionary_sees_every_part_of_an_archive(monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, sample, **_: seen.append(sample) or (_ for _ in ()).throw(warc.zstandard.ZstdError("few")))
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 60_000)
+    records = [bytes([k]) * n for k, n in enumerate([100_000, 10, 300_000, 50_000, 9_000])]
+    warc.dictionary(records)
+    size = sum(map(len, seen[0]))
+    assert 40_000 < size < 80_000 and {0, 2, 3} <= {w[0] for w in seen[0]}
+    warc.dictionary(records[1:2])
+    assert seen[1] == records[1:2]
+
+
 def test_archive_needs_no_more_than_itself():
     records = [warc.record(i, f"http://h/{i}", f"<p>text {i}</p>".encode() * 20, None) for i in range(300)]
     data = warc.archive(records)

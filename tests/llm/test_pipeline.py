@@ -53,3 +53,27 @@ def test_stages(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_run_returns_pieces(spark):
     assert set(corpus_pipeline.run(spark, DATA).columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def odd_documents(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(7, text, "en", "a", 1, "x"), (7, "another text of the same id with words of its own here", "en", "a", 1, "x"), (3, text.upper(), None, None, None, None), (None, text, "en", "b", 2, "y"), (None, "words without an id that nobody else has at all", "en", "b", 2, "y"), (5, "", "en", "a", 0, "z"), (6, None, "en", "a", 0, "z"), (8, "tie one", "en", "a", 1, "x"), (8, "tie one", "en", "a", 1, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, key long, doc string")
+
+
+def test_one_of_each_on_odd_rows(spark):
+    docs = odd_documents(spark)
+    out = corpus_pipeline.one_of_each(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted((str(r["doc_id"]), str(r["text"])[:7]) for r in out.collect())
+    assert got == sorted([("7", "another"), ("3", "ONE TWO"), ("None", "words w"), ("5", ""), ("6", "None"), ("8", "tie one")])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_stages_on_odd_and_empty_tables(spark):
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = corpus_pipeline.staged(stage(spark, docs, DATA), "odd")
+            assert k == 3 or docs.columns == columns
+        assert docs.filter("offset is null or sequence_id is null").count() == 0

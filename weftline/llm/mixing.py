@@ -6,19 +6,18 @@ seed and the document's id, so reruns and retried tasks agree. DataFrame functio
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own and
 sorts last; repeated rows draw alike; a null doc_id draws by its text; an empty table gives an empty table.
-Other columns of the input stay, whatever their names.
+Other columns of the input stay in `emit`, whatever their names; `mix` replaces those named like its results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from weftline.operators.running import running_sums
+
+from .common import BLANKS, staged
 
-#: Sources up to this number go to the tasks as a table of one row each (under 5 MB); more are joined by shuffle, where
-#: AQE splits the hot ones.
-BROADCAST_SOURCES = 50_000
 #: Bits of the draw, taken from the front of an MD5.
 DRAW = 32
 
@@ -29,51 +28,56 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """(source, source_size, target, rate) from rows (source, size).
+    """(source, source_size, target, rate) from rows (source, size), stored.
 
     The shares are a water level: a source gets level * weight, or `most` times its size where that is less.
     Sorted by the level at which each source fills up, the full ones come first, and running sums give the
-    level. The windows run over one row a source, after the sums; not over documents.
+    level. The sums run over ranges of sources, so their number has no bound.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.array(*[F.lit(float(w)) for w in weights])
-    rows = by_source.withColumn("_at", F.row_number().over(ordered) - 1).withColumn("_w", F.element_at(pick, (F.col("_at") % len(weights) + 1).cast("int")))
+    ranked = running_sums(by_source, [F.col("source").asc_nulls_last()], {"_at": F.lit(1)})
+    rows = ranked.withColumn("_w", F.element_at(pick, (F.col("_at") % len(weights) + 1).cast("int")))
     rows = rows.withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_full", F.col("_cap") / F.col("_w"))
-    by_level = Window.orderBy("_full", "_at")
-    everything = Window.partitionBy()
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumn("_left", F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-    rows = rows.withColumn("_level", F.col("_left") / F.sum("_w").over(after)).withColumn("_open", F.col("_full") > F.col("_level"))
-    first_open = F.min(F.when(F.col("_open"), F.struct("_full", "_at", "_level"))).over(everything)
-    rows = rows.withColumn("_water", first_open["_level"])
-    target = F.when(F.col("_water").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_water") * F.col("_w")))
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("_target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    return rows.withColumn("_target", target).select("source", "source_size", F.col("_target").alias("target"), rate.alias("rate"))
-
-
-def draw(seed: int) -> Column:
+    rows = staged(running_sums(rows, ["_full", "_at"], {"_caps": F.col("_cap"), "_ws": F.col("_w")}), "source-levels")
+    size, weight = rows.agg(F.sum("source_size").cast("double"), F.sum("_w")).first()
+    rows = rows.withColumn("_level", (F.lit(size or 0.0) - F.col("_caps")) / (F.lit(weight or 0.0) - F.col("_ws")))
+    first_open = rows.filter("_full > _level").agg(F.min(F.struct("_full", "_at", "_level"))).first()[0]
+    target = F.col("_cap") if first_open is None else F.least(F.col("_cap"), F.lit(first_open["_level"]) * F.col("_w"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    return staged(rows.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate")), "source-shares")
+
+
+def draw(seed: int, doc_id: Column, text: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the document alone."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), text, F.lit("")))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, DRAW // 4), 16, 10).cast("long") / F.lit(float(2**DRAW))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20) -> DataFrame:
-    """The documents with size, source_size, target, rate and copies (how often the mix takes each)."""
-    sized = docs.drop("size", "source_size", "target", "rate", "copies").withColumns({"size": n_words(F.col("text")), "_draw": draw(seed)})
-    shares = targets(sized, weights, most).withColumnRenamed("source", "_source")
-    if docs.select("source").distinct().count() <= BROADCAST_SOURCES:
-        shares = F.broadcast(shares)
-    joined = sized.join(shares, sized["source"].eqNullSafe(shares["_source"]), "left").drop("_source")
+def drawn(docs: DataFrame, weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
+    """(doc struct, size, source_size, target, rate, copies): the input's columns apart, so that no name can clash."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    sized = docs.select(doc, F.col("source").alias("source"), n_words(F.col("text")).alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("draw"))
+    # The shares are a stored table of a row a source: Spark sends it to the tasks where its files are small, and
+    # shuffles, with AQE splitting the hot sources, where not.
+    shares = targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "of")
+    joined = sized.join(shares, sized["source"].eqNullSafe(shares["of"]), "left")
     whole = F.floor("rate")
-    copies = F.least(whole + (F.col("_draw") < F.col("rate") - whole).cast("long"), F.lit(int(most)))
-    return joined.withColumn("copies", copies.cast("long")).drop("_draw")
+    copies = F.least(whole + (F.col("draw") < F.col("rate") - whole).cast("long"), F.lit(int(most)))
+    return joined.select("doc", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20) -> DataFrame:
+    """The documents with size, source_size, target, rate and copies (how often the mix takes each), which replace columns
+    of these names."""
+    added = ["size", "source_size", "target", "rate", "copies"]
+    return drawn(docs, weights, most, seed).select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in added], *added)
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each document as many times as it is taken, with its own columns."""
-    return mix(docs, **options).withColumn("_copy", F.explode(F.expr("sequence(1L, greatest(copies, 1L))"))).filter("_copy <= copies").select(*docs.columns)
+def emit(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20) -> DataFrame:
+    """The mixed corpus itself: each document as many times as it is taken, with its own columns, whatever their names."""
+    taken = drawn(docs, weights, most, seed).filter("copies > 0")
+    return taken.select("doc", F.explode(F.expr("sequence(1L, copies)"))).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op5(spark, sf_dir):
