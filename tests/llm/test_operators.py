@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -142,6 +143,36 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+SAID = "lorem ipsum dolor sit amet, a paragraph of the text that goes on."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><form id=f><div><input type=hidden><h1>Head</h1>{5}</div><label>name</label><input></form><div class=footer>foot</div>", "Head {5}"), ("<body><form><p>Please sign in here</p><input></form><div id=c>{4}</div>", "{4}"),
+        ("<main><h1>H</h1>{2}<section id=discussion><h2>Discussion</h2>{2}</section><div class='notice-period'>Two weeks {1}</div><div class='cookie-notice'>cookies!</div></main>", "H {2} Discussion {2} Two weeks {1}"),
+        ("<body><article><h2>A</h2>{3}</article><article><h2>B</h2>{2}</article><article><h2>C</h2>{4}</article><article class=card><a href=x>more</a></article>", "A {3} B {2} C {4}"),
+        ("<main>{3}<div class=related><a href=x>one link text here</a> <a href=y>another link</a></div></main>", "{3}"), ("<article>{3}<section class=comments><div class=comment>{4}</div></section></article>", "{3}"),
+    ],
+)
+def test_density_decides_inside_articles(page, text):
+    marked = re.sub(r"\{(\d)\}", lambda m: f"<p>{SAID}</p>" * int(m[1]), page)
+    assert html_text.main_text(marked) == re.sub(r"\{(\d)\}", lambda m: " ".join([SAID] * int(m[1])), text)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 1_700_000, '<a "' * 800_000 + ">", "<a '\"" * 300_001 + ">", "<b>" * 6000 + "</i>" * 6000, "<i><table><td>" + "<b>" * 10_000 + "</i>" * 10_000, "<b>" * 8000 + "<h1></h1>" * 8000, "<!" * 2_500_000, "<![CDATA[" * 500_000, "<div class=side>" * 3000 + "<article>" * 3000,
+        "<ul>" + "<li><b>" * 10_000, "<div>" * 20_000 + "x", "word " * 1_000_000,
+    ],
+)
+def test_long_odd_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 3
+
+
 def test_extract_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = rows(html_text.extract(pages))

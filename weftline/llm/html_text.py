@@ -4,11 +4,15 @@ The page becomes a tree. A node's density is its characters per tag, scaled down
 are link text; a node's density sum adds its children's densities. The subtree with the greatest sum is the
 candidate; the least density on the path from it up to the body is the threshold, and within the chosen subtree
 parts that fall below it and are mostly links are left out. An article or main element around the candidate is
-taken whole. Elements that are no text by their name, role, class or id go first.
+taken whole, and so are its sibling articles that reach the threshold.
+
+Elements that are no text by their name, role, class or id go first. Where a word can also mean a part of an article,
+density decides: inside an article or main element such a part goes only if half of its text is links, and a form
+stays if it holds most of the page's text.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; unclosed and stray tags are
-repaired as browsers do in the common cases; repeated rows are worked each; an empty table gives an empty table;
-other columns are left out of the result.
+repaired as browsers do in the common cases, in time that grows with the page's length; repeated rows are worked each;
+an empty table gives an empty table; other columns are left out of the result.
 """
 
 from __future__ import annotations
@@ -31,156 +35,228 @@ CLOSES_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "
 #: A start tag closes an open element of these names, up to the boundary elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 SCOPE = frozenset("table td th caption html body button object article section div main aside nav footer header form".split())
 #: Words of a class or id that name what is no article text, and roles that do.
 NOT_TEXT = frozenset(
     "ad ads adv adbox adslot adunit advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted commercial nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar sidebars side aside rail widget widgets footer foot masthead topbar toolbar header "
     "comment comments commentlist disqus replies reply respond responses feedback discussion cookie cookies consent gdpr disclaimer notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations teaser popular trending tags copyright legal skip hidden".split()
 )
-#: Of these, the ones that also name an article's own parts and count outside articles only.
-ONLY_OUTSIDE = frozenset("header tags legal teaser aside related promotion".split())
+#: Of these, the ones that also name an article's own parts: inside articles density decides.
+ALSO_TEXT = frozenset("header tags legal teaser aside related promotion discussion feedback responses respond side popular trending commercial search navigation".split())
+#: Words of reader comments and teasers: they drop even an article element, and whatever stands inside.
+NOT_EVEN_ARTICLES = frozenset("comment comments commentlist disqus reply replies respond responses discussion ad ads advert adverts advertisement sponsored teaser related promo recommended".split())
+#: What stands beside such a word in a name like "cookie-notice-box" without a meaning of its own.
+STRUCTURE = frozenset("area bar block body bottom box button buttons center col column container content count default entry fixed form global group head holder icon inline inner item items layout left link links list main meta mobile module page panel placeholder post primary right row secondary section site slot small sticky text title top unit wrap wrapper wide view".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 MARKS = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, to the > outside of quotes; or to the next >, where a quote is never closed.
+TAG_END, PLAIN_END = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), re.compile(r"([^>]*+)>")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "drop", "links", "link_chars", "name", "parent", "sum", "tags")
+    __slots__ = ("chars", "children", "density", "depth", "drop", "in_article", "link_chars", "links", "name", "parent", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None, drop: int = 0):
         self.name, self.parent, self.drop = name, parent, drop
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.in_article = name in ("article", "main") or parent is not None and parent.in_article
         self.children: list[Node | str] = []
 
 
-def inside_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.name in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+#: Degrees of dropping: not; if half of it is links; unless it holds most of the page; by a layout word (an article
+#: inside shows that the word meant the page's layout); surely.
+KEPT, LINKS, FORM, LAYOUT, SURE = range(5)
 
 
-#: Words of reader comments and teasers: they drop even an article element, and whatever stands inside.
-NOT_EVEN_ARTICLES = frozenset("comment comments commentlist disqus reply replies respond responses discussion ad ads advert adverts advertisement sponsored teaser related promo recommended".split())
-#: Degrees of dropping: not, by a layout word (an article inside shows that the word meant the page's layout), surely.
-KEPT, LAYOUT, SURE = 0, 1, 2
+def named(value: str, inside: bool) -> set[str]:
+    """The words of NOT_TEXT that a class or id has. Inside an article a word counts as the last of a name, or among words
+    of mere structure: "cookie-notice" and "notice-box" do, "notice-period" does not."""
+    if not inside:
+        return NOT_TEXT.intersection(SPLIT.split(value))
+    found = set()
+    for name in value.split():
+        words = [w for w in SPLIT.split(name) if w]
+        found |= {w for k, w in enumerate(words) if w in NOT_TEXT and (k == len(words) - 1 or all(x in STRUCTURE or x in NOT_TEXT or x.isdigit() for x in words[k + 1 :]))}
+    return found
 
 
 def boilerplate(name: str, marks: str, parent: Node) -> int:
+    if name == "form":
+        return FORM
     if name in DROPPED:
         return SURE
     if name in ("html", "body"):
         return KEPT
+    inside = parent.in_article
     if name == "header":
-        return KEPT if inside_article(parent) else SURE
+        return KEPT if inside else SURE
     degree = KEPT
     for m in MARKS.finditer(marks) if marks else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
-            found = set(SPLIT.split(value)) & NOT_TEXT
-            if found & NOT_EVEN_ARTICLES and not (found <= ONLY_OUTSIDE and inside_article(parent)):
+            found = named(value, inside)
+            if inside and found <= ALSO_TEXT:
+                degree = max(degree, LINKS if found else KEPT)
+            elif found & NOT_EVEN_ARTICLES or found and inside and name not in ("article", "main"):
                 return SURE
-            if found and name not in ("article", "main") and not (found <= ONLY_OUTSIDE and inside_article(parent)):
+            elif found and name not in ("article", "main"):
                 degree = LAYOUT
         elif key == "role" and value in NOT_TEXT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return SURE
     return degree
 
 
+class Tree:
+    """A page's tree as it grows. The open elements of each name are at hand, so that closing one does not climb."""
+
+    def __init__(self):
+        self.root = Node("html", None)
+        self.open: list[Node] = [self.root]
+        self.by_name: dict[str, list[Node]] = {}
+
+    def nearest(self, names) -> Node | None:
+        """The deepest open element of these names."""
+        best = None
+        for name in names:
+            stack = self.by_name.get(name)
+            while stack and not (stack[-1].depth < len(self.open) and self.open[stack[-1].depth] is stack[-1]):
+                stack.pop()
+            if stack and (best is None or stack[-1].depth > best.depth):
+                best = stack[-1]
+        return best
+
+    def close(self, node: Node) -> None:
+        del self.open[node.depth :]
+
+    def close_within(self, names, bounds) -> None:
+        """Close the open elements of these names that no boundary stands before."""
+        found = self.nearest(names)
+        bound = self.nearest(bounds) if found else None
+        while found and (bound is None or found.depth > bound.depth):
+            self.close(found)
+            found = self.nearest(names)
+
+    def add(self, name: str, marks: str) -> None:
+        parent = self.open[-1]
+        node = Node(name, parent, boilerplate(name, marks, parent))
+        parent.children.append(node)
+        self.open.append(node)
+        self.by_name.setdefault(name, []).append(node)
+        if name in ("article", "main") and node.drop == KEPT:
+            # What holds an article is layout, whatever its name; above the first such element that was already found.
+            for up in reversed(self.open[:-1]):
+                if up.drop in (LAYOUT, FORM):
+                    up.drop = KEPT
+                if up is not parent and up.in_article:
+                    break
+
+    def put(self, x: Node | str) -> None:
+        self.open[-1].children.append(x)
+
+
 def parse(page: str) -> Node:
     """The page's tree. Text stands undecoded in the children's lists."""
-    root = Node("html", None)
-    node, at, end = root, 0, len(page)
-    while at < end:
-        m = TAG.search(page, at)
+    tree, at, end, last = Tree(), 0, len(page), page.rfind(">")
+    text_from = 0
+
+    def text_to(place: int) -> None:
+        if place > text_from:
+            tree.put(page[text_from:place])
+
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            text_to(at)
+            close = page.find("-->", at + 4)
+            text_from = at = close + 3 if close >= 0 else end
+            continue
+        if page.startswith("<![CDATA[", at):
+            close = page.find("]]>", at)
+            text_to(at)
+            tree.put(page[at + 9 : close if close >= 0 else end])
+            text_from = at = close + 3 if close >= 0 else end
+            continue
+        if at > last:
+            break  # no tag ends any more
+        if page[at + 1 : at + 2] in ("!", "?"):
+            text_to(at)
+            text_from = at = page.find(">", at) + 1
+            continue
+        m = NAME.match(page, at + 1)
         if m is None:
-            node.children.append(page[at:])
-            break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:-3])
+            at += 1
             continue
+        rest = TAG_END.match(page, m.end()) or PLAIN_END.match(page, m.end())
+        text_to(at)
+        text_from = at = rest.end()
+        name, marks = m[2].lower(), rest[1]
         if m[1]:
             if name == "br":
-                node.children.append(Node("br", node))
-                continue
-            found = node
-            while found is not root and found.name != name and not (name not in BLOCKS and found.name in ("td", "th", "article", "body")):
-                found = found.parent
-            if found is not root and found.name == name:
-                node = found.parent
+                tree.put(Node("br", tree.open[-1]))
+            elif (found := tree.nearest((name,))) is not None:
+                bound = None if name in BLOCKS else tree.nearest(("td", "th", "article", "body"))
+                if bound is None or found.depth >= bound.depth:
+                    tree.close(found)
             continue
         if name in ("html", "body"):
             if name == "body":
-                while node is not root:
-                    node = node.parent
-                node = _open(node, name, "")
+                del tree.open[1:]
+                tree.add(name, "")
             continue
         if name in CLOSES_P:
-            node = _close(node, {"p"}, SCOPE)
-            if name[0] == "h" and node.name in ("h1", "h2", "h3", "h4", "h5", "h6") and len(name) == 2:
-                node = node.parent
+            tree.close_within({"p"}, SCOPE)
+            if name in HEADINGS and tree.open[-1].name in HEADINGS:
+                tree.open.pop()
         if name in CLOSES:
-            node = _close(node, CLOSES[name], BOUNDS[name])
-        if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS and name not in RAW:
+            tree.close_within(CLOSES[name], BOUNDS[name])
+        if name in VOID or marks.rstrip().endswith("/") and name not in BLOCKS and name not in RAW:
             if name in ("br", "hr"):
-                node.children.append(Node(name, node))
+                tree.put(Node(name, tree.open[-1]))
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            close = RAW_END[name].search(page, at)
+            text_from = at = close.end() if close else end
             continue
-        node = _open(node, name, m[3])
-    return root
-
-
-def _open(parent: Node, name: str, marks: str) -> Node:
-    node = Node(name, parent, boilerplate(name, marks, parent))
-    parent.children.append(node)
-    if name in ("article", "main") and node.drop == KEPT:
-        while parent is not None:
-            if parent.drop == LAYOUT:
-                parent.drop = KEPT
-            parent = parent.parent
-    return node
-
-
-def _close(node: Node, names: set[str], bounds) -> Node:
-    """Close the nearest open element of these names, unless a boundary stands before it."""
-    found = node
-    while found is not None and found.name not in bounds:
-        if found.name in names:
-            up = found.parent
-            return _close(up, names, bounds) if up is not None else found
-        found = found.parent
-    return node
-
-
-def order_of(root: Node) -> list[Node]:
-    """Kept nodes, parents before children."""
+        tree.add(name, marks)
+    text_to(end)
+    return tree.root
+
+
+def order_of(root: Node, dropped: bool = False) -> list[Node]:
+    """Nodes that are not surely dropped (or only the kept ones), parents before children."""
     out, stack = [], [root]
+    most = LAYOUT if dropped else LINKS
     while stack:
         node = stack.pop()
         out.append(node)
-        stack += [c for c in reversed(node.children) if isinstance(c, Node) and not c.drop]
+        stack += [c for c in reversed(node.children) if isinstance(c, Node) and c.drop <= most]
     return out
 
 
 def weigh(root: Node) -> list[Node]:
-    """Set chars, tags, link characters, link tags, density and density sum of every kept node."""
+    """Decide on forms and parts by their text; set chars, tags, link characters, link tags, density and density sum of
+    every kept node."""
+    for decided in (False, True):
+        nodes = order_of(root, dropped=not decided)
+        if not decided and not any(n.drop for n in nodes):
+            continue
+        for node in reversed(nodes):
+            inside = [c for c in node.children if isinstance(c, Node) and c.drop <= (LINKS if decided else FORM)]
+            node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.chars for c in inside)
+            node.tags = len(inside) + sum(c.tags for c in inside)
+            node.link_chars = node.chars if node.name == "a" else sum(c.link_chars for c in inside)
+            node.links = (node.name == "a") + sum(c.links for c in inside)
+            if node.drop == LINKS and 2 * node.link_chars >= node.chars:
+                node.drop = SURE
+        if not decided:
+            for node in nodes:
+                if node.drop == FORM:
+                    node.drop = KEPT if 3 * node.chars > 2 * root.chars else SURE
     nodes = order_of(root)
-    for node in reversed(nodes):
-        kept = [c for c in node.children if isinstance(c, Node) and not c.drop]
-        node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.chars for c in kept)
-        node.tags = len(kept) + sum(c.tags for c in kept)
-        node.link_chars = node.chars if node.name == "a" else sum(c.link_chars for c in kept)
-        node.links = (node.name == "a") + sum(c.links for c in kept)
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, node.links
@@ -190,10 +266,18 @@ def weigh(root: Node) -> list[Node]:
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             ratio = max(1.0, (c / max(1, lc)) * (t / max(1, lt)))
             node.density = c / t * math.log(ratio) / base if ratio > 1 else 0.0
-        node.sum = sum(x.density for x in node.children if isinstance(x, Node) and not x.drop)
+        node.sum = sum(x.density for x in node.children if isinstance(x, Node) and x.drop <= LINKS)
     return nodes
 
 
+def articles_beside(one: Node, threshold: float) -> list[Node | str]:
+    """An article and its siblings of some length, in page order. A part is short of the whole, so half of the path's
+    density will do."""
+    if one.parent is None or one.name != "article":
+        return [one]
+    return [c for c in one.parent.children if c is one or isinstance(c, Node) and c.name == "article" and beside(c, threshold / 2) and 4 * c.chars >= one.chars]
+
+
 def choose(root: Node, nodes: list[Node]) -> tuple[list[Node | str], float]:
     """The subtrees of the main text and the threshold of the path above the densest."""
     best = max(nodes, key=lambda n: (n.sum, -n.tags))
@@ -207,17 +291,18 @@ def choose(root: Node, nodes: list[Node]) -> tuple[list[Node | str], float]:
             whole = node
         node = node.parent
     if whole is not None:
-        return [whole], threshold
-    articles = [n for n in nodes if n.name == "article" and n.chars]
+        return articles_beside(whole, threshold), threshold
+    articles = [n for n in nodes if n.name == "article" and n.chars and not (n.parent and n.parent.in_article)]
     if articles and sum(n.chars for n in articles) >= best.chars:
-        return [max(articles, key=lambda n: n.chars)], threshold
+        longest = max(articles, key=lambda n: n.chars)
+        return [n for n in articles if n is longest or beside(n, threshold / 2) and 4 * n.chars >= longest.chars], threshold
     # Beside the path: what is as dense as the path itself and no list of links, and headings before it.
     parts: list[Node | str] = [best]
     node = best
     while node.parent is not None:
         here = next(k for k, c in enumerate(node.parent.children) if c is node)
         before, after = node.parent.children[:here], node.parent.children[here + 1 :]
-        parts = [c for c in before if beside(c, threshold) or isinstance(c, Node) and not c.drop and c.name in ("h1", "h2") and c.chars] + parts + [c for c in after if beside(c, threshold)]
+        parts = [c for c in before if beside(c, threshold) or isinstance(c, Node) and c.drop <= LINKS and c.name in ("h1", "h2") and c.chars] + parts + [c for c in after if beside(c, threshold)]
         node = node.parent
     return parts, threshold
 
@@ -225,7 +310,7 @@ def choose(root: Node, nodes: list[Node]) -> tuple[list[Node | str], float]:
 def beside(part: Node | str, threshold: float) -> bool:
     if isinstance(part, str):
         return len(part.strip()) > threshold
-    return not part.drop and part.chars > 0 and part.density >= threshold and 2 * part.link_chars <= part.chars
+    return part.drop <= LINKS and part.chars > 0 and part.density >= threshold and 2 * part.link_chars <= part.chars
 
 
 def blocks(node: Node | str, threshold: float) -> list[str]:
@@ -245,7 +330,7 @@ def blocks(node: Node | str, threshold: float) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif not x.drop:
+        elif x.drop <= LINKS:
             if x is not node and x.links > 2 and x.name != "a" and x.density < threshold and x.link_chars > 0.8 * x.chars and x.name in BLOCKS and x.name not in ("p", "td", "th"):
                 continue
             block = x.name in BLOCKS
