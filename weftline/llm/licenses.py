@@ -4,9 +4,12 @@ the and/or/with expressions behind the tags.
 Phrases are sequences of words and are found wherever their words stand one after another, whatever stands
 between the words. Tags ("SPDX-License-Identifier:") are followed by an expression up to the line's end.
 
+Operands are licence ids: of a known family, a LicenseRef, or words with hyphens and digits. An expression with any other
+operand is prose and does not count.
+
 Defined cases: a null or empty text has no words, no places, null first_word and last_word, empty labels and
-score 0; repeated rows are scanned each; an expression that does not parse adds no label and counts as none;
-an empty table gives an empty table.
+score 0; very long texts are scanned whole; repeated rows are scanned each; an expression that does not parse adds no
+label and counts as none; an empty table gives an empty table; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ NOTICES = {
     "permission is hereby granted free of charge": "mit", "redistribution and use in source and binary forms": "bsd", "all rights reserved": "all-rights-reserved",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
-#: How freely a licence lets text be used, 0 to 1; others are unknown, 0.5.
-FREEDOM = {"mit": 1.0, "apache": 1.0, "apache-2.0": 1.0, "bsd": 1.0, "bsd-2-clause": 1.0, "bsd-3-clause": 1.0, "isc": 1.0, "cc0": 1.0, "cc0-1.0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "cc-by": 0.9, "cc-by-4.0": 0.9, "boost": 1.0, "mpl": 0.7, "mpl-2.0": 0.7, "epl": 0.7, "lgpl": 0.6, "gpl": 0.4, "gpl-2.0": 0.4, "gpl-3.0": 0.4, "agpl": 0.3, "all-rights-reserved": 0.0}
+#: How freely a licence lets text be used, 0 to 1; versions go with their family, others are unknown, 0.5.
+FREEDOM = {
+    "0bsd": 1.0, "agpl": 0.3, "all-rights-reserved": 0.0, "apache": 1.0, "artistic": 0.8, "boost": 1.0, "bsd": 1.0, "bsl": 1.0, "cc-by": 0.9, "cc-by-nc": 0.2, "cc-by-nd": 0.3, "cc-by-sa": 0.6, "cc0": 1.0, "cddl": 0.6, "epl": 0.7, "eupl": 0.5, "gfdl": 0.4, "gpl": 0.4, "isc": 1.0,
+    "lgpl": 0.6, "mit": 1.0, "mpl": 0.7, "odbl": 0.5, "ofl": 0.9, "postgresql": 1.0, "psf": 1.0, "public-domain": 1.0, "python": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "zlib": 1.0,
+}
+UNKNOWN = 0.5
 
 #: Bytes that separate words become blanks and A-Z lower case; all bytes of 128 and over belong to words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -85,21 +92,34 @@ def postfix(expression: str) -> list[str] | None:
     return None if operand else out
 
 
+def freedom(name: str) -> float:
+    """The freedom of an id, or of the longest family that it belongs to."""
+    while name and name not in FREEDOM:
+        name = name.rpartition("-")[0]
+    return FREEDOM.get(name, UNKNOWN)
+
+
+def is_licence(name: str) -> bool:
+    return name.startswith("licenseref-") or name.split("-")[0] in FREEDOM or name.startswith("cc-") or "-" in name and any(c.isdigit() for c in name)
+
+
 def evaluate(expression: str) -> tuple[set[str], float] | None:
     """Licence ids and freedom: `or` lets the reader choose (the freer), `and` binds to both (the stricter),
-    `with` adds an exception to the licence on its left."""
+    `with` adds an exception, which is named too, to the licence on its left."""
     steps = postfix(expression)
     if steps is None:
         return None
     stack: list[tuple[set[str], float]] = []
     for step in steps:
         if step not in RANK:
-            name = step.removesuffix("+").removesuffix("-only").removesuffix("-or-later")
-            stack.append(({name}, FREEDOM.get(name, 0.5)))
+            name = step.rstrip(".:").removesuffix("+").removesuffix("-only").removesuffix("-or-later")
+            if not is_licence(name) and not name.endswith("exception"):
+                return None
+            stack.append(({name}, freedom(name)))
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
         if step == "with":
-            stack.append((left, min(1.0, a + 0.1)))
+            stack.append((left | right, min(1.0, a + 0.1)))
         else:
             stack.append((left | right, max(a, b) if step == "or" else min(a, b)))
     return stack[0]
@@ -119,13 +139,14 @@ def scanner(phrases: dict[str, str], base: dict[str, str]):
             if is_base:
                 starts.append(end - length + 1)
                 base_labels.add(label)
+        free = [freedom(x) for x in labels]
         low = (text or "").lower()
-        for end, _ in tags.iter(low) if "dentifier" in low or "xpression" in low else ():
-            line = (text if len(low) == len(text) else low)[end + 1 :].split("\n", 1)[0]
+        for end, _ in tags.iter(low) if ":" in low else ():
+            stop = low.find("\n", end + 1)
+            line = (text if len(low) == len(text) else low)[end + 1 : stop if stop >= 0 else None]
             if (value := evaluate(line)) is not None:
                 labels |= value[0]
                 free.append(value[1])
-        free += [FREEDOM.get(x, 0.5) for x in labels if not free]
         first, last = (words.count(" ", 0, min(starts)), words.count(" ", 0, max(starts))) if starts else (None, None)
         return n, len(starts), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), float(min(free)) if free else 0.0
 
@@ -134,7 +155,7 @@ def scanner(phrases: dict[str, str], base: dict[str, str]):
 
 def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score). score: how freely the strictest
-    of the licences found lets the text be used; 0 without any."""
+    of the notices and expressions found lets the text be used; 0 without any."""
 
     def build():
         scan = scanner(notices, base)
