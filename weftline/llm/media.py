@@ -3,15 +3,21 @@ length, the declared type is corrected, and media embedded in other bytes are ca
 
 `store` keeps a text's bytes as 8-bit PCM samples in a WAVE container; `sniff` reads such a column back.
 
-Defined cases: a null or empty text is stored as one block of fill bytes; null content sniffs as null type with
-no spans; truncated or lying headers fail their validator and yield no type; repeated rows are worked each.
+Every validator reads on from its own place, or looks up the next of some end marks that were located once, so that
+bytes full of false starts take linear time. FLAC streams carry no length: one reaches to the end of its bytes.
+
+Defined cases: a null or empty text is stored as one block of fill bytes; very long ones are stored and read whole;
+null content sniffs as null type with no spans; truncated or lying headers fail their validator and yield no type;
+repeated rows are worked each; an empty table gives an empty table; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -23,6 +29,18 @@ BLOCK, FILL = 576, b"\xff"
 RATE = 8000
 
 
+class Bytes(bytes):
+    """Bytes that remember where marks stand in them."""
+
+    def next_of(self, mark: bytes, at: int) -> int:
+        """The next place of the mark from `at` on, or -1."""
+        known = self.__dict__.setdefault("places", {})
+        if mark not in known:
+            known[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        k = bisect_left(known[mark], at)
+        return known[mark][k] if k < len(known[mark]) else -1
+
+
 # --- validators: (data, offset) -> length of a sound file that starts there, or None
 
 
@@ -79,14 +97,19 @@ def gif(data: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg(data: bytes, at: int) -> int | None:
-    place = at + 2
+def jpeg(data: Bytes, at: int) -> int | None:
+    """Segments by their lengths up to the scan; in it, an end mark cannot occur but as the end."""
+    place, frame = at + 2, False
     while place + 4 <= len(data) and data[place] == 0xFF:
         mark = data[place + 1]
         if mark == 0xDA:
-            end = data.find(b"\xff\xd9", place)
-            return end + 2 - at if end > 0 else None
-        place += 2 + int.from_bytes(data[place + 2 : place + 4], "big")
+            end = data.next_of(b"\xff\xd9", place)
+            return end + 2 - at if end > 0 and frame else None
+        size = int.from_bytes(data[place + 2 : place + 4], "big")
+        if size < 2:
+            return None
+        frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
+        place += 2 + size
     return None
 
 
@@ -97,54 +120,182 @@ def bmp(data: bytes, at: int) -> int | None:
     return size if header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= start <= size <= len(data) - at else None
 
 
-def pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b"startxref" in data[at:end] else None
+def pdf(data: Bytes, at: int) -> int | None:
+    end, table = data.next_of(b"%%EOF", at), data.next_of(b"startxref", at)
+    return end + 5 - at if 0 < table < end else None
 
 
-def zipped(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
+def zipped(data: Bytes, at: int) -> int | None:
+    end = data.next_of(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return None
     size, start = struct.unpack_from("<II", data, end + 12)
     return end + 22 + int.from_bytes(data[end + 20 : end + 22], "little") - at if at + start + size == end else None
 
 
-def gzipped(data: bytes, at: int) -> int | None:
-    reader = zlib.decompressobj(31)
+def gzipped(data: Bytes, at: int) -> int | None:
+    """The header's fields by their lengths and end marks, the deflated bytes, and their check and size behind them."""
+    if at + 18 > len(data) or data[at + 3] & 0xE0:
+        return None
+    flags, place = data[at + 3], at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for flag in (8, 16):  # a name, a comment
+        if flags & flag:
+            place = data.next_of(b"\0", place) + 1
+            if not place:
+                return None
+    place += flags & 2
+    reader, check, size = zlib.decompressobj(-15), 0, 0
     try:
-        rest = data[at:]
-        while rest and not reader.eof:
-            reader.decompress(rest, 1 << 20)
-            rest = reader.unconsumed_tail
+        while place < len(data) and not reader.eof:
+            rest = data[place : place + 65536]
+            place += len(rest)
+            while rest and not reader.eof:
+                out = reader.decompress(rest, 1 << 20)
+                check, size, rest = zlib.crc32(out, check), size + len(out), reader.unconsumed_tail
     except zlib.error:
         return None
-    return len(data) - at - len(reader.unused_data) if reader.eof else None
+    end = place - len(reader.unused_data)
+    return end + 8 - at if reader.eof and data[end : end + 8] == check.to_bytes(4, "little") + (size & 0xFFFFFFFF).to_bytes(4, "little") else None
+
+
+def crc8(data: bytes) -> int:
+    """Of a FLAC frame's header: polynomial x^8 + x^2 + x + 1."""
+    value = 0
+    for byte in data:
+        value ^= byte
+        for _ in range(8):
+            value = value << 1 ^ 0x107 if value & 0x80 else value << 1
+    return value
+
+
+def flac(data: Bytes, at: int) -> int | None:
+    """Metadata blocks by their lengths, then a frame whose header fits its check."""
+    place, last = at + 4, False
+    if data[place : place + 1] not in (b"\0", b"\x80") or data[place + 1 : place + 4] != b"\0\0\x22":
+        return None
+    while not last:
+        if place + 4 > len(data):
+            return None
+        last = data[place] >= 128
+        place += 4 + int.from_bytes(data[place + 1 : place + 4], "big")
+    head = data[place : place + 16]
+    if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8:
+        return None
+    # The frame's number takes as many bytes as in UTF-8; odd block sizes and rates follow it.
+    lead = head[4]
+    number = 1 if lead < 0x80 else next((n for n in range(2, 8) if lead >> (7 - n) == (1 << (n + 1)) - 2), 0)
+    size, rate = head[2] >> 4, head[2] & 15
+    n = 4 + number + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    return len(data) - at if number and n < len(head) and crc8(head[:n]) == head[n] else None
+
 
+#: A byte with its bits in the other order.
+TURNED = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
 
-def flac(data: bytes, at: int) -> int | None:
-    return len(data) - at if at + 42 <= len(data) and data[at + 4] & 127 == 0 and data[at + 5 : at + 8] == b"\0\0\x22" else None
 
+def ogg_check(page: bytes) -> int:
+    """The page's CRC-32 counts bits from the other end than zlib's, and starts and ends plain."""
+    found = zlib.crc32(page.translate(TURNED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{found:032b}"[::-1], 2)
 
-def ogg(data: bytes, at: int) -> int | None:
+
+def ogg(data: Bytes, at: int) -> int | None:
     place = at
     while data[place : place + 4] == b"OggS" and place + 27 <= len(data):
         n = data[place + 26]
-        place += 27 + n + sum(data[place + 27 : place + 27 + n])
-    return place - at if at < place <= len(data) else None
+        end = place + 27 + n + sum(data[place + 27 : place + 27 + n])
+        page = data[place : place + 22] + bytes(4) + data[place + 26 : end]
+        if end > len(data) or ogg_check(page) != int.from_bytes(data[place + 22 : place + 26], "little"):
+            break
+        place = end
+    return place - at if at < place else None
+
+
+#: Boxes that stand at the top of a file.
+BOXES = frozenset(b"ftyp moov mdat free skip wide uuid meta moof mfra sidx styp pdin ssix prft emsg".split())
+
+
+def mp4(data: Bytes, at: int) -> int | None:
+    """Boxes by their lengths, a movie or a picture's description among them."""
+    place, seen = at, set()
+    while place + 8 <= len(data) and (kind := data[place + 4 : place + 8]) in BOXES:
+        size = int.from_bytes(data[place : place + 4], "big")
+        if size == 1 and place + 16 <= len(data):
+            size = int.from_bytes(data[place + 8 : place + 16], "big")
+        size = size or len(data) - place
+        if size < 8 or place + size > len(data):
+            return None
+        seen.add(kind)
+        place += size
+    return place - at if seen & {b"moov", b"meta", b"moof"} else None
+
+
+#: Kilobits by MPEG version 1 or 2 and index, for layer 3 (fixed values), and samples a second.
+BIT_RATES = {1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+
+
+def mp3(data: Bytes, at: int) -> int | None:
+    """An ID3 tag by its length, then three frames of layer 3 or more, each where the last one ends."""
+    place, frames = at, 0
+    if data[place : place + 3] == b"ID3":
+        if place + 10 > len(data) or max(data[place + 6 : place + 10]) > 127:
+            return None
+        a, b, c, d = data[place + 6 : place + 10]
+        place += 10 + (a << 21 | b << 14 | c << 7 | d)
+    while place + 4 <= len(data) and data[place] == 0xFF and data[place + 1] & 0xE6 == 0xE2:
+        version, rate, sample = data[place + 1] >> 3 & 3, data[place + 2] >> 4, data[place + 2] >> 2 & 3
+        if version == 1 or rate in (0, 15) or sample == 3:
+            break
+        size = (144 if version == 3 else 72) * 1000 * BIT_RATES[1 if version == 3 else 2][rate] // SAMPLE_RATES[version][sample] + (data[place + 2] >> 1 & 1)
+        if place + size > len(data):
+            break
+        place, frames = place + size, frames + 1
+    return place - at if frames >= 3 else None
+
+
+def tiff(data: Bytes, at: int) -> int | None:
+    """Directories by their offsets; the file reaches to the end of the furthest directory or strip."""
+    order = "little" if data[at : at + 2] == b"II" else "big"
+    number = lambda place, n: int.from_bytes(data[at + place : at + place + n], order)
+    end, seen, directory = 8, set(), number(4, 4)
+    while directory:
+        n = number(directory, 2)
+        if directory in seen or len(seen) > 100 or directory < 8 or not n or at + directory + 6 + 12 * n > len(data):
+            return None
+        seen.add(directory)
+        end, places, sizes = max(end, directory + 6 + 12 * n), [], []
+        for entry in range(directory + 2, directory + 2 + 12 * n, 12):
+            tag, kind, count = number(entry, 2), number(entry + 2, 2), number(entry + 4, 4)
+            width = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}.get(kind, 0)
+            start = entry + 8 if width * count <= 4 else number(entry + 8, 4)
+            if not width or at + start + width * count > len(data):
+                return None
+            end = max(end, start + width * count)
+            if tag in (273, 324, 279, 325):  # where strips or tiles stand, and their lengths
+                (places if tag in (273, 324) else sizes).extend(number(start + width * k, width) for k in range(count))
+        if not places or len(places) != len(sizes):
+            return None
+        end = max(end, *(a + b for a, b in zip(places, sizes, strict=True)))
+        directory = number(directory + 2 + 12 * n, 4)
+    return end if seen and at + end <= len(data) else None
 
 
-#: Magic bytes, type, validator.
+#: Magic bytes, how far into the file they stand, type, validator.
 SIGNATURES = [
-    (b"RIFF", "riff", riff), (b"\x89PNG\r\n\x1a\n", "image/png", png), (b"GIF87a", "image/gif", gif), (b"GIF89a", "image/gif", gif), (b"\xff\xd8\xff", "image/jpeg", jpeg),
-    (b"BM", "image/bmp", bmp), (b"%PDF-", "application/pdf", pdf), (b"PK\x03\x04", "application/zip", zipped), (b"\x1f\x8b\x08", "application/gzip", gzipped), (b"fLaC", "audio/flac", flac), (b"OggS", "audio/ogg", ogg),
+    (b"RIFF", 0, "riff", riff), (b"\x89PNG\r\n\x1a\n", 0, "image/png", png), (b"GIF87a", 0, "image/gif", gif), (b"GIF89a", 0, "image/gif", gif), (b"\xff\xd8\xff", 0, "image/jpeg", jpeg), (b"BM", 0, "image/bmp", bmp), (b"II*\0", 0, "image/tiff", tiff), (b"MM\0*", 0, "image/tiff", tiff),
+    (b"%PDF-", 0, "application/pdf", pdf), (b"PK\x03\x04", 0, "application/zip", zipped), (b"\x1f\x8b\x08", 0, "application/gzip", gzipped), (b"fLaC", 0, "audio/flac", flac), (b"OggS", 0, "audio/ogg", ogg), (b"ftyp", 4, "video/mp4", mp4), (b"ID3", 0, "audio/mpeg", mp3), (b"\xff\xfb", 0, "audio/mpeg", mp3), (b"\xff\xf3", 0, "audio/mpeg", mp3),
 ]
+#: Validators that walk a chain of parts, each of which begins like the file: inside a sound one they do not look again.
+CHAINS = (ogg, mp3)
 RIFF_KIND = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 
 
 def magic() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for k, (mark, _, _) in enumerate(SIGNATURES):
+    for k, (mark, *_) in enumerate(SIGNATURES):
         found.add_word(mark.decode("latin-1"), (len(mark), k))
     found.make_automaton()
     return found
@@ -152,12 +303,17 @@ def magic() -> ahocorasick.Automaton:
 
 def spans(data: bytes, search: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, offset, length) of each sound file in the bytes, outer ones first; later ones may lie inside."""
-    out = []
+    out, data, walked = [], Bytes(data), dict.fromkeys(CHAINS, 0)
     for end, (n, k) in search.iter(data.decode("latin-1")):
-        at = end - n + 1
-        length = SIGNATURES[k][2](data, at)
+        _, before, kind, sound = SIGNATURES[k]
+        at = end - n + 1 - before
+        if at < walked.get(sound, 0):
+            continue
+        length = sound(data, at)
         if length:
-            out.append((RIFF_KIND[data[at + 8 : at + 12]] if SIGNATURES[k][1] == "riff" else SIGNATURES[k][1], at, length))
+            if sound in walked:
+                walked[sound] = at + length
+            out.append((RIFF_KIND[data[at + 8 : at + 12]] if kind == "riff" else kind, at, length))
     return sorted(out, key=lambda x: (x[1], -x[2]))
 
 
