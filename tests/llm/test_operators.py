@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests_llm_brute import brute_components, brute_targets
 from weftline.llm import digest, html_text, licenses, media, mixing, ngram_join, packing, quality, urls, warc
@@ -198,7 +199,7 @@ def test_license_scan(spark):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_scan(t), t
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    assert got[8]["labels"] == "apache-2.0,gpl-2.0,mit"
+    assert got[8]["labels"] == "apache-2.0,classpath-exception-2.0,gpl-2.0,mit"
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
@@ -212,6 +213,19 @@ def test_expressions():
         assert licenses.evaluate(bad) is None
 
 
+def test_score_is_the_strictest_of_tags_and_notices():
+    scan = licenses.scanner(licenses.NOTICES, licenses.BASE)
+    assert scan("SPDX-License-Identifier: MIT\nAll rights reserved.")[5:] == ("all-rights-reserved,mit", 0.0)
+    assert scan("SPDX-License-Identifier: MIT OR GPL-3.0-only\n")[5:] == ("gpl-3.0,mit", 1.0)
+    assert scan("The tag SPDX-License-Identifier: the expression comes here")[5:] == ("", 0.0)
+    assert scan("License-Expression: LicenseRef-own AND CC-BY-NC-4.0.")[5:] == ("cc-by,cc-by-nc-4.0,licenseref-own", 0.2)
+
+
+def test_licenses_leave_other_columns_out(spark):
+    got = licenses.scan_licenses(spark.createDataFrame([(1, "mit license", "x", 7.0, "y")], "doc_id long, text string, labels string, score double, n_words string"))
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 1, 0, 0, "mit", "mit", 1.0)]
+
+
 # --- media
 
 
@@ -242,6 +256,64 @@ def test_sniffing_carves_and_corrects(spark):
     assert got[4]["detected"] is None and got[6]["corrected"] is False and got[7]["detected"] is None
 
 
+def ogg_page(body):
+    head = b"OggS\0\x02" + bytes(8) + b"abcd" + bytes(4)
+    rest = bytes([1, len(body)]) + body
+    crc = 0
+    for byte in head + bytes(4) + rest:  # bit by bit, as the format says
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 1 << 31 else crc << 1) & 0xFFFFFFFF
+    return head + crc.to_bytes(4, "little") + rest
+
+
+def box(kind, body):
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def tiff_file(order):
+    n = lambda x, k: x.to_bytes(k, "little" if order == b"II" else "big")
+    entry = lambda tag, value: n(tag, 2) + n(4, 2) + n(1, 4) + n(value, 4)
+    return order + n(42, 2) + n(12, 4) + b"data" + n(2, 2) + entry(273, 8) + entry(279, 4) + n(0, 4)
+
+
+MEDIA = {
+    "audio/ogg": ogg_page(b"hello") + ogg_page(b"again"), "video/mp4": box(b"ftyp", b"isom") + box(b"moov", b"x" * 9) + box(b"mdat", b"y" * 30), "audio/mpeg": b"ID3\4\0\0\0\0\0\x05tags!" + (b"\xff\xfb\x90\0" + b"\0" * 413) * 4,
+    "image/tiff": tiff_file(b"II"), "application/pdf": b"%PDF-1.4\nstuff\nstartxref\n9\n%%EOF", "image/jpeg": b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\x05abc\xff\xda\0\2data\xff\0more\xff\xd9",
+}
+
+
+@pytest.mark.parametrize("kind", MEDIA)
+def test_formats_are_found_and_cut_ones_are_not(kind):
+    data, search = MEDIA[kind], media.magic()
+    assert (kind, 4, len(data)) in media.spans(b"junk" + data + b"tail", search)
+    assert not [s for s in media.spans(data[:-1] if kind != "audio/ogg" else data[:30], search) if s[0] == kind and s[2] >= len(data) - 1]
+
+
+def test_flac_checks_a_frame_header():
+    frame = b"\xff\xf8\x69\x18\x00\x0f"
+    data = b"fLaC\x80\0\0\x22" + bytes(34) + frame + bytes([media.crc8(frame)]) + bytes(20)
+    assert media.crc8(b"123456789") == 0xF4
+    assert media.spans(data, media.magic()) == [("audio/flac", 0, len(data))]
+    assert media.spans(data.replace(b"\x69\x18", b"\x69\x19"), media.magic()) == []
+    assert media.spans(tiff_file(b"MM"), media.magic()) == [("image/tiff", 0, 42)]
+
+
+def test_false_starts_take_linear_time():
+    many = [b"%PDF-" * 80_000, b"PK\3\4" * 80_000, b"\xff\xd8\xff\xda" * 80_000, b"\x1f\x8b\x08" * 80_000, MEDIA["audio/mpeg"][15:432] * 3000, b"ID3" * 80_000, b"ftyp" * 80_000, MEDIA["audio/ogg"] * 3000]
+    for data in many:
+        start = time.perf_counter()
+        media.spans(data, media.magic())
+        assert time.perf_counter() - start < 3
+
+
+def test_media_of_long_texts_empty_tables_and_other_columns(spark):
+    docs = spark.createDataFrame([(1, "é" * 3_000_000, b"x", "m"), (2, None, b"x", "m")], "doc_id long, text string, media binary, declared string")
+    got = {r["doc_id"]: r for r in rows(media.read_back(media.store(docs)))}
+    assert got[1]["n_bytes"] == 6_000_000 and got[1]["payload_bytes"] == 6_000_192 and got[2]["payload_bytes"] == 576
+    assert media.sniff(docs.limit(0)).count() == 0 and media.sniff(docs).columns == ["doc_id", "detected", "corrected", "media_bytes", "spans"]
+
+
 # --- mixing
 
 
@@ -305,6 +377,13 @@ def test_quality_learns_and_covers(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id < 120").count() >= 118 and kept.filter("doc_id between 120 and 239").count() <= 2
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.train(docs, labels.limit(0)).constant == 0.5
+    # A very long text, two texts of one id, and columns named like the results
+    odd = spark.createDataFrame([(1, " ".join([LONG] * 20), 9.0), (5, "other words under the same id", 9.0), (5, "BUY!! " * 9, 9.0)], "doc_id long, text string, score double")
+    both = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    one, two = (quality.train(d, labels) for d in (both, both.orderBy(F.desc("text")).repartition(3)))
+    assert all(np.array_equal(one.w[k], two.w[k]) for k in one.w)
+    assert quality.score(odd, one).columns == ["doc_id", "score", "n_passages", "top_passage"] and quality.keep_good(odd, one).columns == odd.columns
+    assert {r["doc_id"]: r["n_passages"] for r in rows(quality.score(odd, one))}[1] == 20 * 9000 // 96
 
 
 # --- URLs
