@@ -18,7 +18,6 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +29,9 @@ from .common import staged, table
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, SEPARATOR = 2048, 0
-#: Pieces of a partition or a pool, pieces of text whose ids a worker remembers (twice as
+#: Pieces of a partition or a pool, pieces of text whose ids a task remembers (twice as
 #: many at most), bytes of text that are tokenized at once.
-PART_PIECES, REMEMBERED, BATCH_BYTES = 8_000, 400_000, 4_000_000
+PART_PIECES, REMEMBERED, BATCH_BYTES = 8_000, 120_000, 2_000_000
 #: Part of the open gap that another round of pooling must close for one more to follow.
 LEAST_GAIN = 0.05
 
@@ -161,12 +160,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker, so that what it remembers serves all its tasks."""
-    return Encoder(path)
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -191,7 +184,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = Encoder(path).encode
         for part in slices(batches):
             ids, texts = (c.to_pylist() for c in part.columns)
             rows = []

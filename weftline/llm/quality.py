@@ -29,7 +29,7 @@ SAMPLE_DOCS = 3_000
 PASSAGE_WORDS, SHAPES, WORDS, TRIGRAMS, HIDDEN, GATE = 96, 12, 48, 64, 16, 12
 BUCKETS = SHAPES + WORDS + TRIGRAMS
 #: Words whose buckets a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 #: Weight of the buckets of words and trigrams beside the other features: held-out errors were fewest from 0.1 to 0.2.
 LEXICAL = 0.2
 ROUNDS, RATE, DECAY, SEED = 150, 0.03, 1e-3, 7
