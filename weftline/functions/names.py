@@ -133,27 +133,74 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 
 
-VOWELS = "AEIOU"
-#: Sounds of letters and letter pairs in the phonetic key, longest first (fixed values of the public Metaphone rules).
-SOUNDS = [
-    ("^(?:AE|GN|KN|PN|WR)", lambda m: m[0][1]), ("^X", "S"), ("^WH", "W"), ("MB$", "M"), ("SCH", "SK"), ("CIA", "XIA"), ("CH", "X"), ("C(?=[IEY])", "S"), ("C", "K"), ("DG(?=[EYI])", "J"), ("D", "T"),
-    ("GH(?![AEIOU]|$)", ""), ("GN(?:ED)?$", "N"), ("(?<!G)G(?=[IEY])", "J"), ("GG?", "K"), ("(?<=[AEIOU])H(?![AEIOU])", ""), ("(?<=[CSPTG])H", ""), ("CK", "K"), ("PH", "F"), ("Q", "K"), ("S(?=H|IO|IA)", "X"),
-    ("T(?=IO|IA)", "X"), ("TCH", "CH"), ("V", "F"), ("[WY](?![AEIOU])", ""), ("X", "KS"), ("Z", "S"),
-]
+VOWELS, SOFT = frozenset("AEIOU"), frozenset("EIY")
+#: The public Metaphone rules (fixed values): letters that start a word silently, letters that sound as they are written or
+#: as another one, and letters before an H that take its sound.
+SILENT_STARTS, PLAIN, NO_H = ("AE", "GN", "KN", "PN", "WR"), {**{c: c for c in "FJLMNR"}, "Q": "K", "V": "F", "X": "KS", "Z": "S"}, frozenset("CGPST")
 
 
 def metaphone(word: str, length: int = 20) -> str:
-    """A word's sound in consonants."""
+    """A word's sound in consonants; each letter is judged by its neighbours, from left to right."""
     w = re.sub("[^A-Z]", "", word.upper())
-    w = re.sub(r"([^C])\1", r"\1", w)
-    w = re.sub("PH", "F", re.sub("TH", "0", w))
-    w = re.sub("SH", "\x01", w)
-    for pattern, sound in SOUNDS:
-        if pattern == "X":
-            w = re.sub("^X", "S", w)
-        w = re.sub(pattern, sound, w) if pattern != "CH" else w.replace("CH", "\x01")
-    w = w.replace("\x01", "X")
-    return (w[:1] + re.sub(f"[{VOWELS}]", "", w[1:]))[:length]
+    at = lambda k: w[k] if 0 <= k < len(w) else ""
+    out, k = [], 0
+    if w.startswith(SILENT_STARTS):
+        out, k = [w[1]], 2
+    elif w[:1] == "X" or w[:2] == "WH" or w[:1] in VOWELS:
+        out, k = ["S" if w[:1] == "X" else w[:1]], 2 if w[:2] == "WH" else 1
+    while k < len(w):
+        c, before, after, third = w[k], at(k - 1), at(k + 1), at(k + 2)
+        sound, step = "", 1
+        if c == before and c != "C":
+            pass
+        elif c in PLAIN:
+            sound = PLAIN[c]
+        elif c == "B":
+            sound = "" if before == "M" else "B"
+        elif c == "C":
+            if after in SOFT:
+                sound = "X" if after == "I" and third == "A" else "" if before == "S" else "S"
+            elif after == "H":
+                sound, step = "K" if third == "R" or before == "S" else "X", 2
+            else:
+                sound = "K"
+        elif c == "D":
+            sound, step = ("J", 2) if after == "G" and third in SOFT else ("T", 1)
+        elif c == "G":
+            if after == "H":
+                # As in "laugh", unless an earlier letter makes it silent, as in "bough" and "height".
+                sound, step = ("", 1) if at(k - 3) in frozenset("BDH") or at(k - 4) == "H" else ("F", 2)
+            elif after == "N":
+                sound = "" if not third or third == "E" and at(k + 3) == "D" else "K"
+            else:
+                sound = "J" if after in SOFT and before != "G" else "K"
+        elif c == "H":
+            sound = "H" if after in VOWELS and before not in NO_H else ""
+        elif c == "K":
+            sound = "" if before == "C" else "K"
+        elif c == "P":
+            sound = "F" if after == "H" else "P"
+        elif c == "S":
+            if after == "I" and third in ("O", "A"):
+                sound = "X"
+            elif after == "H":
+                sound, step = "X", 2
+            elif after == "C" and third == "H":
+                sound, step = "SK", 3
+            else:
+                sound = "S"
+        elif c == "T":
+            if after == "I" and third in ("O", "A"):
+                sound = "X"
+            elif after == "H":
+                sound, step = "0", 2
+            elif not (after == "C" and third == "H"):
+                sound = "T"
+        elif c in "WY":
+            sound = c if after in VOWELS else ""
+        out.append(sound)
+        k += step
+    return "".join(out)[:length]
 
 
 @F.pandas_udf(StringType())

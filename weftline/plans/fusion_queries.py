@@ -31,11 +31,12 @@ def cand(spark, d):
 
 
 def fusion(spark, d):
-    return fuse.entity_fusion(fixture.entities(spark, d).filter("type in ('person', 'git_commit', 'file')"), fuse.match_edges(cand(spark, d)))
+    """Over entities of every type, by the rules of equal keys."""
+    return fuse.entity_fusion(fixture.entities(spark, d), fuse.match_edges(cand(spark, d)))
 
 
 def whole_fusion(spark, d):
-    """Over entities of every type and by every rule; `fusion` is the part that the SQL has."""
+    """By every rule: also the nearest names and equal commit hashes, which the SQL has not."""
     commits = fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"), F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("sha"))
     return fuse.entity_fusion(fixture.entities(spark, d), fuse.all_edges(cand(spark, d), commits))
 
@@ -58,7 +59,7 @@ _fused = f"""{with_tables('person', 'entity', 'attr', 'observation', recursive=T
 both_ways AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
 reach AS (SELECT id, id AS label FROM person UNION SELECT t.a, r.label FROM reach r JOIN both_ways t ON t.b = r.id WHERE r.label < t.a),
 grouped AS (SELECT id, min(label) AS label FROM reach GROUP BY id),
-fusion AS (SELECT e.id AS id_other, coalesce(g.label, e.id) AS id_lowest FROM entity e LEFT JOIN grouped g USING (id) WHERE type IN ('person', 'git_commit', 'file'))"""
+fusion AS (SELECT e.id AS id_other, coalesce(g.label, e.id) AS id_lowest FROM entity e LEFT JOIN grouped g USING (id))"""
 
 
 @query(f"""{_fused},
