@@ -46,6 +46,12 @@ def obs_hops(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, s
     task draws alike. k = 0 is empty.
     """
     windows = [c for c in ("start", "end") if c in seeds.columns]
+    return _steps(seeds, inc, k, t_min, t_max, sample, salt).groupBy("seed", *windows, "obs_id").agg(F.min("hop").alias("hop"))
+
+
+def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0) -> DataFrame:
+    """(seed, id, other_id, obs_id, hop): each edge as often as a hop meets it, from the end that it is met at."""
+    windows = [c for c in ("start", "end") if c in seeds.columns]
     frontier = seeds.select("seed", *windows, F.col("seed").alias("id")).distinct()
     explored = frontier.select("seed", *windows, "id")
     edges = _bounded(inc, t_min, t_max)
@@ -57,7 +63,7 @@ def obs_hops(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, s
         if sample:
             drawn = Window.partitionBy("seed", *windows, "id").orderBy(F.md5(F.concat_ws(":", F.lit(f"{salt}:{hop}"), "id", "obs_id").cast("binary")), "obs_id")
             step = step.withColumn("_rank", F.row_number().over(drawn)).filter(F.col("_rank") <= sample)
-        new = step.select("seed", *windows, "obs_id", F.lit(hop).alias("hop"))
+        new = step.select("seed", *windows, "id", "other_id", "obs_id", F.lit(hop).alias("hop"))
         found = new if found is None else found.unionByName(new)
         if hop < k:
             reached = step.select("seed", *windows, F.col("other_id").alias("id")).distinct()
@@ -66,17 +72,16 @@ def obs_hops(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, s
                 frontier = staged(frontier, "hop-frontier")
             explored = explored.unionByName(frontier)
     if found is None:
-        return seeds.sparkSession.createDataFrame([], "seed long, obs_id long, hop int")
-    return found.groupBy("seed", *windows, "obs_id").agg(F.min("hop").alias("hop"))
+        return frontier.select("seed", *windows, "id", F.col("id").alias("other_id"), F.col("id").alias("obs_id"), F.lit(0).alias("hop")).limit(0)
+    return found
 
 
 def neighbours(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, return_self: bool = False, **sampling) -> DataFrame:
     """(seed, id, hop): ends of the edges within k hops, with the least hop. The seed itself only if return_self, and only
     where it has an edge in the window."""
     windows = [c for c in ("start", "end") if c in seeds.columns]
-    hops = obs_hops(seeds, inc, k, t_min, t_max, **sampling)
-    ends = inc.select("obs_id", F.col("id").alias("id")).unionByName(inc.select("obs_id", F.col("other_id").alias("id"))).distinct()
-    met = hops.join(ends, "obs_id").groupBy("seed", *windows, "id").agg(F.min("hop").alias("hop"))
+    ends = _steps(seeds, inc, k, t_min, t_max, **sampling).select("seed", *windows, F.explode(F.array("id", "other_id")).alias("id"), "hop")
+    met = ends.groupBy("seed", *windows, "id").agg(F.min("hop").alias("hop"))
     return met if return_self else met.filter("id <> seed")
 
 

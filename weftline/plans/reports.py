@@ -55,7 +55,8 @@ def density(touched: DataFrame, start: str, end: str, points: int = 101, years:
     days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days
     sigma = years * 365.25 / days * (points - 1)
     reach = int(4 * sigma)
-    binned = touched.withColumn("bin", F.round(place).cast("int")).filter(F.col("bin").between(0, points - 1)).groupBy("person", "file", "bin").agg(F.count("*").alias("n"))
+    # Dealt by person and file once: bins and their spread are then grouped where they are.
+    binned = touched.withColumn("bin", F.round(place).cast("int")).filter(F.col("bin").between(0, points - 1)).select("person", "file", "bin").repartition("person", "file").groupBy("person", "file", "bin").agg(F.count("*").alias("n"))
     near = binned.withColumn("at", F.explode(F.sequence(F.greatest(F.col("bin") - reach, F.lit(0)), F.least(F.col("bin") + reach, F.lit(points - 1)))))
     kernel = F.exp(-0.5 * ((F.col("at") - F.col("bin")) / F.lit(sigma)) ** 2)
     per_file = near.groupBy("person", "file", "at").agg(F.least(F.sum(F.col("n") * kernel), F.lit(1.0)).alias("d"))
