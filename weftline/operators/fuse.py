@@ -166,6 +166,13 @@ def fused_observations(obs: DataFrame, fusion: DataFrame) -> DataFrame:
     return out.select(*[F.col("_src").alias(c) if c == "src_id" else F.col("_dst").alias(c) if c == "dst_id" else c for c in obs.columns])
 
 
+def fused_observation_attrs(obs: DataFrame, sources: DataFrame, fusion: DataFrame) -> DataFrame:
+    """Edges between groups with attrs: an edge's own attributes and those attached later, merged as those of entities are.
+    sources: (owner, src_id, attrs) with the edge's id as owner."""
+    merged = merge_attrs(sources).withColumnRenamed("owner", "id")
+    return fused_observations(obs, fusion).join(merged, "id", "left").withColumn("attrs", F.coalesce("attrs", F.create_map().cast("map<string,string>")))
+
+
 def dangling(obs: DataFrame, entity: DataFrame) -> DataFrame:
     """Edges with an end that is no entity: what a reset of a batch would break."""
     ids = entity.select("id").distinct()

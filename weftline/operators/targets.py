@@ -75,6 +75,12 @@ def activity_monthly(inc: DataFrame, persons: DataFrame, start: str, end: str) -
     return spine.join(counts, ["id", "m"], "left").select("id", F.concat_ws("-", F.year("m"), F.month("m")).alias("month"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def top_monthly(inc: DataFrame, persons: DataFrame, top: int, start: str, end: str) -> DataFrame:
+    """(id, month, n) of the `top` persons with the most edges; the smaller id of equals."""
+    most = inc.join(persons.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(top)
+    return activity_monthly(inc.join(most.select("id"), "id", "left_semi"), most, start, end)
+
+
 def active_dates(inc: DataFrame) -> DataFrame:
     """(id, day): the days on which a node has an edge."""
     return inc.select("id", F.to_date("time").alias("day")).distinct()
@@ -92,10 +98,11 @@ def neighbour_sums(persons: DataFrame, inc: DataFrame, attrs: DataFrame, hops: t
 
 
 def neighbour_lists(persons: DataFrame, inc: DataFrame, scores: DataFrame, k: int = 2, t_min=None, t_max=None) -> DataFrame:
-    """(id, scores array<double>): scores of the texts within k hops, rounded to 4 places, in ascending order; persons
-    without a score are left out."""
-    near = graph.neighbours(persons.select(F.col("id").alias("seed")), inc, k, t_min, t_max)
-    got = near.join(scores, "id").groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_list(F.round("score", 4))).alias("scores"))
+    """(id, [start, end,] scores array<double>): scores of the texts within k hops, rounded to 4 places, in ascending order;
+    persons without a score are left out. persons: (id), or (id, start, end) for windows of their own."""
+    windows = [c for c in ("start", "end") if c in persons.columns]
+    near = graph.neighbours(persons.select(F.col("id").alias("seed"), *windows), inc, k, t_min, t_max)
+    got = near.join(scores, "id").groupBy(F.col("seed").alias("id"), *windows).agg(F.array_sort(F.collect_list(F.round("score", 4))).alias("scores"))
     return got
 
 
@@ -155,9 +162,9 @@ def feature_matrix(sums: DataFrame, target: DataFrame, keys: list[str], hop: int
     return min_max(parts, keys, parts.filter("part = 'train'"))
 
 
-def score_against(lists: DataFrame, target: DataFrame, percent: float = 10, cap: float | None = None, log: bool = False) -> DataFrame:
+def score_against(lists: DataFrame, target: DataFrame, percent: float = 10, cap: float | None = None, log: bool = False, default: float | None = None) -> DataFrame:
     """(id, score, target): mean of the top percent of each person's scores beside a target, capped and as log10(1 + x) if
-    asked. lists: (id, scores)."""
+    asked. With a default, persons of the target without scores have it as theirs. lists: (id, scores)."""
     from weftline.functions.numbers import top_n_pct_mean
 
     y = F.col("target").cast("double")
@@ -165,7 +172,10 @@ def score_against(lists: DataFrame, target: DataFrame, percent: float = 10, cap:
         y = F.least(y, F.lit(float(cap)))
     if log:
         y = F.log10(1 + y)
-    return lists.join(target.select("id", "target"), "id").select("id", top_n_pct_mean(F.col("scores"), percent).alias("score"), y.alias("target"))
+    score = top_n_pct_mean(F.col("scores"), percent)
+    if default is not None:
+        score = F.coalesce(score, F.lit(float(default)))
+    return target.select("id", "target").join(lists, "id", "inner" if default is None else "left").select("id", score.alias("score"), y.alias("target"))
 
 
 def work_stats(works: DataFrame, inc: DataFrame, values: DataFrame, hops: tuple[int, ...] = (1, 2), top_percent: float = 10) -> DataFrame:

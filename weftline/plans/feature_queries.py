@@ -62,6 +62,55 @@ def work_stats(spark, d):
     return rows.withColumns({c: F.round(c, 9) for c in ("top", "per_text", "per_word")})
 
 
+@query(f"""{with_tables('incidence')},
+w AS (SELECT 4000000000000 + o_orderkey AS id FROM orders),
+v AS (SELECT 5000000000000 + p_partkey AS id, p_size AS terms, p_size + 7 AS words FROM part),
+h1 AS (SELECT DISTINCT w.id AS seed, i.other_id AS id FROM w JOIN incidence i ON i.id = w.id),
+n AS (SELECT seed, id, 1 AS hop FROM h1 UNION ALL (SELECT seed, id, 2 FROM h1 UNION SELECT h1.seed, i.other_id, 2 FROM h1 JOIN incidence i ON i.id = h1.id WHERE i.other_id <> h1.seed))
+SELECT seed AS id, hop, count(*) AS n_texts, sum(words)::BIGINT AS n_words, sum(terms)::BIGINT AS total, round(list_avg(list(terms / words::DOUBLE ORDER BY terms / words::DOUBLE DESC)[1:CAST(ceil(0.1 * count(*)) AS INT)]), 9) AS top,
+  round(sum(terms) / count(*)::DOUBLE, 9) AS per_text, round(sum(terms) / sum(words)::DOUBLE, 9) AS per_word FROM n JOIN v USING (id) GROUP BY seed, hop""")
+def work_stats_hops(spark, d):
+    works = fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"))
+    values = fixture.table(spark, d, "part").select((F.lit(fixture.PART) + F.col("p_partkey")).cast("long").alias("id"), F.col("p_size").cast("long").alias("terms"), (F.col("p_size") + 7).cast("long").alias("words"))
+    rows = targets.work_stats(works, graph_queries.inc(spark, d), values, (1, 2))
+    return rows.withColumns({c: F.round(c, 9) for c in ("top", "per_text", "per_word")})
+
+
+@query(f"""{graph_queries._near},
+s AS (SELECT seed AS id, list(round(p_retailprice / 3, 4) ORDER BY p_retailprice DESC) AS v FROM n JOIN part ON 5000000000000 + p_partkey = n.id WHERE n.id <> seed GROUP BY seed)
+SELECT 1000000000000 + c_custkey AS id, coalesce(round(list_avg(v[1:CAST(ceil(0.1 * len(v)) AS INT)]), 6), 0) AS score, round(log10(1 + least(abs(c_acctbal), 5000.0::DOUBLE)), 6) AS target FROM customer LEFT JOIN s ON 1000000000000 + c_custkey = id""")
+def score_or_default(spark, d):
+    scores = fixture.table(spark, d, "part").select((F.lit(fixture.PART) + F.col("p_partkey")).cast("long").alias("id"), (F.col("p_retailprice") / 3).alias("score"))
+    lists = targets.neighbour_lists(fixture.persons(spark, d), graph_queries.inc(spark, d), scores, 2, graph_queries.W0, graph_queries.W1)
+    target = fixture.table(spark, d, "customer").select((F.lit(fixture.CUSTOMER) + F.col("c_custkey")).cast("long").alias("id"), F.abs("c_acctbal").alias("target"))
+    return targets.score_against(lists, target, 10, 5000, log=True, default=0.0).select("id", F.round("score", 6).alias("score"), F.round("target", 6).alias("target"))
+
+
+@query(f"""{with_tables('person', 'incidence')},
+c AS (SELECT id FROM person WHERE name IS NOT NULL AND id IN (SELECT id FROM incidence WHERE type IN ('created', 'committed'))),
+i AS (SELECT *, year(time) AS y FROM incidence WHERE year(time) IN (1996, 1997)),
+h1 AS (SELECT DISTINCT c.id AS seed, i.y, i.other_id AS id FROM c JOIN i USING (id)),
+n AS (SELECT seed, y, id FROM h1 UNION SELECT h1.seed, h1.y, i.other_id FROM h1 JOIN i ON i.id = h1.id AND i.y = h1.y WHERE i.other_id <> h1.seed)
+SELECT seed AS id, y AS year, string_agg(printf('%.4f', round(p_retailprice / 3, 4)), ',' ORDER BY round(p_retailprice / 3, 4)) AS scores FROM n JOIN part ON 5000000000000 + p_partkey = n.id GROUP BY seed, y""")
+def committer_scores_yearly(spark, d):
+    made = graph_queries.inc(spark, d).filter("type in ('created', 'committed')").select("id")
+    at = lambda y: F.lit(f"{y}-01-01").cast("timestamp_ntz")
+    windows = F.explode(F.array(*[F.struct(at(y).alias("start"), at(y + 1).alias("end")) for y in (1996, 1997)])).alias("w")
+    makers = fixture.persons(spark, d).filter("name is not null").join(made, "id", "left_semi").select("id", windows).select("id", "w.start", "w.end")
+    scores = fixture.table(spark, d, "part").select((F.lit(fixture.PART) + F.col("p_partkey")).cast("long").alias("id"), (F.col("p_retailprice") / 3).alias("score"))
+    lists = targets.neighbour_lists(makers, graph_queries.inc(spark, d), scores, 2)
+    return lists.select("id", F.year("start").cast("long").alias("year"), F.array_join(F.transform("scores", lambda x: F.format_string("%.4f", x)), ",").alias("scores"))
+
+
+@query(f"""{with_tables('person', 'incidence')},
+t AS (SELECT id, count(*) AS degree FROM incidence JOIN person USING (id) GROUP BY id ORDER BY degree DESC, id LIMIT 50),
+m AS (SELECT unnest(range(DATE '1995-01-01', DATE '2001-09-01', INTERVAL 1 MONTH)) AS m),
+k AS (SELECT id, date_trunc('month', time) AS m, count(DISTINCT obs_id) AS n FROM incidence GROUP BY ALL)
+SELECT t.id, year(m.m) || '-' || month(m.m) AS month, coalesce(n, 0) AS n FROM t CROSS JOIN m LEFT JOIN k ON k.id = t.id AND k.m = m.m""")
+def top_persons_monthly(spark, d):
+    return targets.top_monthly(graph_queries.inc(spark, d), fixture.persons(spark, d), 50, "1995-01-01", "2001-08-31")
+
+
 @query(f"""{with_tables('observation')}
 SELECT DISTINCT dst_id AS work, src_id AS person FROM observation WHERE type = 'created'
 UNION SELECT 4000000000000 + event_id % 100 AS work, 3000000000000 + user_id FROM events WHERE event_type = 'error'""")

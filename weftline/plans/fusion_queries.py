@@ -62,6 +62,10 @@ grouped AS (SELECT id, min(label) AS label FROM reach GROUP BY id),
 fusion AS (SELECT e.id AS id_other, coalesce(g.label, e.id) AS id_lowest FROM entity e LEFT JOIN grouped g USING (id))"""
 
 
+_merged = """k AS (SELECT owner, key, arg_max({'v': value}, (src_id, coalesce(value, ''))).v AS value FROM src GROUP BY ALL),
+kept AS (SELECT * FROM k WHERE value IS NOT NULL AND value <> 'null')"""
+
+
 @query(f"""{_fused},
 why AS (SELECT a, arg_min(rule || ' match: ' || evidence, (CASE rule WHEN 'email' THEN 1 WHEN 'github_user' THEN 2 ELSE 3 END, b)) AS why FROM m GROUP BY a)
 SELECT id_other, id_lowest, coalesce(why, 'no match') AS comment FROM fusion LEFT JOIN why ON a = id_other""")
@@ -80,10 +84,6 @@ def fusion_size_counts(spark, d, fused=fusion):
     return fused(spark, d).groupBy("id_lowest").agg(F.count("*").alias("group_size")).groupBy("group_size").agg(F.count("*").alias("n_groups"))
 
 
-_merged = """k AS (SELECT owner, key, arg_max({'v': value}, (src_id, coalesce(value, ''))).v AS value FROM src GROUP BY ALL),
-kept AS (SELECT * FROM k WHERE value IS NOT NULL AND value <> 'null')"""
-
-
 @query(f"{with_tables('attr')}, src AS (SELECT * FROM attr), {_merged} SELECT owner, key, value FROM kept")
 def merge_attrs(spark, d):
     merged = fuse.merge_attrs(fixture.attr_sources(spark, d))
@@ -116,6 +116,21 @@ def fused_observation(spark, d, fused=fusion):
     return fuse.fused_observations(fixture.observations(spark, d), fused(spark, d)).select("id", "src_id", "dst_id")
 
 
+@query(f"""{_fused},
+src AS (SELECT 3000000000000000 + line AS owner, 0 AS src_id, unnest(['quantity', 'flag']) AS key, unnest([l_quantity::INT::VARCHAR, '"' || l_returnflag || '"']) AS value FROM line
+  UNION ALL SELECT 3000000000000000 + line, 1, unnest(['flag', 'checked']), unnest([CASE WHEN l_linenumber % 2 = 0 THEN 'null' ELSE '"later"' END, 'true']) FROM line WHERE l_linenumber > 1), {_merged},
+vals AS (SELECT owner, string_agg(key || '=' || value, ';' ORDER BY key) AS attrs FROM kept GROUP BY owner)
+SELECT o.id, a.id_lowest AS src_id, b.id_lowest AS dst_id, coalesce(attrs, '') AS attrs FROM observation o JOIN fusion a ON a.id_other = o.src_id JOIN fusion b ON b.id_other = o.dst_id LEFT JOIN vals ON vals.owner = o.id""")
+def fused_observation_attrs(spark, d, fused=fusion):
+    lines = fixture.lines(spark, d).withColumn("owner", (F.lit(fixture.MODIFIED) + F.col("line")).cast("long"))
+    own = F.create_map(F.lit("quantity"), F.col("l_quantity").cast("int").cast("string"), F.lit("flag"), F.concat(F.lit('"'), "l_returnflag", F.lit('"')))
+    later = F.create_map(F.lit("flag"), F.when(F.col("l_linenumber") % 2 == 0, "null").otherwise('"later"'), F.lit("checked"), F.lit("true"))
+    sources = lines.select("owner", F.lit(0).alias("src_id"), own.alias("attrs")).unionByName(lines.filter("l_linenumber > 1").select("owner", F.lit(1).alias("src_id"), later.alias("attrs")))
+    rows = fuse.fused_observation_attrs(fixture.observations(spark, d), sources, fused(spark, d))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    return rows.select("id", "src_id", "dst_id", shown.alias("attrs"))
+
+
 @query(f"{_fused} SELECT o.id AS obs_id, unnest([src_id, dst_id]) AS missing_id FROM observation o WHERE o.type = 'message_from'")
 def dangling_edges(spark, d):
     return fuse.dangling(fixture.observations(spark, d), fixture.entities(spark, d).filter("type = 'git_commit' or type = 'file' or (type = 'person' and batch_id <> 3)"))
@@ -300,5 +315,5 @@ def sent_terms_yearly(spark, d):
 
 
 # The same over the whole fusion. They have no SQL: names that sound alike have no words in it.
-for _f in (entity_fusion, fusion_group_sizes, fusion_size_counts, fused_entity, fused_observation, matched_sources, fusion_check, person_addresses, fused_members):
+for _f in (entity_fusion, fusion_group_sizes, fusion_size_counts, fused_entity, fused_observation, fused_observation_attrs, matched_sources, fusion_check, person_addresses, fused_members):
     QUERIES[f"{_f.__name__}_whole"] = partial(_f, fused=whole_fusion)

@@ -65,6 +65,29 @@ def contributor_detail(spark, d):
     return reports.contributor_detail(fixture.persons(spark, d), graph.incidence(fixture.observations(spark, d)), e, 1997)
 
 
+YEARS = range(1995, 2002)
+_yearly = f"""{with_tables('person', 'entity', 'incidence')},
+i AS (SELECT *, year(time) AS y FROM incidence WHERE year(time) BETWEEN {YEARS[0]} AND {YEARS[-1]}),
+h1 AS (SELECT s.id AS seed, i.y, i.obs_id, i.other_id FROM person s JOIN i USING (id))"""
+
+
+@query(f"""{_yearly}, h AS (SELECT seed, y, obs_id FROM h1 UNION SELECT h1.seed, h1.y, i.obs_id FROM h1 JOIN i ON i.id = h1.other_id AND i.y = h1.y)
+SELECT seed, y AS year, a.type || ' -> ' || b.type AS kind_pair, count(*) AS n FROM h JOIN observation o ON o.id = h.obs_id JOIN entity a ON a.id = o.src_id JOIN entity b ON b.id = o.dst_id GROUP BY ALL""")
+def contributor_detail_yearly(spark, d):
+    return reports.contributor_detail_yearly(fixture.persons(spark, d), graph.incidence(fixture.observations(spark, d)), fixture.entities(spark, d), YEARS)
+
+
+@query(f"""{_yearly}, ends AS (SELECT seed, y, seed AS id, 1 AS hop FROM h1 UNION SELECT seed, y, other_id, 1 FROM h1 UNION SELECT h1.seed, h1.y, i.other_id, 2 FROM h1 JOIN i ON i.id = h1.other_id AND i.y = h1.y),
+n AS (SELECT seed, y, id, min(hop) AS hop FROM ends GROUP BY ALL),
+v AS (SELECT 4000000000000 + o_orderkey AS id, o_totalprice AS score FROM orders UNION ALL SELECT 5000000000000 + p_partkey, p_retailprice FROM part)
+SELECT seed, y AS year, count(*) AS n_nodes, round(avg(score) FILTER (WHERE hop = 1), 4) AS own, round(avg(score) FILTER (WHERE hop = 2), 4) AS around FROM n LEFT JOIN v USING (id) GROUP BY ALL""")
+def contributor_scores(spark, d):
+    values = lambda name, base, key, score: fixture.table(spark, d, name).select((F.lit(base) + F.col(key)).cast("long").alias("id"), F.col(score).alias("score"))
+    scores = values("orders", fixture.ORDER, "o_orderkey", "o_totalprice").unionByName(values("part", fixture.PART, "p_partkey", "p_retailprice"))
+    rows = reports.contributor_scores(fixture.persons(spark, d), graph.incidence(fixture.observations(spark, d)), scores, YEARS)
+    return rows.withColumns({c: F.round(c, 4) for c in ("own", "around")})
+
+
 _DAYS = 2434  # from 1995-01-01 to 2001-08-31
 _SIGMA = 0.5 * 365.25 / _DAYS * 100
 
@@ -78,7 +101,7 @@ def imcf_density(spark, d):
 
 
 _pairs = f"""WITH {_members}, m AS (SELECT DISTINCT person, project FROM members),
-pairs AS (SELECT a.person AS a, b.person AS b, count(*) AS n FROM m a JOIN m b USING (project) GROUP BY ALL)"""
+pairs AS MATERIALIZED (SELECT a.person AS a, b.person AS b, count(*) AS n FROM m a JOIN m b USING (project) GROUP BY ALL)"""
 
 
 @query(f"{_pairs} SELECT * FROM pairs")
@@ -86,11 +109,17 @@ def collab_matrix(spark, d):
     return reports.shared_projects(members(spark, d))
 
 
-@query(f"{_pairs} SELECT p.a, p.b, p.n, round(p.n / o.n::DOUBLE, 9) AS p_b_given_a FROM pairs p JOIN pairs o ON o.a = p.a AND o.b = p.a WHERE p.a <> p.b AND p.n >= greatest(1.0, 0.1 * o.n)")
+@query(f"{_pairs}, own AS MATERIALIZED (SELECT a, n FROM pairs WHERE a = b) SELECT p.a, p.b, p.n, round(p.n / o.n::DOUBLE, 9) AS p_b_given_a FROM pairs p JOIN own o ON o.a = p.a WHERE p.a <> p.b AND p.n >= greatest(1.0, 0.1 * o.n)")
 def co_involvement(spark, d):
     return reports.co_involvement(members(spark, d)).withColumn("p_b_given_a", F.round("p_b_given_a", 9))
 
 
+@query(f"""{_pairs}, k AS (SELECT project, count(*) AS k, min(person) AS a FROM m GROUP BY project)
+SELECT * FROM pairs WHERE a <> b UNION ALL SELECT a, a AS b, count(*) AS n FROM k WHERE k = 1 GROUP BY ALL""")
+def coauthor_matrix(spark, d):
+    return reports.coauthor_matrix(members(spark, d))
+
+
 def works(spark, d):
     o = fixture.table(spark, d, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", "Standards Track").when(F.col("o_orderstatus") == "O", "Process").otherwise("Informational")
@@ -120,18 +149,21 @@ def word_frequencies(spark, d):
     return reports.word_frequencies(docs, spark.createDataFrame([("the",)], "word string"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, role, text FROM conversations)
-SELECT 'message_from' AS type, count(*) AS n FROM m UNION ALL SELECT 'message_ref', count(*) FROM m a WHERE turn > 0""")
-def mail_edges(spark, d):
+def mails(spark, d):
     c = fixture.table(spark, d, "conversations")
     name = lambda t: F.concat_ws(".", "conv_id", t)
     none = F.lit(None).cast("string")
-    mails = c.select(
+    return c.select(
         F.col("role").alias("from_name"), F.concat("role", F.lit("@host.org")).alias("from_email"), none.alias("to_name"), none.alias("to_email"), none.alias("cc_name"), none.alias("cc_email"), F.lit("s").alias("subject"),
         F.lit("2020-01-01 00:00:00").alias("date"), F.lit("x").alias("raw_date_string"), name(F.col("turn")).alias("message_id"),
         F.when(F.col("turn") > 0, F.array(F.struct(name(F.col("turn") - 1).alias("ref")))).alias("refs"), F.col("text").alias("body_text"), none.alias("flagged_abuse"), none.alias("filename"),
     )
-    return ingest.mail(mails)[1].groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text FROM conversations)
+SELECT 'message_from' AS type, count(*) AS n FROM m UNION ALL SELECT 'message_ref', count(*) FROM m a WHERE turn > 0""")
+def mail_edges(spark, d):
+    return ingest.mail(mails(spark, d))[1].groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(r"""WITH p AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(url), '/(\d+)', 1))) AS number FROM pages)
@@ -156,13 +188,16 @@ def collaborator_overlay(spark, d):
     return ingest.collaborator_overlay(members(spark, d))[1].select("src", "dst", "project")
 
 
+def commits(spark, d):
+    files = fixture.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("path"), F.col("l_quantity").cast("int").alias("insertions"), F.lit(0).alias("deletions"), F.col("l_quantity").cast("int").alias("lines"))).alias("files"))
+    who = F.struct(F.col("o_custkey").cast("string").alias("name"), F.concat(F.col("o_custkey"), F.lit("@x.org")).alias("email"))
+    return fixture.table(spark, d, "orders").join(files, "o_orderkey", "left").select(F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("sha"), who.alias("author"), F.col("o_orderdate").alias("authored"), who.alias("committer"), F.col("o_orderdate").alias("committed"), F.lit("m").alias("message"), "files")
+
+
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)
 SELECT 'created' AS type, count(*) AS n FROM orders UNION ALL SELECT 'committed', count(*) FROM orders UNION ALL SELECT 'modified', count(*) FROM lineitem""")
 def git_edges(spark, d):
-    files = fixture.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("path"), F.col("l_quantity").cast("int").alias("insertions"), F.lit(0).alias("deletions"), F.col("l_quantity").cast("int").alias("lines"))).alias("files"))
-    who = F.struct(F.col("o_custkey").cast("string").alias("name"), F.concat(F.col("o_custkey"), F.lit("@x.org")).alias("email"))
-    commits = fixture.table(spark, d, "orders").join(files, "o_orderkey", "left").select(F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("sha"), who.alias("author"), F.col("o_orderdate").alias("authored"), who.alias("committer"), F.col("o_orderdate").alias("committed"), F.lit("m").alias("message"), "files")
-    return ingest.git(commits)[1].groupBy("type").agg(F.count("*").alias("n"))
+    return ingest.git(commits(spark, d))[1].groupBy("type").agg(F.count("*").alias("n"))
 
 
 # --- models
@@ -173,7 +208,7 @@ def spend(spark, d):
     return o
 
 
-_trial = """e AS (SELECT id, n::DOUBLE AS x, total::DOUBLE AS y, trial, CAST('0x' || substr(md5(trial || ':' || id), 1, 8) AS BIGINT) % 10 < 2 AS test FROM s, range(0, 20) r(trial)),
+_trial = """e AS (SELECT id, n::DOUBLE AS x, total::DOUBLE AS y, trial, CAST('0x' || substr(md5(trial || ':' || id), 1, 8) AS BIGINT) % 10 < 2 AS test FROM s, range(0, 100) r(trial)),
 f AS (SELECT trial, count(*) AS n_train, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2_train, corr(x, y) AS corr FROM e WHERE NOT test GROUP BY trial),
 g AS (SELECT trial, avg(y) AS my FROM e WHERE test GROUP BY trial),
 h AS (SELECT e.trial, 1 - sum((y - slope * x - intercept) ** 2) / sum((y - my) ** 2) AS r2_test FROM e JOIN f USING (trial) JOIN g USING (trial) WHERE test GROUP BY e.trial)"""
@@ -182,7 +217,7 @@ h AS (SELECT e.trial, 1 - sum((y - slope * x - intercept) ** 2) / sum((y - my) *
 @query(f"""WITH s AS (SELECT o_custkey AS id, count(*) AS n, sum(floor(o_totalprice)) AS total FROM orders GROUP BY ALL), {_trial}
 SELECT f.trial, n_train, round(slope, 3) AS slope, round(intercept, 2) AS intercept, round(r2_train, 6) AS r2_train, round(r2_test, 6) AS r2_test, round(corr, 6) AS corr FROM f JOIN h USING (trial)""")
 def ols_trials(spark, d):
-    rows = models.ols_trials(spend(spark, d), "id", "n", "total", 20)
+    rows = models.ols_trials(spend(spark, d), "id", "n", "total", 100)
     places = {"slope": 3, "intercept": 2, "r2_train": 6, "r2_test": 6, "corr": 6}
     return rows.withColumns({c: F.round(c, p) for c, p in places.items()}).withColumn("trial", F.col("trial").cast("long"))
 

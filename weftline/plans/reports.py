@@ -45,6 +45,31 @@ def contributor_detail(persons: DataFrame, inc: DataFrame, kinds: DataFrame, yea
     return edges.join(a, "id").join(b, "other_id").groupBy("seed", F.concat_ws(" -> ", "a", "b").alias("kind_pair")).agg(F.count("*").alias("n"))
 
 
+def _by_year(persons: DataFrame, years: range) -> DataFrame:
+    """(seed, start, end): a window for each person and year."""
+    year = F.explode(F.array(*[F.lit(y) for y in years]))
+    at = lambda y: F.make_date(y, F.lit(1), F.lit(1)).cast("timestamp_ntz")
+    return persons.select(F.col("id").alias("seed"), year.alias("y")).select("seed", at(F.col("y")).alias("start"), at(F.col("y") + 1).alias("end"))
+
+
+def contributor_detail_yearly(persons: DataFrame, inc: DataFrame, kinds: DataFrame, years: range) -> DataFrame:
+    """(seed, year, kind_pair, n): as contributor_detail, for all years in one traversal."""
+    hops = graph.obs_hops(_by_year(persons, years), inc, 2)
+    edges = hops.join(inc.filter("dir = 'out'").select("obs_id", "id", "other_id"), "obs_id")
+    a = kinds.select(F.col("id"), F.col("type").alias("a"))
+    b = kinds.select(F.col("id").alias("other_id"), F.col("type").alias("b"))
+    pair = F.concat_ws(" -> ", "a", "b").alias("kind_pair")
+    return edges.join(a, "id").join(b, "other_id").groupBy("seed", F.year("start").cast("long").alias("year"), pair).agg(F.count("*").alias("n"))
+
+
+def contributor_scores(persons: DataFrame, inc: DataFrame, scores: DataFrame, years: range) -> DataFrame:
+    """(seed, year, n_nodes, own, around): size of each person's part of the graph within two hops, and the mean scores of
+    what is one hop and what is two hops away; each node once, at its least hop. scores: (id, score)."""
+    near = graph.neighbours(_by_year(persons, years), inc, 2, return_self=True).join(scores.select("id", "score"), "id", "left")
+    at = lambda hop: F.avg(F.when(F.col("hop") == hop, F.col("score")))
+    return near.groupBy("seed", F.year("start").cast("long").alias("year")).agg(F.count("*").alias("n_nodes"), at(1).alias("own"), at(2).alias("around"))
+
+
 def density(touched: DataFrame, start: str, end: str, points: int = 101, years: float = 0.5) -> DataFrame:
     """(person, at, density): concurrent maintenance. Touches of a file fall on `points` dates; each spreads as a Gaussian of
     `years`, cut at four deviations; a person and file count 1 at most, and files are summed."""
@@ -69,6 +94,14 @@ def shared_projects(members: DataFrame) -> DataFrame:
     return m.select(F.col("person").alias("a"), "project").join(m.select(F.col("person").alias("b"), "project"), "project").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def coauthor_matrix(members: DataFrame) -> DataFrame:
+    """(a, b, n): works of two persons at a and b, and those of one person alone at a = b. members: (person, project)."""
+    m = members.select("person", "project").distinct()
+    alone = m.groupBy("project").agg(F.count("*").alias("k"), F.min("person").alias("a")).filter("k = 1")
+    solo = alone.groupBy("a", F.col("a").alias("b")).agg(F.count("*").alias("n"))
+    return shared_projects(m).filter("a <> b").unionByName(solo)
+
+
 def co_involvement(members: DataFrame, least_share: float = 0.1) -> DataFrame:
     """(a, b, n, p_b_given_a): others who share max(1, least_share * own) projects or more with a person."""
     pairs = shared_projects(members)

@@ -48,9 +48,9 @@ def write_batch(rows: DataFrame, root: str, name: str, resource: str) -> None:
     rows.withColumn("resource", F.lit(resource)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resource").parquet(f"{root}/{name}")
 
 
-def reset_resource(tables: dict[str, DataFrame], batches: DataFrame, resource: str) -> dict[str, DataFrame]:
-    """The tables without the rows of a resource's batches. batches: (id, resource)."""
-    gone = batches.filter(F.col("resource") == resource).select(F.col("id").alias("batch_id"))
+def reset_resource(tables: dict[str, DataFrame], batches: DataFrame, resource: str, prefix: bool = False) -> dict[str, DataFrame]:
+    """The tables without the rows of a resource's batches, or with prefix of all whose names begin so. batches: (id, resource)."""
+    gone = batches.filter(F.col("resource").startswith(resource) if prefix else F.col("resource") == resource).select(F.col("id").alias("batch_id"))
     return {k: t.join(gone, "batch_id", "left_anti") for k, t in tables.items()}
 
 
