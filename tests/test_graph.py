@@ -147,3 +147,15 @@ def test_running_sums(spark, n):
         assert (place, s) == (at, total)
         total += v * 0.5
     assert len(rows) == n
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+@pytest.mark.parametrize("return_self", [False, True])
+def test_neighbours_among_some(spark, k, return_self):
+    r = random.Random(k)
+    rows = [(i, r.randint(1, 12), r.randint(1, 12)) for i in range(14)]
+    obs = spark.createDataFrame([(i, "t", dt.datetime(2020, 1, 1), a, b) for i, a, b in rows], "id long, type string, time timestamp_ntz, src_id long, dst_id long")
+    seeds, some = spark.createDataFrame([(n,) for n in range(1, 13)], "seed long"), spark.createDataFrame([(n,) for n in (2, 3, 7, 7, 11)], "id long")
+    inc = graph.incidence(obs)
+    want = sorted(tuple(x) for x in graph.neighbours(seeds, inc, k, return_self=return_self).collect() if x["id"] in (2, 3, 7, 11))
+    assert want and sorted(tuple(x) for x in graph.neighbours(seeds, inc, k, return_self=return_self, among=some).collect()) == want

@@ -49,15 +49,17 @@ def obs_hops(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, s
     return _steps(seeds, inc, k, t_min, t_max, sample, salt).groupBy("seed", *windows, "obs_id").agg(F.min("hop").alias("hop"))
 
 
-def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0) -> DataFrame:
-    """(seed, id, other_id, obs_id, hop): each edge as often as a hop meets it, from the end that it is met at."""
+def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0, among: DataFrame | None = None) -> DataFrame:
+    """(seed, id, other_id, obs_id, hop): each edge as often as a hop meets it, from the end that it is met at. among: (id)
+    to which the last hop, if not the first, goes; what it meets besides is left out."""
     windows = [c for c in ("start", "end") if c in seeds.columns]
     frontier = seeds.select("seed", *windows, F.col("seed").alias("id")).distinct()
     explored = frontier.select("seed", *windows, "id")
     edges = _bounded(inc, t_min, t_max)
     found = None
     for hop in range(1, k + 1):
-        step = frontier.join(edges, "id")
+        last = among is not None and not sample and hop == k > 1
+        step = frontier.join(edges.join(among.select(F.col("id").alias("other_id")), "other_id", "left_semi") if last else edges, "id")
         if windows:
             step = step.filter(in_range(F.col("time"), *[F.col(c) if c in windows else None for c in ("start", "end")]))
         if sample:
@@ -76,11 +78,13 @@ def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sam
     return found
 
 
-def neighbours(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, return_self: bool = False, **sampling) -> DataFrame:
+def neighbours(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, return_self: bool = False, among: DataFrame | None = None, **sampling) -> DataFrame:
     """(seed, id, hop): ends of the edges within k hops, with the least hop. The seed itself only if return_self, and only
-    where it has an edge in the window."""
+    where it has an edge in the window. With among, (id), only those: hubs are then not spread out in the last hop."""
     windows = [c for c in ("start", "end") if c in seeds.columns]
-    ends = _steps(seeds, inc, k, t_min, t_max, **sampling).select("seed", *windows, F.explode(F.array("id", "other_id")).alias("id"), "hop")
+    ends = _steps(seeds, inc, k, t_min, t_max, among=among, **sampling).select("seed", *windows, F.explode(F.array("id", "other_id")).alias("id"), "hop")
+    if among is not None:
+        ends = ends.join(among.select("id"), "id", "left_semi")
     met = ends.groupBy("seed", *windows, "id").agg(F.min("hop").alias("hop"))
     return met if return_self else met.filter("id <> seed")
 

@@ -91,7 +91,7 @@ def neighbour_sums(persons: DataFrame, inc: DataFrame, attrs: DataFrame, hops: t
     included. attrs: (id, key, value)."""
     parts = None
     for k in hops:
-        near = graph.neighbours(persons.select(F.col("id").alias("seed")), inc, k, t_min, t_max, return_self=True).select("seed", "id")
+        near = graph.neighbours(persons.select(F.col("id").alias("seed")), inc, k, t_min, t_max, return_self=True, among=attrs).select("seed", "id")
         sums = near.join(attrs, "id").groupBy(F.col("seed").alias("id"), F.lit(k).alias("hop"), "key").agg(F.sum("value").alias("total"))
         parts = sums if parts is None else parts.unionByName(sums)
     return parts
@@ -101,7 +101,7 @@ def neighbour_lists(persons: DataFrame, inc: DataFrame, scores: DataFrame, k: in
     """(id, [start, end,] scores array<double>): scores of the texts within k hops, rounded to 4 places, in ascending order;
     persons without a score are left out. persons: (id), or (id, start, end) for windows of their own."""
     windows = [c for c in ("start", "end") if c in persons.columns]
-    near = graph.neighbours(persons.select(F.col("id").alias("seed"), *windows), inc, k, t_min, t_max)
+    near = graph.neighbours(persons.select(F.col("id").alias("seed"), *windows), inc, k, t_min, t_max, among=scores)
     got = near.join(scores, "id").groupBy(F.col("seed").alias("id"), *windows).agg(F.array_sort(F.collect_list(F.round("score", 4))).alias("scores"))
     return got
 
@@ -185,7 +185,7 @@ def work_stats(works: DataFrame, inc: DataFrame, values: DataFrame, hops: tuple[
 
     out = None
     for k in hops:
-        near = graph.neighbours(works.select(F.col("id").alias("seed")), inc, k).select("seed", "id")
+        near = graph.neighbours(works.select(F.col("id").alias("seed")), inc, k, among=values).select("seed", "id")
         rows = near.join(values, "id").withColumn("share", F.col("terms") / F.expr("nullif(words, 0)"))
         got = rows.groupBy(F.col("seed").alias("id"), F.lit(k).alias("hop")).agg(
             F.count("*").alias("n_texts"), F.sum("words").alias("n_words"), F.sum("terms").alias("total"), top_n_pct_mean(F.collect_list("share"), top_percent).alias("top")

@@ -79,13 +79,13 @@ def contributor_detail_yearly(spark, d):
 
 @query(f"""{_yearly}, ends AS (SELECT seed, y, seed AS id, 1 AS hop FROM h1 UNION SELECT seed, y, other_id, 1 FROM h1 UNION SELECT h1.seed, h1.y, i.other_id, 2 FROM h1 JOIN i ON i.id = h1.other_id AND i.y = h1.y),
 n AS (SELECT seed, y, id, min(hop) AS hop FROM ends GROUP BY ALL),
-v AS (SELECT 4000000000000 + o_orderkey AS id, o_totalprice AS score FROM orders UNION ALL SELECT 5000000000000 + p_partkey, p_retailprice FROM part)
-SELECT seed, y AS year, count(*) AS n_nodes, round(avg(score) FILTER (WHERE hop = 1), 4) AS own, round(avg(score) FILTER (WHERE hop = 2), 4) AS around FROM n LEFT JOIN v USING (id) GROUP BY ALL""")
+v AS (SELECT 4000000000000 + o_orderkey AS id, floor(o_totalprice) AS score FROM orders UNION ALL SELECT 5000000000000 + p_partkey, floor(p_retailprice) FROM part)
+SELECT seed, y AS year, count(*) AS n_nodes, round(avg(score) FILTER (WHERE hop = 1), 6) AS own, round(avg(score) FILTER (WHERE hop = 2), 6) AS around FROM n LEFT JOIN v USING (id) GROUP BY ALL""")
 def contributor_scores(spark, d):
-    values = lambda name, base, key, score: fixture.table(spark, d, name).select((F.lit(base) + F.col(key)).cast("long").alias("id"), F.col(score).alias("score"))
+    values = lambda name, base, key, score: fixture.table(spark, d, name).select((F.lit(base) + F.col(key)).cast("long").alias("id"), F.floor(score).alias("score"))
     scores = values("orders", fixture.ORDER, "o_orderkey", "o_totalprice").unionByName(values("part", fixture.PART, "p_partkey", "p_retailprice"))
     rows = reports.contributor_scores(fixture.persons(spark, d), graph.incidence(fixture.observations(spark, d)), scores, YEARS)
-    return rows.withColumns({c: F.round(c, 4) for c in ("own", "around")})
+    return rows.withColumns({c: F.round(c, 6) for c in ("own", "around")})
 
 
 _DAYS = 2434  # from 1995-01-01 to 2001-08-31

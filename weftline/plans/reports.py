@@ -139,7 +139,7 @@ def export_texts(texts_: DataFrame, scores: DataFrame) -> DataFrame:
 
 def evidence(works: DataFrame, inc: DataFrame, found: DataFrame, k: int = 2) -> DataFrame:
     """(seed, id, term): the terms found in the texts within k hops of each work. found: (id, terms array)."""
-    near = graph.neighbours(works.select(F.col("id").alias("seed")), inc, k).select("seed", "id")
+    near = graph.neighbours(works.select(F.col("id").alias("seed")), inc, k, among=found).select("seed", "id")
     return near.join(found, "id").select("seed", "id", F.explode("terms").alias("term"))
 
 
