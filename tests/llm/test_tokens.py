@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,7 +99,8 @@ def test_unsound_vocabulary_is_merged(tmp_path, library):
 
 
 def test_decoding_any_ids(library):
-    decode, r = bpe.decoder(bpe.default_vocabulary()), np.random.default_rng(5)
+    decoder, r = bpe.Decoder(bpe.default_vocabulary()), np.random.default_rng(5)
+    decode = lambda ids: decoder.decode(pa.array([[], ids, None], pa.list_(pa.int32())))[1]
     for _ in range(500):
         ids = r.integers(0, 50257 if r.random() < 0.5 else 256, r.integers(0, 30)).tolist()
         assert decode(ids) == library.decode(ids, skip_special_tokens=False)

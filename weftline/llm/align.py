@@ -21,7 +21,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,14 @@ def default_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Names:
+    """Decimals of ids after the marks before a group's first, a further and its second list's first id."""
+
+    def __init__(self, ids: int):
+        self.group, self.within, self.second = 0, ids, 2 * ids
+        self.marked = [f"{mark}{i}" for mark in ";,|" for i in range(ids)]
+
+
 @dataclass
 class Alignment:
     """Ids of both tokenizers, and how many of each are in each group."""
@@ -51,14 +60,16 @@ class Alignment:
     a_sizes: np.ndarray
     b_sizes: np.ndarray
 
-    def text(self, names: list[str]) -> str:
-        """`a1,a2|b1;a3|b2,b3`; names has the decimal of each id."""
-        a, b = [names[i] for i in self.a.tolist()], [names[i] for i in self.b.tolist()]
-        out, i, j = [], 0, 0
-        for m, n in zip(self.a_sizes.tolist(), self.b_sizes.tolist(), strict=True):
-            out.append(f"{a[i]}|{b[j]}" if m == n == 1 else f"{','.join(a[i : i + m])}|{','.join(b[j : j + n])}")
-            i, j = i + m, j + n
-        return ";".join(out)
+    def text(self, names: Names) -> str:
+        """`a1,a2|b1;a3|b2,b3`: each id after its mark, put where its group has it."""
+        m, n = self.a_sizes, self.b_sizes
+        a_start, b_start = np.cumsum(m) - m, np.cumsum(n) - n
+        a_mark, b_mark = np.full(len(self.a), names.within), np.full(len(self.b), names.within)
+        a_mark[a_start], b_mark[b_start] = names.group, names.second
+        out = np.empty(len(self.a) + len(self.b), np.int64)
+        out[np.arange(len(self.a)) + np.repeat(b_start, m)] = self.a + a_mark
+        out[np.arange(len(self.b)) + np.repeat(a_start + m, n)] = self.b + b_mark
+        return "".join(map(names.marked.__getitem__, out.tolist()))[1:]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, times): the distinct pairs of linked ids, first id times 2^32 plus second, in order, and their occurrences."""
@@ -81,35 +92,79 @@ class Alignment:
 NOTHING = Alignment(*(np.zeros(0, np.int32),) * 2, *(np.zeros(0, np.int64),) * 2)
 
 
-class Aligner:
-    def __init__(self, bytes_path: str, pieces_path: str):
+class Pieces:
+    """Ids of whole texts by a piece vocabulary that puts a space before them, and whether their pieces are the text.
+
+    Where no piece goes on after a space mark inside it, what stands between two single spaces is cut by itself, so a batch
+    cuts each of these words once and remembers it; a text with other spaces is cut whole.
+    """
+
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.first, self.second = bpe.Encoder(bytes_path, specials=False), sentencepiece.SentencePieceProcessor(model_file=pieces_path)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        self.bytes_of = [bytes([int(name[3:-1], 16)]) if self.model.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
+        self.sizes = np.array(list(map(len, self.bytes_of)), np.int64)
+        self.by_words = not any("▁" in name.lstrip("▁") for name in names)
+        #: ids of words, None where the pieces are not the word
+        self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
+
+    def learn(self, words: list[str]) -> dict[str, bytes | None]:
+        cut = self.model.encode(words, num_threads=1)
+        ids = np.array(list(chain.from_iterable(cut)), "<i4").tobytes()
+        ends = np.cumsum([0, *map(len, cut)]).tolist()
+        whole = [b"".join(map(self.bytes_of.__getitem__, x)) == (" " + w).encode() for w, x in zip(words, cut, strict=True)]
+        return {w: ids[4 * a : 4 * b] if ok else None for w, ok, a, b in zip(words, whole, ends[:-1], ends[1:], strict=True)}
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Little-endian 32-bit ids of each text, None where they are not its bytes."""
+        if len(self.known) > bpe.REMEMBERED:
+            self.before, self.known = self.known, {}
+        odd = {k for k, t in enumerate(texts) if not self.by_words or not t or "  " in t or t[0] == " " or t[-1] == " "}
+        split = [() if k in odd else t.split(" ") for k, t in enumerate(texts)]
+        if new := set().union(*split) - self.known.keys():
+            self.known |= {w: self.before[w] for w in new & self.before.keys()}
+            self.known |= self.learn(list(new - self.before.keys()))
+        alone = self.learn(sorted({texts[k] for k in odd})) if odd else {}
+        out: list[bytes | None] = []
+        for k, words in enumerate(split):
+            try:
+                out.append(alone[texts[k]] if k in odd else b"".join(map(self.known.__getitem__, words)))
+            except TypeError:  # one of the words has no ids
+                out.append(None)
+        return out
+
+
+class Aligner:
+    def __init__(self, bytes_path: str, pieces_path: str):
+        self.first, self.second = bpe.encoder_of(bytes_path, False), pieces_of(pieces_path)
         known = self.first.vocabulary.bytes_of
-        self.first_bytes = [known.get(i, b"") for i in range(self.first.vocabulary.size)]
-        self.second_bytes = [bytes([int(self.second.id_to_piece(i)[3:-1], 16)]) if self.second.is_byte(i) else self.second.id_to_piece(i).replace("▁", " ").encode() for i in range(self.second.vocab_size())]
-        self.names = [str(i) for i in range(max(len(self.first_bytes), len(self.second_bytes)))]
+        self.first_sizes = np.array([len(known.get(i, b"")) for i in range(self.first.vocabulary.size)], np.int64)
+        self.names = Names(max(len(self.first_sizes), len(self.second.sizes)))
 
     def align(self, texts: list[str | None]) -> list[Alignment]:
         whole = [k for k, t in enumerate(texts) if t]
         out = [NOTHING] * len(texts)
-        firsts = self.first.encode([" " + texts[k] for k in whole])
-        seconds = self.second.encode([texts[k] for k in whole], num_threads=1)
-        for k, first, b in zip(whole, firsts, seconds, strict=True):
-            a = np.frombuffer(first, "<i4")
-            out[k] = self.groups(a, b, (" " + texts[k]).encode())
+        firsts, seconds = self.first.encode([" " + texts[k] for k in whole]), self.second.encode([texts[k] for k in whole])
+        for k, a, b in zip(whole, firsts, seconds, strict=True):
+            if b is not None:
+                out[k] = self.groups(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4"))
         return out
 
-    def groups(self, a: np.ndarray, b: list[int], text: bytes) -> Alignment:
-        a_bytes, b_bytes = [self.first_bytes[i] for i in a.tolist()], [self.second_bytes[i] for i in b]
-        if b"".join(a_bytes) != text or b"".join(b_bytes) != text:
-            return NOTHING
-        a_at = {end: k for k, end in enumerate(accumulate(map(len, a_bytes)), 1)}
-        b_at = {end: k for k, end in enumerate(accumulate(map(len, b_bytes)), 1)}
+    def groups(self, a: np.ndarray, b: np.ndarray) -> Alignment:
+        """Of two lists whose bytes are the same; those of a byte-level vocabulary always are the text."""
+        a_at, b_at = (dict(zip(np.cumsum(sizes[x]).tolist(), count(1))) for x, sizes in ((a, self.first_sizes), (b, self.second.sizes)))
         common = sorted(a_at.keys() & b_at.keys())
         ends_of = lambda at: np.fromiter(map(at.__getitem__, common), np.int64, len(common))
-        return Alignment(a, np.array(b, np.int32), *(np.diff(ends_of(at), prepend=0) for at in (a_at, b_at)))
+        return Alignment(a, b, *(np.diff(ends_of(at), prepend=0) for at in (a_at, b_at)))
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """One for all tasks of a worker."""
+    return Pieces(path)
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

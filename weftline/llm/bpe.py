@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .packing import byte_letters, slices
+from .packing import PLAIN_BELOW, byte_letters, is_plain, slices
 
 #: Fixed pattern of byte-level vocabularies: how a text is cut into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a task remembers, the bytes of these ids, and characters of a text that are cut at once.
-REMEMBERED, REMEMBERED_BYTES, BLOCK = 400_000, 16_000_000, 1_000_000
+ANY_WORDS = regex.compile(WORDS)
+#: Words whose ids a worker remembers (twice as many at most), the bytes of these ids, and characters of a text that are cut at once.
+REMEMBERED, REMEMBERED_BYTES, BLOCK = 250_000, 16_000_000, 1_000_000
 #: Ends a word in the scan; bytes are the characters below it.
 WORD_END = "Ā"
 NO_RANK = np.iinfo(np.int64).max
@@ -51,6 +54,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def plain_words() -> re.Pattern:
+    """The same for texts of characters below PLAIN_BELOW, with their classes written out; words of letters, which no other
+    kind begins like, first."""
+    below = [chr(c) for c in range(PLAIN_BELOW)]
+    of = lambda kind: "".join(re.escape(c) for c in below if regex.match(kind, c))
+    letters, numbers, blank = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    return re.compile(f" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{numbers}]+| ?[^{blank}{letters}{numbers}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+
+
+PLAIN_WORDS = plain_words()
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a tokenizer file."""
 
@@ -197,29 +212,25 @@ class Encoder:
         for token, i in self.vocabulary.id_of.items():
             self.longest.add_word(token, i)
         self.longest.make_automaton()
-        self.pattern = regex.compile(WORDS)
-        special = sorted(self.vocabulary.special, key=len, reverse=True) if specials else []
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.special = sorted(self.vocabulary.special, key=len, reverse=True) if specials else []
+        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        #: ids of words; what was met before the last REMEMBERED ones is forgotten
         self.ids: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = self.new_words = self.merged_words = 0
 
-    def cut(self, text: str, unknown: set[str]) -> list[str]:
+    def cut(self, text: str) -> list[str]:
         """Words of a text. Characters that Unicode tables of different age may class differently are left to the
         library's cut, with the text around them."""
-        if unknown and not unknown.isdisjoint(text):
+        if is_plain(text):
+            pattern = PLAIN_WORDS
+        elif any(c > "\x7f" and unicodedata.category(c) == "Cn" for c in set(text)):
             return [text[a:b] for _, (a, b) in self.library_cut.pre_tokenize_str(text)]
+        else:
+            pattern = ANY_WORDS
         if len(text) <= BLOCK:
-            return self.pattern.findall(text)
-        return [w for block in blocks(text) for w in self.pattern.findall(block)]
-
-    def pieces(self, text: str, unknown: set[str]) -> list[str]:
-        """Words and special tokens of a text; None before each special one."""
-        if self.special is None or not self.special.search(text):
-            return self.cut(text, unknown)
-        found: list[str | None] = []
-        for k, part in enumerate(self.special.split(text)):
-            found += [None, part] if k % 2 else self.cut(part, unknown)
-        return found
+            return pattern.findall(text)
+        return [w for block in blocks(text) for w in pattern.findall(block)]
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of new words: propose, verify, merge what fails."""
@@ -239,34 +250,42 @@ class Encoder:
             data, at = ids.astype("<i4").tobytes(), (4 * np.searchsorted(word, np.arange(len(raw) + 1))).tolist()
             for w, a, b in zip(words, at[:-1], at[1:], strict=True):
                 self.ids[w] = data[a:b]
+            self.held += len(data)
         for k, data in zip(failed, v.merged([raw[k] for k in failed]), strict=True):
             self.ids[words[k]] = data
+            self.held += len(data)
         self.merged_words += len(failed)
-        self.held += sum(len(self.ids[w]) for w in words)
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """By the words of each text."""
+        cut = list(map(self.cut, texts))
+        if new := set().union(*cut) - self.ids.keys():
+            self.ids |= {w: self.before[w] for w in new & self.before.keys()}
+            self.learn(list(new - self.before.keys()))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.ids) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self.ids.clear()
-            self.held = 0
-        characters = set().union(*texts) if texts else set()
-        unknown = {c for c in characters if c > "\x7f" and unicodedata.category(c) == "Cn"}
-        cut = [self.pieces(t, unknown) for t in texts]
-        if new := sorted({w for words in cut for w in words if w is not None} - self.ids.keys()):
-            self.learn(new)
-        return [self.joined(words) for words in cut]
-
-    def joined(self, words: list[str]) -> bytes:
-        if None not in words:
-            return b"".join(map(self.ids.__getitem__, words))
-        out, special = [], False
-        for w in words:
-            if special:
-                out.append(self.vocabulary.special[w].to_bytes(4, "little"))
-            elif w is not None:
-                out.append(self.ids[w])
-            special = not special and w is None
-        return b"".join(out)
+            self.before, self.ids, self.held = self.ids, {}, 0
+        special = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        if not special:
+            return self.encode_plain(texts)
+        out = [b""] * len(texts)
+        plain = sorted(set(range(len(texts))) - set(special))
+        for k, x in zip(plain, self.encode_plain([texts[k] for k in plain]), strict=True):
+            out[k] = x
+        for k in special:
+            split = self.special_pattern.split(texts[k])
+            found = iter(self.encode_plain(split[::2]))
+            out[k] = b"".join(self.vocabulary.special[x].to_bytes(4, "little") if j % 2 else next(found) for j, x in enumerate(split))
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str, specials: bool) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, specials)
 
 
 def blocks(text: str) -> Iterator[str]:
@@ -284,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None, specials: bool = True) -> D
     path = path or default_vocabulary()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, specials)
+        encoder = encoder_of(path, specials)
         for part in slices(batches):
             found = encoder.encode([t or "" for t in part.column(1).to_pylist()])
             ends = np.cumsum([0, *(len(x) // 4 for x in found)])
@@ -294,9 +313,23 @@ def encode(docs: DataFrame, path: str | None = None, specials: bool = True) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decoder(path: str) -> Callable[[list[int]], str]:
-    known = Vocabulary(path).bytes_of
-    return lambda ids: b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
+class Decoder:
+    def __init__(self, path: str):
+        known = Vocabulary(path).bytes_of
+        size = np.array([len(known.get(i, b"")) for i in range(max(known) + 2)])
+        #: bytes of all tokens, where each begins and how many it has; the last one stands for unknown ids
+        self.data = np.frombuffer(b"".join(known.get(i, b"") for i in range(len(size))), np.uint8)
+        self.size, self.start = size, np.cumsum(size) - size
+
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """Texts of lists of ids."""
+        flat = ids.flatten().fill_null(-1).to_numpy()
+        flat = np.where((flat < 0) | (flat >= len(self.size)), len(self.size) - 1, flat)
+        size = self.size[flat]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(self.start[flat] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        at = ends[np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -304,12 +337,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = decoder(path)
+        decoder = Decoder(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [text_of(ids or []) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoder.decode(part.column(1)), pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
