@@ -1,6 +1,6 @@
 """Registered queries over the tables-as-graph and the SQL that answers them."""
 
-from . import feature_queries, fusion_queries, graph_queries, ingest_queries, report_queries
+from . import feature_queries, fusion_queries, graph_queries, ingest_queries, report_queries, sample_queries
 
-QUERIES: dict = {**graph_queries.QUERIES, **fusion_queries.QUERIES, **report_queries.QUERIES, **feature_queries.QUERIES, **ingest_queries.QUERIES}
-SQL: dict = {**graph_queries.SQL, **fusion_queries.SQL, **report_queries.SQL, **feature_queries.SQL, **ingest_queries.SQL}
+QUERIES: dict = {**graph_queries.QUERIES, **fusion_queries.QUERIES, **report_queries.QUERIES, **feature_queries.QUERIES, **ingest_queries.QUERIES, **sample_queries.QUERIES}
+SQL: dict = {**graph_queries.SQL, **fusion_queries.SQL, **report_queries.SQL, **feature_queries.SQL, **ingest_queries.SQL, **sample_queries.SQL}

@@ -247,21 +247,6 @@ def scaled_features(spark, d):
     return numbers.min_max(spend(spark, d), ["n", "total"]).withColumns({"n": F.round("n", 9), "total": F.round("total", 9)})
 
 
-def split_spend(spark, d):
-    c = fixture.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
-    return targets.split(spend(spark, d).join(c, "id"), "id", {"train": 80, "test": 20})
-
-
-@query()
-def gbt_importance(spark, d):
-    return models.tree_grid(split_spend(spark, d), ["n", "c_acctbal", "nation"], "total", "gbt", [{"maxDepth": 2, "maxIter": 5}, {"maxDepth": 3, "maxIter": 5}])
-
-
-@query()
-def forest_importance(spark, d):
-    return models.tree_grid(split_spend(spark, d), ["n", "c_acctbal", "nation"], "total", "forest", [{"maxDepth": 3, "numTrees": 5}])
-
-
 @query()
 def toxicity_scores(spark, d):
     docs, labels = fixture.table(spark, d, "documents").select("doc_id", "text"), fixture.table(spark, d, "labels").select("doc_id", "toxic")
