@@ -92,14 +92,25 @@ _DAYS = 2434  # from 1995-01-01 to 2001-08-31
 _SIGMA = 0.5 * 365.25 / _DAYS * 100
 
 
-@query(f"""{with_tables('observation')}, {_touched},
-b AS (SELECT person, file, CAST(round((epoch(time) - epoch(TIMESTAMP '1995-01-01')) / (epoch(TIMESTAMP '2001-08-31') - epoch(TIMESTAMP '1995-01-01'))::DOUBLE * 100) AS INT) AS bin, count(*) AS n FROM touched GROUP BY ALL),
-p AS (SELECT person, file, x AS "at", least(sum(n * exp(-0.5::DOUBLE * ((x - bin) / {_SIGMA!r}::DOUBLE) ** 2)), 1.0::DOUBLE) AS d FROM b JOIN range(0, 101) r(x) ON abs(x - bin) <= {int(4 * _SIGMA)} WHERE bin BETWEEN 0 AND 100 GROUP BY ALL)
-SELECT person, "at", round(sum(d), 6) AS density FROM p GROUP BY ALL""")
+_bin = "CAST(round((epoch(time) - epoch(TIMESTAMP '1995-01-01')) / (epoch(TIMESTAMP '2001-08-31') - epoch(TIMESTAMP '1995-01-01'))::DOUBLE * 100) AS INT)"
+_height = f"exp(-0.5::DOUBLE * ((x - bin) / {_SIGMA!r}::DOUBLE) ** 2)"
+_density = f"""{with_tables('observation')}, {_touched},
+b AS (SELECT person, file, {_bin} AS bin, count(*) AS n FROM touched GROUP BY ALL),
+p AS (SELECT person, file, x AS "at", least(sum(n * {_height}), 1.0::DOUBLE) AS d FROM b JOIN range(0, 101) r(x) ON abs(x - bin) <= {int(4 * _SIGMA)} WHERE bin BETWEEN 0 AND 100 GROUP BY ALL),
+s AS (SELECT person, "at", sum(d) AS density FROM p GROUP BY ALL)"""
+
+
+@query(f"""{_density} SELECT person, "at", round(density, 6) AS density FROM s""")
 def imcf_density(spark, d):
     return reports.density(touched(spark, d), "1995-01-01", "2001-08-31").select("person", F.col("at").cast("long").alias("at"), F.round("density", 6).alias("density"))
 
 
+@query(f"""{_density} SELECT person, round(max(density), 6) AS most, round(coalesce(sum(density) FILTER ("at" = 100), 0), 6) AS last FROM s GROUP BY person""")
+def imcf_index(spark, d):
+    rows = reports.density_index(reports.density(touched(spark, d), "1995-01-01", "2001-08-31"))
+    return rows.select("person", F.round("most", 6).alias("most"), F.round("last", 6).alias("last"))
+
+
 _pairs = f"""WITH {_members}, m AS (SELECT DISTINCT person, project FROM members),
 pairs AS MATERIALIZED (SELECT a.person AS a, b.person AS b, count(*) AS n FROM m a JOIN m b USING (project) GROUP BY ALL)"""
 
@@ -120,6 +131,22 @@ def coauthor_matrix(spark, d):
     return reports.coauthor_matrix(members(spark, d))
 
 
+@query(f"""WITH {_members}, m AS (SELECT DISTINCT person, project FROM members),
+w AS (SELECT (o_orderkey // 10) || '-p' AS project, min(o_orderdate) AS time, count(*) FILTER (o_orderstatus = 'F') > 5 AS good FROM orders GROUP BY ALL),
+k AS (SELECT m.person AS a, o.person AS b, {_bin} AS bin, count(*) AS n, count(*) FILTER (good) AS g FROM m JOIN m o USING (project) JOIN w USING (project) GROUP BY ALL),
+c AS MATERIALIZED (SELECT a, b, sum(n) AS n, sum(g) AS n_good FROM k GROUP BY ALL),
+h AS MATERIALIZED (SELECT a, b, x, sum(n * {_height}) AS d, sum(g * {_height}) AS good FROM k JOIN range(0, 101) r(x) ON abs(x - bin) <= {int(4 * _SIGMA)} WHERE bin BETWEEN 0 AND 100 GROUP BY ALL)
+SELECT c.a, c.b, c.n::BIGINT AS n, c.n_good::BIGINT AS n_good, round(coalesce(sum(h.d), 0), 6) AS total, round(coalesce(sum(h.good), 0), 6) AS total_good, round(max(h.d / o.d), 6) AS most_share
+FROM c JOIN c AS own ON own.a = c.a AND own.b = c.a AND c.n >= greatest(1.0, 0.1 * own.n) LEFT JOIN h ON h.a = c.a AND h.b = c.b LEFT JOIN h AS o ON o.a = c.a AND o.b = c.a AND o.x = h.x GROUP BY ALL""")
+def joint_density(spark, d):
+    orders = fixture.table(spark, d, "orders").select(F.concat_ws("-", F.expr("o_orderkey div 10"), F.lit("p")).alias("project"), "o_orderdate", "o_orderstatus")
+    projects = orders.groupBy("project").agg(F.min("o_orderdate").alias("time"), (F.count_if(F.col("o_orderstatus") == "F") > 5).alias("good"))
+    rows = reports.joint_density(members(spark, d), projects, "1995-01-01", "2001-08-31")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6)
+    return rows.select("a", "b", "n", "n_good", total("curve").alias("total"), total("good").alias("total_good"), F.round(F.array_max("share"), 6).alias("most_share"))
+
+
+
 def works(spark, d):
     o = fixture.table(spark, d, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", "Standards Track").when(F.col("o_orderstatus") == "O", "Process").otherwise("Informational")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as texts
@@ -70,22 +73,71 @@ def contributor_scores(persons: DataFrame, inc: DataFrame, scores: DataFrame, ye
     return near.groupBy("seed", F.year("start").cast("long").alias("year")).agg(F.count("*").alias("n_nodes"), at(1).alias("own"), at(2).alias("around"))
 
 
+class Kernel:
+    """Gaussian of `years` around dates on `points` places from start to end, cut at four deviations."""
+
+    def __init__(self, start: str, end: str, points: int = 101, years: float = 0.5):
+        self.start, self.end, self.points = start, end, points
+        self.sigma = years * 365.25 / (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days * (points - 1)
+        reach = int(4 * self.sigma)
+        self.heights = [math.exp(-0.5 * (k / self.sigma) ** 2) if k <= reach else 0.0 for k in range(points)]
+
+    def place(self, time: Column) -> Column:
+        """The nearest place, null outside."""
+        at = lambda t: F.unix_timestamp(t.cast("timestamp"))
+        low, high = at(F.lit(self.start)), at(F.lit(self.end))
+        found = F.round((at(time) - low) / (high - low) * (self.points - 1)).cast("int")
+        return F.when(found.between(0, self.points - 1), found)
+
+    def curve(self, bins: Column, n: str = "n") -> Column:
+        """Heights at all places, of bins array<struct<bin, n>>: a bin a place at most, so nothing is spread out into rows."""
+        height = F.array(*[F.lit(h) for h in self.heights])
+        at_place = lambda at: F.aggregate(bins, F.lit(0.0), lambda s, b: s + b[n] * F.get(height, F.abs(at - b["bin"])))
+        return F.transform(F.sequence(F.lit(0), F.lit(self.points - 1)), at_place)
+
+
 def density(touched: DataFrame, start: str, end: str, points: int = 101, years: float = 0.5) -> DataFrame:
     """(person, at, density): concurrent maintenance. Touches of a file fall on `points` dates; each spreads as a Gaussian of
-    `years`, cut at four deviations; a person and file count 1 at most, and files are summed."""
-    span = F.unix_timestamp(F.lit(end).cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))
-    place = (F.unix_timestamp(F.col("time").cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))) / span * (points - 1)
-    import datetime as dt
-
-    days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days
-    sigma = years * 365.25 / days * (points - 1)
-    reach = int(4 * sigma)
-    # Dealt by person and file once: bins and their spread are then grouped where they are.
-    binned = touched.withColumn("bin", F.round(place).cast("int")).filter(F.col("bin").between(0, points - 1)).select("person", "file", "bin").repartition("person", "file").groupBy("person", "file", "bin").agg(F.count("*").alias("n"))
-    near = binned.withColumn("at", F.explode(F.sequence(F.greatest(F.col("bin") - reach, F.lit(0)), F.least(F.col("bin") + reach, F.lit(points - 1)))))
-    kernel = F.exp(-0.5 * ((F.col("at") - F.col("bin")) / F.lit(sigma)) ** 2)
-    per_file = near.groupBy("person", "file", "at").agg(F.least(F.sum(F.col("n") * kernel), F.lit(1.0)).alias("d"))
-    return per_file.groupBy("person", "at").agg(F.sum("d").alias("density"))
+    `years`, cut at four deviations; a person and file count 1 at most, and files are summed.
+
+    A file that a person touched once never comes over 1, so all of these are counted by place and spread together;
+    files touched more often are spread and cut each by itself.
+    """
+    kernel = Kernel(start, end, points, years)
+    # Dealt by person and file once: bins and their lists are then grouped where they are.
+    bins = touched.select("person", "file", kernel.place(F.col("time")).alias("bin")).filter("bin is not null").repartition("person", "file").groupBy("person", "file", "bin").agg(F.count("*").alias("n"))
+    listed = F.collect_list(F.struct("bin", "n")).alias("bins")
+    files = bins.groupBy("person", "file").agg(listed)
+    once = F.expr("size(bins) = 1 and bins[0].n = 1")
+    single = files.filter(once).select("person", F.col("bins")[0]["bin"].alias("bin")).groupBy("person", "bin").agg(F.count("*").alias("n")).groupBy("person").agg(listed)
+    several = files.filter(~once).select("person", F.transform(kernel.curve(F.col("bins")), lambda x: F.least(x, F.lit(1.0))).alias("curve"))
+    rows = single.select("person", kernel.curve(F.col("bins")).alias("curve")).unionByName(several).select("person", F.posexplode("curve").alias("at", "d"))
+    return rows.filter("d > 0").groupBy("person", "at").agg(F.sum("d").alias("density"))
+
+
+def density_index(found: DataFrame, points: int = 101) -> DataFrame:
+    """(person, most, last): the highest density of a person and that at the last date, as numbers of files."""
+    last = F.sum(F.when(F.col("at") == points - 1, F.col("density")).otherwise(0.0))
+    return found.groupBy("person").agg(F.max("density").alias("most"), last.alias("last"))
+
+
+def joint_density(members: DataFrame, projects: DataFrame, start: str, end: str, least_share: float = 0.1, points: int = 101, years: float = 0.5) -> DataFrame:
+    """(a, b, n, n_good, curve, good, share): the shared projects of a person a and each collaborator b (with b = a, its own),
+    as densities over `points` dates: of all, of the good ones, and of all over the person's own (null where that is 0).
+
+    Collaborators share max(1, least_share * own) projects or more. members: (person, project), projects: (project, time, good).
+    """
+    kernel = Kernel(start, end, points, years)
+    m = members.select("person", "project").distinct()
+    dated = m.join(projects.select("project", F.coalesce(kernel.place(F.col("time")), F.lit(-1)).alias("bin"), F.col("good").cast("int").alias("g")), "project")
+    met = dated.select(F.col("person").alias("a"), "project", "bin", "g").join(m.select(F.col("person").alias("b"), "project"), "project")
+    bins = met.groupBy("a", "b", "bin").agg(F.count("*").alias("n"), F.sum("g").alias("g"))
+    pairs = bins.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("g").alias("n_good"), F.collect_list(F.struct("bin", "n", "g")).alias("all"))
+    pairs = pairs.withColumn("bins", F.filter("all", lambda x: x["bin"] >= 0)).drop("all")
+    own = pairs.filter("a = b").select("a", F.col("n").alias("own"), kernel.curve(F.col("bins")).alias("own_curve"))
+    kept = pairs.join(own, "a").filter(F.col("n") >= F.greatest(F.lit(1.0), least_share * F.col("own")))
+    spread = kept.select("a", "b", "n", "n_good", kernel.curve(F.col("bins")).alias("curve"), kernel.curve(F.col("bins"), "g").alias("good"), "own_curve")
+    return spread.select("a", "b", "n", "n_good", "curve", "good", F.zip_with("curve", "own_curve", lambda x, y: F.when(y > 0, x / y)).alias("share"))
 
 
 def shared_projects(members: DataFrame) -> DataFrame:
