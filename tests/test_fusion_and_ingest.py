@@ -68,7 +68,7 @@ COMMITS = "sha string, author struct<name:string,email:string>, authored timesta
 
 def test_git(spark):
     one = ("a" * 40, ("Ann", "a@x"), T, ("Bob", "b@x"), T + dt.timedelta(days=1), "m", [("f", 1, 2, 3), ("g", 1, 0, 1)])
-    entities, edges = ingest.git(spark.createDataFrame([one, one], COMMITS))
+    entities, edges, _ = ingest.git(spark.createDataFrame([one, one], COMMITS))
     assert {r["key"] for r in entities.collect()} == {"person:Ann <a@x>", "person:Bob <b@x>", "git_commit:" + "a" * 10, "file:f", "file:g"}
     assert sorted((r["type"], r["time"].day) for r in edges.collect()) == [("committed", 2), ("created", 1), ("modified", 1), ("modified", 1)]
     e, o = ingest.numbered(entities, edges, 1, 100)
@@ -82,7 +82,7 @@ def test_mail(spark):
         ("A", "a@x", "B", "b@x", None, None, "s\x00", "2020-01-01 00:00:00", "r", "m1", [("m0",), ("m2",)], "b", None, "f"),
         (None, "z@x", None, None, "C", "c@x", "s", "bad", "Thu, 23 May 2002 23.19.24 +0200", "m2", None, "b", None, "f"), ("A", "a@x", "B", "b@x", None, None, "s", None, None, "m3", None, "b", None, "f"),
     ]
-    entities, edges = ingest.mail(spark.createDataFrame(rows, columns))
+    entities, edges, _ = ingest.mail(spark.createDataFrame(rows, columns))
     found = {r["key"]: r["attrs"] for r in entities.collect()}
     assert set(found) == {"person:A <a@x>", "person:B <b@x>", "person:C <c@x>", "message:m0", "message:m1", "message:m2"}
     assert found["message:m0"] == {} and json.loads(found["message:m1"]["subject"]) == "s<NULL>"
@@ -95,7 +95,7 @@ def test_pull_requests(spark):
     schema = f"number long, bodyText string, publishedAt timestamp, author {author}, mergeCommit struct<oid:string>, commits array<struct<oid:string,message:string>>, comments array<{message}>, reviews array<struct<id:string,author:{author},bodyText:string,publishedAt:timestamp,comments:array<{message}>>>"
     ann, bob = ("Ann", "a@x", "ann"), (None, None, "bob")
     rows = [(1, "body", T, ann, ("c9",), [("c1", "m")], [(bob, "hi", T), (None, "anon", T)], [("r1", ann, "ok", T, [(bob, "re", T)])]), (2, "b", T, None, None, None, None, None)]
-    entities, edges = ingest.pull_requests(spark.createDataFrame(rows, schema), "repo")
+    entities, edges, _ = ingest.pull_requests(spark.createDataFrame(rows, schema), "repo")
     kinds = sorted(r["type"] for r in entities.collect())
     assert kinds == sorted(["person"] * 2 + ["github_pullrequest"] * 2 + ["git_commit"] * 2 + ["github_review"] + ["message"] * 3)
     assert sorted(r["type"] for r in edges.collect()) == sorted(["created", "merged_as", "attached_to", "message_to", "message_to", "message_from", "attached_to", "created", "message_to", "message_from"])
@@ -104,7 +104,7 @@ def test_pull_requests(spark):
 def test_proposals_and_references(spark):
     rows = [(1, "u", "Process", "Final", "t", "Ann B <a@x>; Bob", "05-Jun-2001", None, "2", None), (2, "u", "Standards Track", "Final", "t", "Ann B <a@x>", "06-Jun-2002", "1", None, "1")]
     peps = spark.createDataFrame(rows, "number long, url string, type string, status string, title string, authors string, created string, replaces string, superseded_by string, requires string")
-    entities, edges = ingest.proposals(peps)
+    entities, edges, _ = ingest.proposals(peps)
     assert entities.filter("type = 'person'").count() == 2
     assert sorted((r["type"], r["src"][:5], r["dst"], r["time"].year) for r in edges.collect()) == [("created", "perso", "pep:1", 2001), ("created", "perso", "pep:1", 2001), ("created", "perso", "pep:2", 2002), ("requires", "pep:2", "pep:1", 2002), ("superseded_by", "pep:1", "pep:2", 2002)]
     items = spark.createDataFrame([(10, T, "PEP 8 and pep 8.", "see pep 008 or pep 9"), (11, T, "pep 9", None)], "id long, time timestamp, subject string, body string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from weftline.functions import names
+from weftline.sources.stage import staged
 
 from .components import components
 
@@ -180,6 +181,13 @@ def dangling(obs: DataFrame, entity: DataFrame) -> DataFrame:
     return ends.join(ids, "id", "left_anti").select("obs_id", F.col("id").alias("missing_id")).distinct()
 
 
+def rebuild(derived, entity: DataFrame, obs: DataFrame, sources: DataFrame, obs_sources: DataFrame, fusion: DataFrame) -> str:
+    """Build both derived tables anew and make them the current version: fused_entity and fused_observation, attributes
+    included. derived: a `store.Derived`. Whatever fails on the way leaves the last version in place."""
+    fusion = staged(fusion, "fusion")
+    return derived.publish({"fused_entity": fused_entities(entity, sources, fusion), "fused_observation": fused_observation_attrs(obs, obs_sources, fusion)})
+
+
 def recache(entity: DataFrame, obs: DataFrame, sources: DataFrame, fusion: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both derived tables, to be written over the last ones."""
     return fused_entities(entity, sources, fusion), fused_observations(obs, fusion)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
 
 from weftline.functions import names, numbers, text
 from weftline.operators import fuse
+from weftline.sources import store
+from weftline.sources.stage import shared_dir
 
 from . import fixture
 from .fixture import with_tables
@@ -37,8 +40,24 @@ def fusion(spark, d):
 
 def whole_fusion(spark, d):
     """By every rule: also the nearest names and equal commit hashes, which the SQL has not."""
-    commits = fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"), F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("sha"))
-    return fuse.entity_fusion(fixture.entities(spark, d), fuse.all_edges(cand(spark, d), commits))
+    return fuse.entity_fusion(fixture.entities(spark, d), fuse.all_edges(fuse.candidates(named_persons(spark, d)), hashed_commits(spark, d)))
+
+
+#: Syllables of invented names, of which some sound alike.
+SYLLABLES = ["smi", "smy", "tho", "to", "ban", "pan", "ker", "cer", "lyn", "lin", "mor", "mar", "dou", "tow", "gar", "kar"]
+
+
+def named_persons(spark, d):
+    """The persons with names of two words by their numbers, some of them nearly another's."""
+    syllable = lambda by: F.element_at(F.array(*[F.lit(x) for x in SYLLABLES]), (F.expr(by) % len(SYLLABLES) + 1).cast("int"))
+    word = lambda *by: F.initcap(F.concat(*[syllable(x) for x in by]))
+    name = F.concat_ws(" ", word("id * 7", "id div 3", "id * 5 div 16"), word("id div 2", "id * 11", "id div 48", "id * 3 div 7"))
+    return fixture.persons(spark, d).withColumn("name", name)
+
+
+def hashed_commits(spark, d):
+    """Orders with hashes, of which two orders in a row have one."""
+    return fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"), F.sha1(F.expr("cast(o_orderkey div 2 as string)").cast("binary")).alias("sha"))
 
 
 _invalid = names.INVALID_EMAIL.replace("'", "''")
@@ -122,13 +141,35 @@ src AS (SELECT 3000000000000000 + line AS owner, 0 AS src_id, unnest(['quantity'
 vals AS (SELECT owner, string_agg(key || '=' || value, ';' ORDER BY key) AS attrs FROM kept GROUP BY owner)
 SELECT o.id, a.id_lowest AS src_id, b.id_lowest AS dst_id, coalesce(attrs, '') AS attrs FROM observation o JOIN fusion a ON a.id_other = o.src_id JOIN fusion b ON b.id_other = o.dst_id LEFT JOIN vals ON vals.owner = o.id""")
 def fused_observation_attrs(spark, d, fused=fusion):
+    rows = fuse.fused_observation_attrs(fixture.observations(spark, d), line_sources(spark, d), fused(spark, d))
+    return rows.select("id", "src_id", "dst_id", shown("attrs").alias("attrs"))
+
+
+def shown(attrs):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(attrs)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+
+
+def line_sources(spark, d):
+    """Attributes of the edges that modify: their own, and those that a later source attaches."""
     lines = fixture.lines(spark, d).withColumn("owner", (F.lit(fixture.MODIFIED) + F.col("line")).cast("long"))
     own = F.create_map(F.lit("quantity"), F.col("l_quantity").cast("int").cast("string"), F.lit("flag"), F.concat(F.lit('"'), "l_returnflag", F.lit('"')))
     later = F.create_map(F.lit("flag"), F.when(F.col("l_linenumber") % 2 == 0, "null").otherwise('"later"'), F.lit("checked"), F.lit("true"))
-    sources = lines.select("owner", F.lit(0).alias("src_id"), own.alias("attrs")).unionByName(lines.filter("l_linenumber > 1").select("owner", F.lit(1).alias("src_id"), later.alias("attrs")))
-    rows = fuse.fused_observation_attrs(fixture.observations(spark, d), sources, fused(spark, d))
-    shown = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
-    return rows.select("id", "src_id", "dst_id", shown.alias("attrs"))
+    return lines.select("owner", F.lit(0).alias("src_id"), own.alias("attrs")).unionByName(lines.filter("l_linenumber > 1").select("owner", F.lit(1).alias("src_id"), later.alias("attrs")))
+
+
+@query(f"""{_fused}, own AS (SELECT id_lowest AS owner, src_id, key, value FROM attr JOIN fusion ON id_other = owner),
+later AS (SELECT 3000000000000000 + line AS owner, 0 AS src_id, unnest(['quantity', 'flag']) AS key, unnest([l_quantity::INT::VARCHAR, '"' || l_returnflag || '"']) AS value FROM line
+  UNION ALL SELECT 3000000000000000 + line, 1, unnest(['flag', 'checked']), unnest([CASE WHEN l_linenumber % 2 = 0 THEN 'null' ELSE '"later"' END, 'true']) FROM line WHERE l_linenumber > 1),
+src AS (SELECT * FROM own UNION ALL SELECT * FROM later), {_merged},
+vals AS (SELECT owner, string_agg(key || '=' || value, ';' ORDER BY key) AS attrs FROM kept GROUP BY owner)
+SELECT 'fused_entity' AS tab, e.id, coalesce(attrs, '') AS attrs FROM entity e JOIN (SELECT DISTINCT id_lowest FROM fusion) ON id_lowest = e.id LEFT JOIN vals ON vals.owner = e.id
+UNION ALL SELECT 'fused_observation', o.id, coalesce(attrs, '') FROM observation o JOIN fusion a ON a.id_other = o.src_id JOIN fusion b ON b.id_other = o.dst_id LEFT JOIN vals ON vals.owner = o.id""")
+def rebuilt_tables(spark, d):
+    """Both derived tables, written as a version and read through its pointer."""
+    derived = store.Derived(spark, f"{shared_dir(spark)}/derived-{uuid.uuid4().hex}")
+    fuse.rebuild(derived, fixture.entities(spark, d), fixture.observations(spark, d), fixture.attr_sources(spark, d), line_sources(spark, d), fusion(spark, d))
+    rows = [derived.read(name).select(F.lit(name).alias("tab"), "id", shown("attrs").alias("attrs")) for name in ("fused_entity", "fused_observation")]
+    return rows[0].unionByName(rows[1])
 
 
 @query(f"{_fused} SELECT o.id AS obs_id, unnest([src_id, dst_id]) AS missing_id FROM observation o WHERE o.type = 'message_from'")

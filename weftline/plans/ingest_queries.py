@@ -93,6 +93,78 @@ def request_entities(spark, d):
     return ingest.pull_requests(requests(spark, d), "shop")[0].select("type", "key")
 
 
+_values = """v AS (SELECT 'person:' || who AS key, unnest(['name', 'email', 'github_user']) AS attr, unnest([to_json('C' || c), CASE WHEN c % 3 <> 0 THEN to_json('c' || c || '@x.org') ELSE 'null' END, CASE WHEN c % 2 = 0 THEN to_json('gh' || c) ELSE 'null' END])::VARCHAR AS value FROM (SELECT p.*, o_custkey AS c FROM p JOIN orders ON o_orderkey = k)
+  UNION SELECT 'person:' || who, unnest(['name', 'email', 'github_user']), unnest(['null', 'null', '"gh' || (k % 10) || '"']) FROM p2
+  UNION SELECT pr, unnest(['github_pr_number', 'body_text', 'created']), unnest([k::VARCHAR, to_json(o_orderpriority)::VARCHAR, epoch(o_orderdate)::BIGINT::VARCHAR]) FROM p JOIN orders ON o_orderkey = k
+  UNION SELECT 'git_commit:l' || l_partkey, 'commit_sha', '"l' || l_partkey || '"' FROM lineitem JOIN p ON k = l_orderkey UNION SELECT 'git_commit:m' || k, 'commit_sha', '"m' || k || '"' FROM p WHERE merged
+  UNION SELECT 'github_review:shop r' || k, unnest(['id', 'body_text']), unnest(['"r' || k || '"', '"fine"']) FROM p WHERE k % 5 = 0 UNION SELECT key, 'body_text', to_json(body)::VARCHAR FROM msg)"""
+
+
+@query(f"""WITH {_requests}, p2 AS (SELECT k, who FROM m WHERE who LIKE '<GH gh%' AND body LIKE 'c%'), {_values} SELECT * FROM v""")
+def request_attrs(spark, d):
+    """Entities of requests with their attributes."""
+    return ingest.pull_requests(requests(spark, d), "shop").entities.select("key", F.explode("attrs").alias("attr", "value"))
+
+
+@query("""SELECT 'github_pullrequest:shop PR ' || o_orderkey AS key, 'body_text' AS attr, 2::BIGINT AS n FROM orders WHERE o_orderkey % 6 = 0""")
+def request_conflicts(spark, d):
+    """Requests that stand in the source twice, with other texts."""
+    r = requests(spark, d)
+    return ingest.pull_requests(r.unionByName(r.filter("number % 6 = 0").withColumn("bodyText", F.concat("bodyText", F.lit("!")))), "shop").conflicts
+
+
+def nested_requests(spark, d):
+    """The same requests with logins in a struct `user`, and commits with their people and dates."""
+    nested = lambda a: F.when(a.isNotNull(), F.struct(a["name"].alias("name"), a["email"].alias("email"), F.struct(a["login"].alias("login")).alias("user")))
+    said = lambda m: F.struct(nested(m["author"]).alias("author"), m["bodyText"].alias("bodyText"), m["publishedAt"].alias("publishedAt"))
+    review = lambda x: F.struct(x["id"].alias("id"), nested(x["author"]).alias("author"), x["bodyText"].alias("bodyText"), x["publishedAt"].alias("publishedAt"), F.transform(x["comments"], said).alias("comments"))
+    who = lambda name, login: F.struct(name.alias("name"), F.lit(None).cast("string").alias("email"), F.lit("2001-02-03T04:05:06").alias("date"), F.struct(login.alias("login")).alias("user"))
+    commit = lambda c: F.struct(c["oid"].alias("oid"), who(F.concat(F.lit("By "), c["oid"]), F.concat(F.lit("by-"), c["oid"])).alias("author"), F.when(c["oid"].endswith("7"), who(F.lit("Web"), F.lit("web"))).alias("committer"))
+    return requests(spark, d).select("number", "bodyText", "publishedAt", nested(F.col("author")).alias("author"), "mergeCommit", F.transform("commits", commit).alias("commits"), F.transform("comments", said).alias("comments"), F.transform("reviews", review).alias("reviews"))
+
+
+@query(f"""WITH {_requests}, e AS (SELECT 'person:' || who AS key FROM p UNION SELECT 'person:' || who FROM msg WHERE who IS NOT NULL
+  UNION SELECT 'person:By l' || l_partkey || ' <GH by-l' || l_partkey || '>' FROM lineitem JOIN p ON k = l_orderkey UNION SELECT 'person:Web <GH web>' FROM lineitem JOIN p ON k = l_orderkey WHERE l_partkey % 10 = 7)
+SELECT key, '"' || regexp_extract(key, '<GH (.*)>$', 1) || '"' AS login FROM e""")
+def request_persons(spark, d):
+    """Persons of requests of the other shape, those of commits among them."""
+    e = ingest.pull_requests(nested_requests(spark, d), "shop").entities.filter("type = 'person'")
+    return e.select("key", F.when(F.col("attrs")["github_user"] == "null", '""').otherwise(F.col("attrs")["github_user"]).alias("login"))
+
+
+@query(f"""WITH {_requests} SELECT 'git_commit:l' || l_partkey AS src, pr AS dst, '2001-02-03' AS day FROM p JOIN lineitem ON l_orderkey = k GROUP BY ALL""")
+def request_commit_dates(spark, d):
+    edges = ingest.pull_requests(nested_requests(spark, d), "shop").observations.filter("type = 'attached_to' and src like 'git_commit:%'")
+    return edges.select("src", "dst", F.date_format("time", "yyyy-MM-dd").alias("day"))
+
+
+def proposal_sources(spark, d):
+    """(index, pages, authors): orders as proposals with texts, customers as their authors."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    line = lambda name, value: F.concat(F.lit(f"\n{name}: "), value)
+    orders = fixture.table(spark, d, "orders")
+    text = F.concat(
+        F.lit("\n"), F.concat(F.lit("PEP: "), k), line("Title", F.lit("About\n  this : and that")), line("Status", F.lit("Draft")), line("Status", F.when(k % 3 == 0, "Final").otherwise("Active")), line("Type", F.lit("Process")),
+        F.lit("\nno field"), line("Created", F.date_format("o_orderdate", "dd-MMM-yyyy")), F.when(k % 7 == 0, F.concat(F.lit("\nReplaces: "), k - 1, F.lit("\n\t"), k - 2)).otherwise(""), F.when(k % 11 == 0, line("Superseded-By", (k + 1).cast("string"))).otherwise(""), F.lit("\n \nRequires: 9\nAbstract: none\n"),
+    )
+    index = orders.select(k.alias("number"), F.lit("u").alias("url"), F.lit("t").alias("title"), F.concat(F.lit("Last"), c, F.when(k % 2 == 0, ", GvR").otherwise(""), F.when(k % 5 == 0, ", Nobody").otherwise("")).alias("authors"))
+    own = fixture.table(spark, d, "customer").select(F.col("c_custkey").alias("place"), F.concat(F.lit("Last"), "c_custkey", F.when(F.col("c_custkey") % 4 != 0, ", First").otherwise(""), F.when(F.col("c_custkey") % 8 == 1, ", Jr").otherwise("")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, "\u00a0").otherwise(F.concat(F.lit("c"), "c_custkey", F.lit(" at x.org"))).alias("email"))
+    special = own.filter("place = 1").select(F.lit(0).cast("long").alias("place"), F.lit("Rossum, Guido (GvR)").alias("name"), F.lit("g at x.org").alias("email"))
+    return index, orders.filter("o_orderkey % 13 <> 0").select(k.alias("number"), text.alias("text")), own.withColumn("place", F.col("place").cast("long")).unionByName(special)
+
+
+_proposals = """p AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 13 <> 0 AS has, strftime(o_orderdate, '%d-%b-%Y') AS created FROM orders),
+r AS (SELECT k AS number, CASE WHEN has THEN 'Process' ELSE '' END AS type, CASE WHEN NOT has THEN '' WHEN k % 3 = 0 THEN 'Final' ELSE 'Active' END AS status,
+  trim(replace(CASE WHEN c % 4 <> 0 THEN 'First' ELSE '' END || ' Last' || c || ' ' || CASE WHEN c % 8 = 1 THEN 'Jr' ELSE '' END || ' <' || CASE WHEN c % 3 = 0 THEN '' ELSE 'c' || c || '@x.org' END || '>' || CASE WHEN k % 2 = 0 THEN '; Guido Rossum  <g@x.org>' ELSE '' END, '  ', ' ')) AS authors,
+  CASE WHEN has THEN created ELSE '' END AS created, CASE WHEN has AND k % 7 = 0 THEN (k - 1) || ' ' || (k - 2) ELSE '' END AS replaces, CASE WHEN has AND k % 11 = 0 THEN (k + 1)::VARCHAR ELSE '' END AS superseded_by, '' AS requires FROM p)"""
+
+
+@query(f"WITH {_proposals} SELECT * FROM r")
+def proposal_records(spark, d):
+    """Records read from an index, texts with a block of fields, and an index of authors."""
+    return ingest.proposal_records(*proposal_sources(spark, d)).drop("url", "title")
+
+
 def peps(spark, d):
     """Orders as proposals that replace, are replaced by and require others."""
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")

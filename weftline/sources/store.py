@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,11 @@ def word_lists(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("term", F.lower(F.trim("term"))).filter("term <> ''").distinct()
 
 
-def write_batch(rows: DataFrame, root: str, name: str, resource: str) -> None:
-    """Replace what a resource has in a table and leave all other resources alone."""
+def write_batch(rows: DataFrame, root: str, name: str, resource: str, derived: Derived | None = None) -> None:
+    """Replace what a resource has in a table and leave all other resources alone. What is derived from the table is out of
+    date from then on."""
+    if derived:
+        derived.invalidate()
     rows.withColumn("resource", F.lit(resource)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resource").parquet(f"{root}/{name}")
 
 
@@ -66,3 +71,75 @@ def export_csv(df: DataFrame, path: str) -> None:
 def clear(spark: SparkSession, root: str, name: str, schema: str) -> None:
     """Empty a derived table, so that nothing stale is read after an ingest."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+class Derived:
+    """Tables that are built together, under `root`: a rebuild writes a version of all of them beside the last one, then
+    a pointer to it. Readers follow the greatest pointer, so they see a whole version or the one before, never a part.
+
+    A pointer is a small file named by a number; it is written under another name and renamed, which fails where the
+    number is taken: of two rebuilds at once one raises. `invalidate` sets a pointer to nothing. Files are reached through
+    Hadoop's interface, so `root` can be wherever Spark writes.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+
+    def pointers(self) -> dict[int, str]:
+        """Version of each number; "" where it was made invalid."""
+        folder = self._path(f"{self.root}/pointers")
+        found = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return {int(n): self._content(f"{self.root}/pointers/{n}") for n in found if n.isdigit()}
+
+    def _content(self, path: str) -> str:
+        file = self._fs.open(self._path(path))
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
+    def _point(self, version: str) -> int:
+        number = max(self.pointers(), default=0) + 1
+        new = self._path(f"{self.root}/pointers/new-{uuid.uuid4().hex}")
+        file = self._fs.create(new, False)
+        file.write(bytearray(version.encode()))
+        file.close()
+        self._context.rename(new, self._path(f"{self.root}/pointers/{number:012d}"), self._none)
+        return number
+
+    def publish(self, tables: dict[str, DataFrame]) -> str:
+        """Write all tables as a new version and make it the current one."""
+        version = uuid.uuid4().hex
+        for name, rows in tables.items():
+            rows.write.parquet(f"{self.root}/versions/{version}/{name}")
+        self._point(version)
+        return version
+
+    def invalidate(self) -> None:
+        if self.current():
+            self._point("")
+
+    def current(self) -> str | None:
+        """The current version, "" if an ingest made it invalid, None if there never was one."""
+        found = self.pointers()
+        return found[max(found)] if found else None
+
+    def read(self, name: str) -> DataFrame:
+        if not (version := self.current()):
+            raise LookupError(f"{name}: to be built" if version is None else f"{name}: out of date, to be rebuilt")
+        return self.spark.read.parquet(f"{self.root}/versions/{version}/{name}")
+
+    def drop_old(self, keep: int = 2) -> None:
+        """Delete the versions that are none of the last `keep` valid pointers', and what failed rebuilds left. Not while
+        a rebuild is running: its tables have no pointer yet."""
+        found = self.pointers()
+        wanted = [found[n] for n in sorted(found, reverse=True) if found[n]][:keep]
+        folder = self._path(f"{self.root}/versions")
+        for f in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            if f.getPath().getName() not in wanted:
+                self._fs.delete(f.getPath(), True)
