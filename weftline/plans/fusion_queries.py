@@ -43,15 +43,15 @@ def whole_fusion(spark, d):
     return fuse.entity_fusion(fixture.entities(spark, d), fuse.all_edges(fuse.candidates(named_persons(spark, d)), hashed_commits(spark, d)))
 
 
-#: Syllables of invented names, of which some sound alike.
-SYLLABLES = ["smi", "smy", "tho", "to", "ban", "pan", "ker", "cer", "lyn", "lin", "mor", "mar", "dou", "tow", "gar", "kar"]
+#: Syllables of invented names, two of a sound next to each other.
+SYLLABLES = ["smi", "smy", "kar", "car", "lyn", "lin", "mor", "mar", "foe", "phoe", "dou", "do", "gar", "gor", "tan", "ten"]
 
 
 def named_persons(spark, d):
-    """The persons with names of two words by their numbers, some of them nearly another's."""
-    syllable = lambda by: F.element_at(F.array(*[F.lit(x) for x in SYLLABLES]), (F.expr(by) % len(SYLLABLES) + 1).cast("int"))
-    word = lambda *by: F.initcap(F.concat(*[syllable(x) for x in by]))
-    name = F.concat_ws(" ", word("id * 7", "id div 3", "id * 5 div 16"), word("id div 2", "id * 11", "id div 48", "id * 3 div 7"))
+    """The persons with names by the digits of their numbers, of which two in a row sound alike and are spelled differently."""
+    digit = lambda k: F.expr(f"cast(pmod(id div {2 * 8**k}, 8) as int)")
+    syllable = lambda k, odd=F.lit(0): F.element_at(F.array(*[F.lit(x) for x in SYLLABLES]), 2 * digit(k) + odd + 1)
+    name = F.concat_ws(" ", F.initcap(F.concat(syllable(0, F.expr("cast(id % 2 as int)")), syllable(1))), F.initcap(F.concat(syllable(2), syllable(3), syllable(4))))
     return fixture.persons(spark, d).withColumn("name", name)
 
 

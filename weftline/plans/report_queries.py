@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline.functions import numbers
-from weftline.operators import graph, models, targets
-from weftline.sources import ingest
+from weftline.operators import graph, models, scorers, targets
+from weftline.sources import ingest, matrix
+from weftline.sources.stage import shared_dir
 
 from . import fixture, reports
 from .fixture import with_tables
@@ -131,6 +134,15 @@ def coauthor_matrix(spark, d):
     return reports.coauthor_matrix(members(spark, d))
 
 
+@query(f"""{_pairs}, k AS (SELECT project, count(*) AS k, min(person) AS a FROM m GROUP BY project)
+SELECT a, b, n::DOUBLE AS value FROM pairs WHERE a <> b UNION ALL SELECT a, a AS b, count(*) AS value FROM k WHERE k = 1 GROUP BY ALL""")
+def stored_matrix(spark, d):
+    """The matrix of joint works, written in blocks of rows and read again."""
+    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    matrix.write(reports.coauthor_matrix(members(spark, d)).withColumnRenamed("n", "value"), path)
+    return matrix.read(spark, path)
+
+
 @query(f"""WITH {_members}, m AS (SELECT DISTINCT person, project FROM members),
 w AS (SELECT (o_orderkey // 10) || '-p' AS project, min(o_orderdate) AS time, count(*) FILTER (o_orderstatus = 'F') > 5 AS good FROM orders GROUP BY ALL),
 k AS (SELECT m.person AS a, o.person AS b, {_bin} AS bin, count(*) AS n, count(*) FILTER (good) AS g FROM m JOIN m o USING (project) JOIN w USING (project) GROUP BY ALL),
@@ -276,9 +288,29 @@ def scaled_features(spark, d):
 
 @query()
 def toxicity_scores(spark, d):
-    docs, labels = fixture.table(spark, d, "documents").select("doc_id", "text"), fixture.table(spark, d, "labels").select("doc_id", "toxic")
-    score = models.train_scorer(docs.join(labels, "doc_id"))
-    return score(docs).select("doc_id", F.round("p_toxic", 4).alias("p_toxic"))
+    """Bodies of all texts by two heads, fitted on the labelled rows of the training part alone."""
+    docs = targets.split(fixture.table(spark, d, "documents").select("doc_id", "text"), "doc_id", {"train": 80, "test": 20})
+    labels = fixture.table(spark, d, "labels").select("doc_id", "toxic")
+    scored = scorers.train_heads(docs.filter("part = 'train'").join(labels, "doc_id"))(docs)
+    return scored.select("doc_id", "part", F.round(F.col("classification")[1], 4).alias("p_toxic"), F.round("regression", 4).alias("regression"))
+
+
+WEIGHTS, BIAS = {"a": (0.01, -0.02, 0.02), "e": (-0.005, 0.01, 0.0), "x": (0.0, 0.03, 0.04)}, (0.1, 0.0, -0.5)
+
+
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f]', 'x', 'g') AS t FROM conversations),
+n AS (SELECT id, length(t) - length(replace(t, 'a', '')) AS a, length(t) - length(replace(t, 'e', '')) AS e, length(t) - length(replace(t, 'x', '')) AS x FROM c),
+z AS (SELECT id, 0.01::DOUBLE * a - 0.005::DOUBLE * e + 0.1::DOUBLE AS z0, -0.02::DOUBLE * a + 0.01::DOUBLE * e + 0.03::DOUBLE * x AS z1, 0.02::DOUBLE * a + 0.04::DOUBLE * x - 0.5::DOUBLE AS z2 FROM n)
+SELECT id, round(1 / (1 + exp(z1 - z0)), 6) AS p_harmless, round(1 / (1 + exp(z0 - z1)), 6) AS p_toxic, round(1 / (1 + exp(-z2)), 6) AS regression FROM z""")
+def body_scores(spark, d):
+    """Bodies of mails, without quote and signature, by a model of fixed weights."""
+    from .fusion_queries import letters_only
+
+    mail = F.concat(F.lit("> a quoted axe\n"), letters_only("text"), F.lit("\nCheers\nAxel"))
+    rows = fixture.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), mail.alias("text"))
+    found = scorers.score_bodies(rows, lambda: scorers.LetterModel(WEIGHTS, BIAS))
+    part = lambda k, name: F.round(F.col("classification")[k], 6).alias(name)
+    return found.select("id", part(0, "p_harmless"), part(1, "p_toxic"), F.round("regression", 6).alias("regression"))
 
 
 @query(f"""{with_tables('attr')}, s AS (SELECT owner, value FROM attr WHERE key = 'nation' AND value IS NOT NULL AND value <> 'null')
