@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 
 from weftline.functions import text as texts
 from weftline.operators.running import running_sums
+from weftline.sources.stage import staged
 
 
 def ref(kind: str, key: Column) -> Column:
@@ -237,7 +238,7 @@ def proposal_records(index: DataFrame, pages: DataFrame, authors: DataFrame) ->
     the author index lacks are left out; a number without a text has empty fields.
     """
     keys = index.select("number", F.posexplode(F.split(F.coalesce("authors", F.lit("")), ", ")).alias("at", "key"))
-    named = keys.join(author_index(authors), "key").groupBy("number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "named"))), lambda x: x["named"]), "; ").alias("authors"))
+    named = keys.join(staged(author_index(authors), "author-index"), "key").groupBy("number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "named"))), lambda x: x["named"]), "; ").alias("authors"))
     fields = pages.select("number", header_fields(F.col("text")).alias("f"))
     names = {"type": "Type", "status": "Status", "created": "Created", "replaces": "Replaces", "superseded_by": "Superseded", "requires": "Requires"}
     own = fields.select("number", *[header_value(F.col("f"), start).alias(c) for c, start in names.items()])
