@@ -593,3 +593,65 @@ def test_license_tags_in_any_case():
     for tag in licenses.TAGS:
         for text in (tag, tag.upper(), tag.title(), "".join(c.upper() if k % 2 else c for k, c in enumerate(tag))):
             assert scan(f"{text} MIT\n")[5:] == ("mit", 1.0), text
+
+
+@pytest.mark.parametrize("part", [b"\0\0\0\x08ftyp", b"\0\0\0\x08moov\0\0\0\x08ftyp", b"RIFF\x20\0\0\0WAVE", b"RIFF\x7f\x7f\0\0AVI ", b"RIFF\0\0\x01\0WAVEfmt ", b"\xff\xfb\x90", b"GIF89a", b"PK\x03\x04", b"%PDF-"])
+def test_false_starts_take_linear_time(part):
+    search = media.magic()
+    for data in (media.to_wave(part * 30_000), part * 30_000):
+        began = time.process_time()
+        media.spans(data, search)
+        assert time.process_time() - began < 4
+
+
+def plain_riff(data, at):
+    size, kind, place, chunks = int.from_bytes(data[at + 4 : at + 8], "little") + 8, data[at + 8 : at + 12], at + 12, set()
+    if at + 12 > len(data) or kind not in (b"WAVE", b"WEBP", b"AVI ") or at + size > len(data) or size < 20:
+        return None
+    while place + 8 <= at + size:
+        chunks.add(data[place : place + 4])
+        place += 8 + int.from_bytes(data[place + 4 : place + 8], "little")
+        place += (place - at) & 1
+    return size if place >= at + size and place - (at + size) <= 1 and (kind != b"WAVE" or {b"fmt ", b"data"} <= chunks) else None
+
+
+def plain_mp4(data, at):
+    place, seen = at, set()
+    while 0 <= place and place + 8 <= len(data) and (kind := data[place + 4 : place + 8]) in media.BOXES:
+        size = int.from_bytes(data[place : place + 4], "big")
+        size = int.from_bytes(data[place + 8 : place + 16], "big") if size == 1 and place + 16 <= len(data) else size
+        size = size or len(data) - place
+        if size < 8 or place + size > len(data):
+            return None
+        seen.add(kind)
+        place += size
+    return place - at if seen & {b"moov", b"meta", b"moof"} else None
+
+
+def test_chains_equal_plain_walks():
+    r = np.random.default_rng(11)
+    box = lambda: r.integers(0, 40) % 28
+    found = 0
+    for _ in range(400):
+        parts = []
+        for _ in range(r.integers(1, 25)):
+            kind = [b"ftyp", b"moov", b"mdat", b"meta", b"fmt ", b"data", b"junk"][r.integers(0, 7)]
+            n = int(box())
+            parts.append([(n + 8).to_bytes(4, "big") + kind + bytes(n), b"RIFF" + int(r.integers(0, 90)).to_bytes(4, "little") + [b"WAVE", b"AVI "][r.integers(0, 2)], kind + n.to_bytes(4, "little") + bytes(n)][r.integers(0, 3)])
+        data = media.Bytes(b"".join(parts))
+        for at in range(-4, len(data)):
+            assert media.mp4(data, at) == plain_mp4(bytes(data), at)
+            if at >= 0:
+                length = media.riff(data, at)
+                assert length == plain_riff(bytes(data), at)
+                found += length is not None
+    assert found > 5
+
+
+def test_many_tags_in_a_line_take_linear_time():
+    scan = licenses.scanner(licenses.NOTICES, licenses.BASE)
+    for text in ("license-expression: mit or " * 40_000, "license-expression: mit " * 40_000, "spdx-license-identifier: " + "mit or " * 150_000):
+        began = time.process_time()
+        scan(text)
+        assert time.process_time() - began < 4
+    assert scan("license-expression: mit license-expression: bsd-3-clause\nand gpl-2.0")[5] == "bsd-3-clause,mit"

@@ -2,13 +2,13 @@
 the and/or/with expressions behind the tags.
 
 Phrases are sequences of words and are found wherever their words stand one after another, whatever stands
-between the words. Tags ("SPDX-License-Identifier:") are followed by an expression up to the line's end.
+between the words. Tags ("SPDX-License-Identifier:") are followed by an expression up to the line's end or the next tag.
 
 Operands are licence ids: of a known family, a LicenseRef, or words with hyphens and digits. An expression with any other
 operand is prose and does not count.
 
 Defined cases: a null or empty text has no words, no places, null first_word and last_word, empty labels and
-score 0; very long texts are scanned whole; repeated rows are scanned each; an expression that does not parse adds no
+score 0; very long texts are scanned whole, in time linear in their length; repeated rows are scanned each; an expression that does not parse adds no
 label and counts as none; an empty table gives an empty table; other columns are left out, whatever their names.
 """
 
@@ -61,7 +61,8 @@ def postfix(expression: str) -> list[str] | None:
     out: list[str] = []
     stack: list[str] = []
     operand = True
-    for token in TOKEN.findall(expression):
+    for found in TOKEN.finditer(expression):
+        token = found.group()
         low = token.lower()
         if low in RANK:
             if operand:
@@ -141,9 +142,10 @@ def scanner(phrases: dict[str, str], base: dict[str, str]):
                 base_labels.add(label)
         free = [freedom(x) for x in labels]
         low = (text or "").lower()
-        for end, _ in tags.iter(low) if ":" in low else ():
-            stop = low.find("\n", end + 1)
-            line = (text if len(low) == len(text) else low)[end + 1 : stop if stop >= 0 else None]
+        at = [(end + 1, end + 1 - length) for end, (length, _) in tags.iter(low)] if ":" in low else []
+        for (start, _), limit in zip(at, [*(begin for _, begin in at[1:]), len(low)], strict=False):
+            stop = low.find("\n", start, limit)
+            line = (text if len(low) == len(text) else low)[start : stop if stop >= 0 else limit]
             if (value := evaluate(line)) is not None:
                 labels |= value[0]
                 free.append(value[1])

@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left
+from collections.abc import Callable
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -41,22 +42,55 @@ class Bytes(bytes):
         return known[mark][k] if k < len(known[mark]) else -1
 
 
+    def walk(self, name: object, at: int, step: Callable[[int], tuple[int, int] | None]) -> list[tuple[int, int]]:
+        """Jumps of a chain of parts from `at`: after 1, 2, 4, ... parts the place and the marks of the parts passed. step
+        gives the next place and a part's mark, or None at the chain's end. Each place is stepped from once, however
+        many chains pass it: chains that start at every mark of a text take n log n steps, not n squared."""
+        known = self.__dict__.setdefault("chains", {}).setdefault(name, {})
+        way = []
+        while at not in known and (found := step(at)) is not None:
+            way.append((at, found))
+            at = found[0]
+        known.setdefault(at, [])
+        for place, found in reversed(way):
+            jumps = [found]
+            while len(further := known[jumps[-1][0]]) >= len(jumps):
+                place_after, mark = further[len(jumps) - 1]
+                jumps.append((place_after, jumps[-1][1] | mark))
+            known[place] = jumps
+        return known[way[0][0] if way else at]
+
+    def follow(self, name: object, at: int, limit: int, step: Callable[[int], tuple[int, int] | None]) -> tuple[int, int]:
+        """(place, marks) where a chain from `at` first comes over a limit or ends."""
+        marks = 0
+        self.walk(name, at, step)
+        known = self.__dict__["chains"][name]
+        while at <= limit and known[at]:
+            fits = [k for k, (place, _) in enumerate(known[at]) if place <= limit]
+            at, mark = known[at][fits[-1] if fits else 0]
+            marks |= mark
+        return at, marks
+
+
 # --- validators: (data, offset) -> length of a sound file that starts there, or None
 
 
-def riff(data: bytes, at: int) -> int | None:
+def riff(data: Bytes, at: int) -> int | None:
     if at + 12 > len(data):
         return None
     size = int.from_bytes(data[at + 4 : at + 8], "little") + 8
     kind = data[at + 8 : at + 12]
     if kind not in (b"WAVE", b"WEBP", b"AVI ") or at + size > len(data) or size < 20:
         return None
-    place, chunks = at + 12, []
-    while place + 8 <= at + size:
-        chunks.append(data[place : place + 4])
-        place += 8 + int.from_bytes(data[place + 4 : place + 8], "little")
-        place += (place - at) & 1
-    return size if place >= at + size and place - (at + size) <= 1 and (kind != b"WAVE" or {b"fmt ", b"data"} <= set(chunks)) else None
+
+    def step(place: int) -> tuple[int, int] | None:
+        if place + 8 > len(data):
+            return None
+        after = place + 8 + int.from_bytes(data[place + 4 : place + 8], "little")
+        return after + (after - at & 1), {b"fmt ": 1, b"data": 2}.get(data[place : place + 4], 0)
+
+    place, chunks = data.follow((riff, at & 1), at + 12, at + size - 8, step)
+    return size if place >= at + size and place - (at + size) <= 1 and (kind != b"WAVE" or chunks == 3) else None
 
 
 def png(data: bytes, at: int) -> int | None:
@@ -219,17 +253,19 @@ BOXES = frozenset(b"ftyp moov mdat free skip wide uuid meta moof mfra sidx styp
 
 def mp4(data: Bytes, at: int) -> int | None:
     """Boxes by their lengths, a movie or a picture's description among them."""
-    place, seen = at, set()
-    while place + 8 <= len(data) and (kind := data[place + 4 : place + 8]) in BOXES:
+    def step(place: int) -> tuple[int, int] | None:
+        kind = data[place + 4 : place + 8]
+        if place < 0 or place + 8 > len(data) or kind not in BOXES:
+            return None
         size = int.from_bytes(data[place : place + 4], "big")
         if size == 1 and place + 16 <= len(data):
             size = int.from_bytes(data[place + 8 : place + 16], "big")
         size = size or len(data) - place
-        if size < 8 or place + size > len(data):
-            return None
-        seen.add(kind)
-        place += size
-    return place - at if seen & {b"moov", b"meta", b"moof"} else None
+        broken = size < 8 or place + size > len(data)
+        return (len(data), 2) if broken else (place + size, kind in (b"moov", b"meta", b"moof"))
+
+    place, seen = data.follow(mp4, at, len(data), step)
+    return place - at if seen == 1 else None
 
 
 #: Kilobits by MPEG version 1 or 2 and index, for layer 3 (fixed values), and samples a second.
