@@ -655,3 +655,10 @@ def test_many_tags_in_a_line_take_linear_time():
         scan(text)
         assert time.process_time() - began < 4
     assert scan("license-expression: mit license-expression: bsd-3-clause\nand gpl-2.0")[5] == "bsd-3-clause,mit"
+
+
+@pytest.mark.parametrize("page", ["<form>" * 60_000 + "<article>" * 60_000, "<form>" * 60_000 + "<article>x</article>" * 60_000, "<div class=ad>" * 40_000 + "<div><article>x</div>" * 40_000])
+def test_articles_in_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - began < 6

@@ -118,6 +118,8 @@ class Tree:
         self.root = Node("html", None)
         self.open: list[Node] = [self.root]
         self.by_name: dict[str, list[Node]] = {}
+        #: how many of the outermost open elements an article was already found in
+        self.seen = 0
 
     def nearest(self, names) -> Node | None:
         """The deepest open element of these names."""
@@ -142,6 +144,7 @@ class Tree:
             found = self.nearest(names)
 
     def add(self, name: str, marks: str) -> None:
+        self.seen = min(self.seen, len(self.open))
         parent = self.open[-1]
         node = Node(name, parent, boilerplate(name, marks, parent))
         parent.children.append(node)
@@ -149,11 +152,14 @@ class Tree:
         self.by_name.setdefault(name, []).append(node)
         if name in ("article", "main") and node.drop == KEPT:
             # What holds an article is layout, whatever its name; above the first such element that was already found.
-            for up in reversed(self.open[:-1]):
+            for k in range(len(self.open) - 2, self.seen - 1, -1):
+                up = self.open[k]
                 if up.drop in (LAYOUT, FORM):
                     up.drop = KEPT
                 if up is not parent and up.in_article:
                     break
+            else:
+                self.seen = len(self.open) - 1
 
     def put(self, x: Node | str) -> None:
         self.open[-1].children.append(x)
