@@ -157,6 +157,7 @@ def test_scores_equal_text_by_text(spark):
 def test_heads_are_fitted_on_other_rows(spark):
     rows = [(k, f"{'awful rot' if k % 2 else 'fine work'} number {k % 7}\n> awful rot", k % 2) for k in range(200)]
     df = spark.createDataFrame(rows, "id long, text string, toxic long")
+    df = df.withColumn("body", scorers.body(df.text))
     got = {r.id: r for r in scorers.train_heads(df.filter("id < 100"))(df.drop("toxic")).collect()}
     assert len(got) == 200
     assert all((got[k].classification[1] > 0.5) == (got[k].regression > 0.5) == bool(k % 2) for k in range(100, 200))

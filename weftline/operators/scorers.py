@@ -85,11 +85,12 @@ class LetterModel:
 
 
 def train_heads(labelled: DataFrame, label: str = "toxic", buckets: int = 1 << 14) -> Callable[[DataFrame], DataFrame]:
-    """A scorer fitted on bodies of rows (text, label), to be other rows than those it scores: hashed words, a logistic
-    regression as the softmax head, and a linear one of the label's logit at one and nine tenths as the sigmoid head."""
+    """A scorer fitted on rows (body, label), to be other rows than those it scores: hashed words, a logistic
+    regression as the softmax head, and a linear one of the label's logit at one and nine tenths as the sigmoid head.
+    Bodies should be a stored column: Spark would cut a text anew for each of the two heads."""
     cut = RegexTokenizer(inputCol="_body", outputCol="_words", pattern=r"\W+")
     tf = HashingTF(inputCol="_words", outputCol="_features", numFeatures=buckets, binary=True)
-    prepare = lambda df: tf.transform(cut.transform(df.withColumn("_body", F.coalesce(body(F.col("text")), F.lit("")))))
+    prepare = lambda df: tf.transform(cut.transform(df.withColumn("_body", F.coalesce("body", F.lit("")))))
     edge = math.log(9)
     rows = prepare(labelled.filter(F.col(label).isNotNull())).withColumn("_logit", F.when(F.col(label) == 1, edge).otherwise(-edge)).select("_features", "_logit", F.col(label).cast("double").alias("_label")).persist()
     pair = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=20, regParam=1e-3, probabilityCol="_pair", rawPredictionCol="_raw", predictionCol="_class").fit(rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import numbers
 from weftline.operators import graph, models, scorers, targets
 from weftline.sources import ingest, matrix
-from weftline.sources.stage import shared_dir
+from weftline.sources.stage import shared_dir, staged
 
 from . import fixture, reports
 from .fixture import with_tables
@@ -289,7 +289,7 @@ def scaled_features(spark, d):
 @query()
 def toxicity_scores(spark, d):
     """Bodies of all texts by two heads, fitted on the labelled rows of the training part alone."""
-    docs = targets.split(fixture.table(spark, d, "documents").select("doc_id", "text"), "doc_id", {"train": 80, "test": 20})
+    docs = staged(targets.split(fixture.table(spark, d, "documents").select("doc_id", scorers.body(F.col("text")).alias("body")), "doc_id", {"train": 80, "test": 20}), "bodies")
     labels = fixture.table(spark, d, "labels").select("doc_id", "toxic")
     scored = scorers.train_heads(docs.filter("part = 'train'").join(labels, "doc_id"))(docs)
     return scored.select("doc_id", "part", F.round(F.col("classification")[1], 4).alias("p_toxic"), F.round("regression", 4).alias("regression"))
