@@ -183,13 +183,9 @@ def work_stats(works: DataFrame, inc: DataFrame, values: DataFrame, hops: tuple[
     per text and per word and the mean of the highest shares; null where there is no text. values: (id, terms, words)."""
     from weftline.functions.numbers import top_n_pct_mean
 
-    out = None
-    for k in hops:
-        near = graph.neighbours(works.select(F.col("id").alias("seed")), inc, k, among=values).select("seed", "id")
-        rows = near.join(values, "id").withColumn("share", F.col("terms") / F.expr("nullif(words, 0)"))
-        got = rows.groupBy(F.col("seed").alias("id"), F.lit(k).alias("hop")).agg(
-            F.count("*").alias("n_texts"), F.sum("words").alias("n_words"), F.sum("terms").alias("total"), top_n_pct_mean(F.collect_list("share"), top_percent).alias("top")
-        )
-        got = got.withColumn("per_text", F.col("total") / F.col("n_texts")).withColumn("per_word", F.col("total") / F.expr("nullif(n_words, 0)"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    near = graph.neighbours(works.select(F.col("id").alias("seed")), inc, max(hops), among=values).select("seed", "id", "hop")
+    # One traversal: whoever is met at a hop is within that and all later ones.
+    rows = near.join(values, "id").withColumn("share", F.col("terms") / F.expr("nullif(words, 0)"))
+    rows = rows.withColumn("hop", F.explode(F.filter(F.array(*[F.lit(k) for k in hops]), lambda k: k >= F.col("hop"))))
+    out = rows.groupBy(F.col("seed").alias("id"), "hop").agg(F.count("*").alias("n_texts"), F.sum("words").alias("n_words"), F.sum("terms").alias("total"), top_n_pct_mean(F.collect_list("share"), top_percent).alias("top"))
+    return out.withColumn("per_text", F.col("total") / F.col("n_texts")).withColumn("per_word", F.col("total") / F.expr("nullif(n_words, 0)"))

@@ -1,6 +1,7 @@
 """Registered queries over the tables-as-graph and the SQL that answers them."""
 
-from . import feature_queries, fusion_queries, graph_queries, ingest_queries, report_queries, sample_queries
+from . import entity_queries, feature_queries, fusion_queries, graph_queries, ingest_queries, report_queries, sample_queries
 
-QUERIES: dict = {**graph_queries.QUERIES, **fusion_queries.QUERIES, **report_queries.QUERIES, **feature_queries.QUERIES, **ingest_queries.QUERIES, **sample_queries.QUERIES}
-SQL: dict = {**graph_queries.SQL, **fusion_queries.SQL, **report_queries.SQL, **feature_queries.SQL, **ingest_queries.SQL, **sample_queries.SQL}
+MODULES = (graph_queries, fusion_queries, report_queries, feature_queries, ingest_queries, sample_queries, entity_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}

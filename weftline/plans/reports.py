@@ -73,6 +73,19 @@ def contributor_scores(persons: DataFrame, inc: DataFrame, scores: DataFrame, ye
     return near.groupBy("seed", F.year("start").cast("long").alias("year")).agg(F.count("*").alias("n_nodes"), at(1).alias("own"), at(2).alias("around"))
 
 
+#: Statuses of a successful work (fixed values).
+SUCCESSFUL = ["Final", "Superseded", ""]
+
+
+def success(made: DataFrame) -> DataFrame:
+    """(seed, year, status, n, n_year, success): works that a person created in a year by status, all of that year, and
+    1 + 9 * the share of successful ones, which spans 1 to 10 for a logarithmic axis. made: (seed, time, status)."""
+    by = made.groupBy("seed", F.year("time").cast("long").alias("year"), "status").agg(F.count("*").alias("n"))
+    good = F.sum(F.when(F.coalesce(F.col("status"), F.lit("none")).isin(SUCCESSFUL), F.col("n")).otherwise(0))
+    years = by.groupBy("seed", "year").agg(F.sum("n").alias("n_year"), good.alias("good"))
+    return by.join(years, ["seed", "year"]).select("seed", "year", "status", "n", "n_year", (1 + 9 * F.col("good") / F.col("n_year")).alias("success"))
+
+
 class Kernel:
     """Gaussian of `years` around dates on `points` places from start to end, cut at four deviations."""
 
@@ -183,6 +196,29 @@ def status_ratio(stats: DataFrame) -> DataFrame:
     return stats.select("author", (F.col("n_good") / F.expr("nullif(n_bad, 0)")).alias("ratio"))
 
 
+def top_authors(stats: DataFrame, top: int = 40) -> DataFrame:
+    """(author, n, n_good, n_bad, n_other, bad_to_good): the authors with the most works; ties by author. The ratio has
+    one place and is null without good works."""
+    ratio = F.round(F.col("n_bad") / F.expr("nullif(n_good, 0)"), 1)
+    return stats.orderBy(F.desc("n"), "author").limit(top).select("author", "n", "n_good", "n_bad", "n_other", ratio.alias("bad_to_good"))
+
+
+def other_authors(stats: DataFrame, top: int = 40) -> DataFrame:
+    """(author, n, n_good, n_bad, n_other): all authors but those of `top_authors`."""
+    first = F.broadcast(stats.orderBy(F.desc("n"), "author").limit(top).select("author"))  # `top` rows
+    return stats.join(first, "author", "left_anti").select("author", "n", "n_good", "n_bad", "n_other")
+
+
+def good_bad_means(stats: DataFrame, works: DataFrame, measures: list[str]) -> DataFrame:
+    """(hop, measure, n_good, n_bad, good, bad): means of the measures over good and bad works, without nulls; a work
+    of another status does not count. stats: (id, hop, measures), works: (id, status)."""
+    rows = stats.join(works.select("id", texts.status_class(F.col("status")).alias("is")).filter("`is` in ('good', 'bad')"), "id")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+    long = rows.select("hop", "is", each.alias("m")).select("hop", "is", "m.measure", "m.value").filter("value is not null")
+    of = lambda c: F.when(F.col("is") == c, F.col("value"))
+    return long.groupBy("hop", "measure").agg(F.count(of("good")).alias("n_good"), F.count(of("bad")).alias("n_bad"), F.avg(of("good")).alias("good"), F.avg(of("bad")).alias("bad"))
+
+
 def export_texts(texts_: DataFrame, scores: DataFrame) -> DataFrame:
     """(id, text, body, score): texts with what the scorer reads and its score, null where it has none."""
     rows = texts_.select("id", "text", texts.split_message(F.col("text"))["body"].alias("body"))
