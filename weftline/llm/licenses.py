@@ -4,8 +4,8 @@ the and/or/with expressions behind the tags.
 Phrases are sequences of words and are found wherever their words stand one after another, whatever stands
 between the words. Tags ("SPDX-License-Identifier:") are followed by an expression up to the line's end or the next tag.
 
-Operands are licence ids: of a known family, a LicenseRef, or words with hyphens and digits. An expression with any other
-operand is prose and does not count.
+Operands are licence ids: of a known family (FREEDOM, OTHER_FAMILIES) or a LicenseRef. Any other operand is unknown: it adds
+no label and leaves the value to the operand beside it; an expression of unknown operands alone does not count.
 
 Defined cases: a null or empty text has no words, no places, null first_word and last_word, empty labels and
 score 0; very long texts are scanned whole, in time linear in their length; repeated rows are scanned each; an expression that does not parse adds no
@@ -27,6 +27,10 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 NOTICES = {
     "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl", "mozilla public license": "mpl", "eclipse public license": "epl",
     "bsd license": "bsd", "isc license": "isc", "boost software license": "boost", "creative commons attribution": "cc-by", "cc0": "cc0", "public domain": "public-domain",
+    "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution non commercial": "cc-by-nc", "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noderivs": "cc-by-nd", "creative commons attribution no derivatives": "cc-by-nd", "creative commons attribution sharealike": "cc-by-sa", "creative commons attribution share alike": "cc-by-sa",
+    "attribution noncommercial": "cc-by-nc", "attribution non commercial": "cc-by-nc", "attribution noderivatives": "cc-by-nd", "attribution noderivs": "cc-by-nd", "attribution no derivatives": "cc-by-nd",
+    "attribution sharealike": "cc-by-sa", "attribution share alike": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc by sa": "cc-by-sa", "cc by nc nd": "cc-by-nc-nd", "cc by nc sa": "cc-by-nc-sa",
     "permission is hereby granted free of charge": "mit", "redistribution and use in source and binary forms": "bsd", "all rights reserved": "all-rights-reserved",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
@@ -36,6 +40,16 @@ FREEDOM = {
     "lgpl": 0.6, "mit": 1.0, "mpl": 0.7, "odbl": 0.5, "ofl": 0.9, "postgresql": 1.0, "psf": 1.0, "public-domain": 1.0, "python": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "zlib": 1.0,
 }
 UNKNOWN = 0.5
+#: First words of further public licence ids, whose freedom is unknown (fixed values).
+OTHER_FAMILIES = frozenset(
+    """aal abstyles adobe adsl afl afmparse aladdin amdplpa aml ampas antlr apafml apl app apsl arphic bahyph barr beerware bitstream bittorrent blessing
+    blueoak borceux brian bzip2 c cal caldera catosl cc cdl cdla cecill cern clartistic cmu cnri coil condor copyleft cpal cpl cpol crossword crystalstacker cua cube curl d
+    diffmark doc dotseqn drl dsdp dvipdfm ecl ecos efl egenix elastic entessa erlpl etalab eudatagrid fair frameworx freebsd freeimage fsfap fsful ftl gd giftware gl2ps glide glulxe gnuplot
+    gsoap haskellreport hippocratic hpnd ibm icu ijg imagemagick imatix imlib2 info intel interbase ipa ipl jam jasper jpnic json lal latex2e leptonica libpng libtiff liliq linux lpl lppl lzma
+    makeindex miros motosoto mpich2 ms mtll mulanpsl multics mup naist nasa naumen nbpl ncgl ncsa netcdf ngpl nlod nlpl nokia nosl noweb npl nposl ntp o oclc oda odc ogc ogl
+    oldap openssl opl opubl oset osl parity php plexus polyform psutils qhull qpl rdisc rhecos rpl rpsl rsa ruby saxpath scea sendmail sgi shl sissl sleepycat smlnj snia spencer sspl
+    ssh sugarcrm swl tapr tcl tcp tmate torque tosl ucl unicode upl vim vostrom vsl w3c watcom wsuipa x11 xerox xfree86 xinetd xnet xpp xskat ypl zed zend zimbra zpl""".split()
+)
 
 #: Bytes that separate words become blanks and A-Z lower case; all bytes of 128 and over belong to words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -101,29 +115,35 @@ def freedom(name: str) -> float:
 
 
 def is_licence(name: str) -> bool:
-    return name.startswith("licenseref-") or name.split("-")[0] in FREEDOM or name.startswith("cc-") or "-" in name and any(c.isdigit() for c in name)
+    family = name.split("-")[0]
+    return name.startswith("licenseref-") or family in FREEDOM or family in OTHER_FAMILIES and (name == family and len(name) > 2 or "-" in name)
 
 
 def evaluate(expression: str) -> tuple[set[str], float] | None:
     """Licence ids and freedom: `or` lets the reader choose (the freer), `and` binds to both (the stricter),
-    `with` adds an exception, which is named too, to the licence on its left."""
+    `with` adds an exception, which is named too, to the licence on its left. None if no operand is a licence."""
     steps = postfix(expression)
     if steps is None:
         return None
-    stack: list[tuple[set[str], float]] = []
-    for step in steps:
+    stack: list[tuple[set[str], float | None]] = []
+    # What stands right of a `with` names an exception, whatever it is called.
+    for at, step in enumerate(steps):
         if step not in RANK:
             name = step.rstrip(".:").removesuffix("+").removesuffix("-only").removesuffix("-or-later")
-            if not is_licence(name) and not name.endswith("exception"):
-                return None
-            stack.append(({name}, freedom(name)))
+            if at + 1 < len(steps) and steps[at + 1] == "with":
+                stack.append(({name}, None))
+            else:
+                stack.append(({name}, freedom(name)) if is_licence(name) else (set(), None))
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
         if step == "with":
-            stack.append((left | right, min(1.0, a + 0.1)))
+            stack.append((left | right, min(1.0, a + 0.1)) if a is not None else (left, a))
+        elif a is None or b is None:
+            stack.append((left, a) if b is None else (right, b))
         else:
             stack.append((left | right, max(a, b) if step == "or" else min(a, b)))
-    return stack[0]
+    labels, free = stack[0]
+    return None if free is None else (labels, free)
 
 
 def scanner(phrases: dict[str, str], base: dict[str, str]):
