@@ -221,6 +221,19 @@ def test_score_is_the_strictest_of_tags_and_notices():
     assert scan("License-Expression: LicenseRef-own AND CC-BY-NC-4.0.")[5:] == ("cc-by,cc-by-nc-4.0,licenseref-own", 0.2)
 
 
+def test_license_ids_of_public_families():
+    scan = licenses.scanner(licenses.NOTICES, licenses.BASE)
+    tag = lambda e: scan("SPDX-License-Identifier: " + e)[5:]
+    assert tag("GPL-2.0 WITH Linux-syscall-note") == ("gpl-2.0,linux-syscall-note", 0.5)
+    assert tag("X11 OR MIT") == ("mit,x11", 1.0) and tag("NCSA") == ("ncsa", 0.5) and tag("JSON") == ("json", 0.5)
+    assert tag("covid-19 text") == ("", 0.0) and tag("c") == ("", 0.0)
+    # An unknown operand leaves the value to the other.
+    assert tag("(house-rules-7 AND MIT) OR covid-19") == ("mit", 1.0) and tag("nothing OR nowhere") == ("", 0.0) and tag("nothing WITH x") == ("", 0.0)
+    assert scan("under CC BY-NC-ND 4.0")[4:] == ("cc-by", "cc-by,cc-by-nc,cc-by-nc-nd", 0.2)
+    assert scan("Creative Commons Attribution-NonCommercial")[5:] == ("cc-by,cc-by-nc", 0.2)
+    assert scan("Attribution-ShareAlike 4.0")[5:] == ("cc-by-sa", 0.6)
+
+
 def test_licenses_leave_other_columns_out(spark):
     got = licenses.scan_licenses(spark.createDataFrame([(1, "mit license", "x", 7.0, "y")], "doc_id long, text string, labels string, score double, n_words string"))
     assert [tuple(r) for r in got.collect()] == [(1, 2, 1, 0, 0, "mit", "mit", 1.0)]
@@ -415,17 +428,31 @@ def test_url_filter(spark):
 # --- digest
 
 
-def test_against_next(spark):
-    docs = documents(spark)
-    got = rows(digest.against_next(docs, ranges=3))
-    plain = sorted(((r["doc_id"], r["text"] or "") for r in rows(docs)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+def walked(docs):
+    """Each document against its next one, all in one list."""
+    hashed = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h")
+    plain = sorted(((r["doc_id"], r["h"], r["text"]) for r in rows(hashed)), key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]), reverse=True)
     want = []
-    for k, (i, t) in enumerate(plain):
-        after = plain[(k + 1) % len(plain)][1]
+    for k, (i, _, t) in enumerate(plain):
+        after = plain[(k + 1) % len(plain)][2]
         other = digest.edited(t, after)
         a, b, c = digest.digest(t), digest.digest(other), digest.digest(after)
         want.append((i, len(t), hashlib.sha256(other.encode()).hexdigest(), digest.shown(a), digest.shown(b), digest.likeness(a, b), digest.likeness(a, c)))
-    assert sorted(map(str, (tuple(r.values()) for r in got))) == sorted(map(str, want))
+    return sorted(map(str, want))
+
+
+def test_against_next_with_heavy_and_null_ids(spark):
+    said = lambda k: f"text number {k % 40} of this " * (1 + k % 3)
+    for ids in ([None] * 60, [7] * 60, [None] * 30 + [7] * 60 + list(range(-5, 30)), [1, 1, 2]):
+        docs = spark.createDataFrame([(i, said(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+        for ranges in (1, 5):
+            assert sorted(map(str, (tuple(r.values()) for r in rows(digest.against_next(docs, ranges=ranges))))) == walked(docs)
+
+
+def test_against_next(spark):
+    docs = documents(spark)
+    got = rows(digest.against_next(docs, ranges=3))
+    assert sorted(map(str, (tuple(r.values()) for r in got))) == walked(docs)
     assert digest.against_next(docs.limit(0)).count() == 0
     assert rows(digest.against_next(docs.limit(1)))[0]["near_next"] == 1.0
 

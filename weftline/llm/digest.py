@@ -8,13 +8,14 @@ Entropy follows from running byte counts, so all windows of a text cost a fixed
 
 Defined cases: a null or empty text has an empty digest, like itself only; a text under 24 bytes, or one without any
 feature (one byte repeated), has its whole self as its only feature; repeated rows have equal digests; ties of doc_id
-are ordered by their text; null ids come last; an empty table gives an empty table.
+are ordered by a hash of their text, then by it; null ids come last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -168,32 +169,45 @@ PAIRED_SQL = "doc_id long, n_chars long, edited_sha256 string, fingerprint strin
 
 
 def against_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Each document against its edited text and the next document by descending doc_id (the last meets the first).
+    """Each document against its edited text and the next document by descending doc_id (the last meets the first); nulls
+    come last, rows of one id by a hash of their text, descending, then by the text.
 
     Ids are cut into ranges by quantiles, and a range's neighbour sends it a copy of its greatest document, so that
-    each range can be walked in order by itself. Texts are shuffled once.
+    each range can be walked in order by itself. An id that fills several ranges, and null ids, are cut further by that
+    hash, so that no task takes all of them. Texts are shuffled once; of other columns only these two are read, so that
+    their names cannot clash; very long texts are held two at a time.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
-    cuts = sorted({float(c) for c in cuts or []})
-    if cuts:
-        bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_d", outputCol="_b").transform(ids.withColumn("_d", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))))
-        bucketed = bucketed.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_b").cast("int"))).drop("_d", "_b")
+    # An id that is several quantiles has a range to itself, in as many parts and more.
+    heavy = {c: 4 * n for c, n in Counter(cuts or []).items() if n > 1}
+    splits = sorted({float(c) for c in cuts or []} | {float(c + 1) for c in heavy})
+    if splits:
+        bucketed = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="_d", outputCol="_b").transform(ids.withColumn("_d", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))))
+        where = F.col("_b").cast("int")
     else:
-        bucketed = ids.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(0))
-    # One row a range: its first document's id in the walk. The range above it walks into that document.
-    firsts = bucketed.groupBy("range").agg(F.max("doc_id").alias("first")).collect()
+        bucketed, where = ids, F.lit(0)
+    parts = F.when(F.col("doc_id").isNull(), 4 * ranges)
+    if heavy:
+        known = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
+        parts = F.coalesce(parts, F.try_element_at(known, F.col("doc_id")))
+    # The part is a range of the hash, whose order it keeps.
+    part = F.floor((F.shiftright("h", 32).cast("double") + 2.0**31) / 2.0**32 * F.coalesce(parts, F.lit(1)))
+    alone = F.when(parts.isNull(), 0).otherwise(part)
+    bucketed = bucketed.select("doc_id", "text", "h", (F.when(F.col("doc_id").isNull(), -1).otherwise(where).cast("long") * 2**32 + alone).alias("range"))
+    # One row a range: its first document's id and hash. The range above it walks into that document.
+    firsts = bucketed.groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("first")).select("range", "first.*").collect()
     order = sorted(firsts, key=lambda r: -r["range"])
     if not order:
         return spark.createDataFrame([], PAIRED_SQL)
     # Every range but the first is entered from the one above; the walk's very first document follows the last.
-    goes = {r["range"]: order[k - 1]["range"] for k, r in enumerate(order)}
-    pairs = spark.createDataFrame([(r["range"], r["first"], goes[r["range"]]) for r in order], "_range int, _first long, _to int")
-    copies = bucketed.join(F.broadcast(pairs), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_first"))).select("doc_id", "text", F.col("_to").alias("range"), F.lit(1).alias("copy"))
-    walk = bucketed.select("doc_id", "text", "range", F.lit(0).alias("copy")).unionByName(copies)
-    dealt = walk.repartition("range").sortWithinPartitions(F.col("range"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    pairs = spark.createDataFrame([(r["range"], r["doc_id"], r["h"], order[k - 1]["range"]) for k, r in enumerate(order)], "_range long, _id long, _h long, _to long")
+    first = (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    copies = bucketed.join(F.broadcast(pairs), first).groupBy(F.col("_to").alias("range")).agg(F.max("text").alias("text"))
+    walk = bucketed.withColumn("copy", F.lit(0)).unionByName(copies.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), "range", F.lit(1).alias("copy")))
+    dealt = walk.repartition("range").sortWithinPartitions(F.col("range"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -217,7 +231,7 @@ def against_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                 for doc_id, text, where, copy in zip(*(c.to_pylist() for c in batch.slice(start, 200).columns), strict=True):
                     if copy and (held is None or held[0] != where):
                         continue  # a second copy, or a range without documents of its own
-                    chain = digest(text)
+                    chain = held[3] if held is not None and held[2] == text else digest(text)
                     if held is not None and held[0] == where:
                         done(text, chain)
                     held = None if copy else (where, doc_id, text, chain)
