@@ -425,6 +425,24 @@ def test_url_filter(spark):
     assert urls.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_bags_of_long_texts_are_pooled():
+    bag = np.arange(1000 * 3, dtype=np.float32).reshape(1000, 3)
+    small = quality.pooled(bag, 7)
+    parts = [bag[k * 1000 // 7 : (k + 1) * 1000 // 7] for k in range(7)]
+    assert small.dtype == np.float32 and np.allclose(small, [p.mean(0) for p in parts]) and quality.pooled(bag, 1000) is bag
+
+
+def test_training_reads_no_held_out_label(spark):
+    docs = spark.createDataFrame([(i, ("plain words of a text. " if i % 2 else "BUY!!! $$ now now now ") * (1 + i % 400)) for i in range(120)], "doc_id long, text string")
+    label = lambda i: int(i % 2)
+    held = {i for i in range(120) if zlib.crc32(str(i).encode()) % 3 == 1}
+    honest, lying = (spark.createDataFrame([(i, 1 - label(i) if i in held and wrong else label(i)) for i in range(120)], "doc_id long, quality int") for wrong in (False, True))
+    (bags, labels), (bags2, labels2) = (quality.training_bags(docs, x) for x in (honest, lying))
+    assert len(bags) == 120 - len(held) and max(map(len, bags)) <= quality.FIT_PASSAGES
+    assert np.array_equal(labels, labels2) and all(np.array_equal(a, b) for a, b in zip(bags, bags2, strict=True))
+    assert quality.choose_lexical(docs, honest, (0.1, 1.0), folds=2) == quality.choose_lexical(docs, lying, (0.1, 1.0), folds=2)
+
+
 # --- digest
 
 

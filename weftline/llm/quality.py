@@ -2,7 +2,8 @@
 
 A document is a bag of passages. Every passage is encoded (surface statistics, hashed shapes and words of its distinct
 words, hashed letter trigrams), a gated attention learned from document labels alone weighs the passages, and the weighted representation is scored. The
-fit takes a bounded, hashed sample of labelled documents (SAMPLE_DOCS); scoring covers every text, whole.
+fit takes a bounded, hashed sample of labelled documents (SAMPLE_DOCS) with the passages of long ones averaged in runs
+(FIT_PASSAGES), so its memory does not follow the lengths of texts; scoring covers every text, whole.
 
 Defined cases: a null or empty text is one empty passage and gets that score; very long ones are scored over all their
 passages; of rows that give one id several texts the fit takes the one whose encoding sorts first; labels that disagree for a document
@@ -30,9 +31,11 @@ PASSAGE_WORDS, SHAPES, WORDS, TRIGRAMS, HIDDEN, GATE = 96, 12, 48, 64, 16, 12
 BUCKETS = SHAPES + WORDS + TRIGRAMS
 #: Words whose buckets a task remembers.
 REMEMBERED = 100_000
-#: Weight of the buckets of words and trigrams beside the other features: from 0.2 on, more held-out
-#: documents were misjudged.
-LEXICAL = 0.1
+#: Weight of the buckets of words and trigrams beside the other features, of those that `choose_lexical` tries on training
+#: rows alone.
+LEXICAL, LEXICALS = 0.05, (0.05, 0.1, 0.2, 0.5, 1.0)
+#: Passages of a document that the fit holds at most: in longer ones passages in a row are averaged, all of them.
+FIT_PASSAGES = 64
 ROUNDS, RATE, DECAY, SEED = 150, 0.03, 1e-3, 7
 N_STATS = 20
 MARKS = "!*%$#&|"
@@ -126,7 +129,15 @@ class Model:
         return float(s["p"][0]), s["a"]
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
+def pooled(bag: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
+    """A bag of `most` passages at most: runs of nearly equal length, averaged."""
+    if len(bag) <= most:
+        return bag
+    starts = np.arange(most) * len(bag) // most
+    return (np.add.reduceat(bag, starts) / np.diff(np.append(starts, len(bag)))[:, None]).astype(np.float32)
+
+
+def fit(bags: list[np.ndarray], labels: np.ndarray, lexical: float = LEXICAL) -> Model:
     """Full-batch Adam on the log loss; deterministic."""
     width = N_STATS + BUCKETS
     if not len(bags) or labels.min() == labels.max():
@@ -137,7 +148,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
     draw = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
     w = {"W": draw(width, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": draw(HIDDEN, GATE), "G": draw(HIDDEN, GATE), "u": draw(GATE), "c": draw(HIDDEN), "d": np.zeros(1, np.float32)}
     model = Model(x.mean(0), x.std(0) + 1e-3, w)
-    model.scale[N_STATS + SHAPES :] /= LEXICAL
+    model.scale[N_STATS + SHAPES :] /= lexical
     one, two = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, ROUNDS + 1):
         s = model.forward(x, first)
@@ -160,8 +171,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int | None = 1, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on labelled documents whose crc32(doc_id) mod 3 is not the held-out remainder."""
+def training_bags(docs: DataFrame, labels: DataFrame, held_out_remainder: int | None = 1, sample_docs: int = SAMPLE_DOCS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pooled bags and labels of labelled documents whose crc32(doc_id) mod 3 is not the held-out remainder, in order of id:
+    `sample_docs` bags of FIT_PASSAGES passages at most, 110 MB by default."""
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.filter("doc_id is not null and quality is not null")
     if held_out_remainder is not None:
@@ -175,14 +187,32 @@ def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int | None = 1
         words = Lexicon()
 
         def row(doc_id, text, quality):
-            bag = passages(text, words)
-            return doc_id, float(quality >= 0.5), bag.tobytes()
+            return doc_id, float(quality >= 0.5), pooled(passages(text, words)).tobytes()
 
         return row
 
     got = map_rows(rows, ["doc_id", "text", "quality"], "doc_id long, quality double, bag binary", build).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("bag").alias("bag")).toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_STATS + BUCKETS) for b in got.column("bag").to_pylist()]
-    return fit(bags, np.array(got.column("quality").to_pylist(), float))
+    return bags, np.array(got.column("quality").to_pylist(), float)
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out_remainder: int | None = 1, sample_docs: int = SAMPLE_DOCS, lexical: float = LEXICAL) -> Model:
+    """Fit on the training rows."""
+    return fit(*training_bags(docs, labels, held_out_remainder, sample_docs), lexical)
+
+
+def choose_lexical(docs: DataFrame, labels: DataFrame, candidates: tuple[float, ...] = LEXICALS, held_out_remainder: int | None = 1, folds: int = 4) -> dict[float, float]:
+    """The log loss of each weight on folds of the training rows (the k-th, (k + folds)-th and so on by id are judged
+    by a model of the others); held-out rows are not read. The least one is the weight to train with."""
+    bags, labels_ = training_bags(docs, labels, held_out_remainder)
+    at, loss = np.arange(len(bags)) % folds, dict.fromkeys(candidates, 0.0)
+    for weight in candidates:
+        for k in range(folds):
+            model = fit([b for b, f in zip(bags, at, strict=True) if f != k], labels_[at != k], weight)
+            p = np.clip([model.score(b)[0] for b, f in zip(bags, at, strict=True) if f == k], 1e-7, 1 - 1e-7)
+            y = labels_[at == k]
+            loss[weight] -= float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()) / max(1, len(bags))
+    return loss
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
