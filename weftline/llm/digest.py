@@ -197,15 +197,15 @@ def against_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     part = F.floor((F.shiftright("h", 32).cast("double") + 2.0**31) / 2.0**32 * F.coalesce(parts, F.lit(1)))
     alone = F.when(parts.isNull(), 0).otherwise(part)
     bucketed = bucketed.select("doc_id", "text", "h", (F.when(F.col("doc_id").isNull(), -1).otherwise(where).cast("long") * 2**32 + alone).alias("range"))
-    # One row a range: its first document's id and hash. The range above it walks into that document.
-    firsts = bucketed.groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("first")).select("range", "first.*").collect()
+    # One row a range: its first document's id. The range above it walks into the first document of that id.
+    firsts = bucketed.groupBy("range").agg(F.max("doc_id").alias("first")).collect()
     order = sorted(firsts, key=lambda r: -r["range"])
     if not order:
         return spark.createDataFrame([], PAIRED_SQL)
     # Every range but the first is entered from the one above; the walk's very first document follows the last.
-    pairs = spark.createDataFrame([(r["range"], r["doc_id"], r["h"], order[k - 1]["range"]) for k, r in enumerate(order)], "_range long, _id long, _h long, _to long")
-    first = (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
-    copies = bucketed.join(F.broadcast(pairs), first).groupBy(F.col("_to").alias("range")).agg(F.max("text").alias("text"))
+    pairs = spark.createDataFrame([(r["range"], r["first"], order[k - 1]["range"]) for k, r in enumerate(order)], "_range long, _id long, _to long")
+    first = (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    copies = bucketed.join(F.broadcast(pairs), first).groupBy(F.col("_to").alias("range")).agg(F.max(F.struct("h", "text"))["text"].alias("text"))
     walk = bucketed.withColumn("copy", F.lit(0)).unionByName(copies.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), "range", F.lit(1).alias("copy")))
     dealt = walk.repartition("range").sortWithinPartitions(F.col("range"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
 
