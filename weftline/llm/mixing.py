@@ -34,7 +34,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
     Sorted by the level at which each source fills up, the full ones come first, and running sums give the
     level. The sums run over ranges of sources, so their number has no bound.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # Stored, since dealing rows to ranges reads them twice, and each time would count the words of all texts again.
+    by_source = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sums")
     pick = F.array(*[F.lit(float(w)) for w in weights])
     ranked = running_sums(by_source, [F.col("source").asc_nulls_last()], {"_at": F.lit(1)})
     rows = ranked.withColumn("_w", F.element_at(pick, (F.col("_at") % len(weights) + 1).cast("int")))
@@ -54,10 +55,14 @@ def draw(seed: int, doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, DRAW // 4), 16, 10).cast("long") / F.lit(float(2**DRAW))
 
 
-def drawn(docs: DataFrame, weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
-    """(doc struct, size, source_size, target, rate, copies): the input's columns apart, so that no name can clash."""
+def measured(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc struct, source, size, draw): the input's columns apart, so that no name can clash."""
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    sized = docs.select(doc, F.col("source").alias("source"), n_words(F.col("text")).alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("draw"))
+    return docs.select(doc, F.col("source").alias("source"), n_words(F.col("text")).alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("draw"))
+
+
+def drawn(sized: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
+    """(doc struct, size, source_size, target, rate, copies) from measured rows."""
     # The shares are a stored table of a row a source: Spark sends it to the tasks where its files are small, and
     # shuffles, with AQE splitting the hot sources, where not.
     shares = targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "of")
@@ -67,23 +72,32 @@ def drawn(docs: DataFrame, weights: tuple[int, ...], most: float, seed: int) ->
     return joined.select("doc", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20, keep: list[str] | None = None) -> DataFrame:
     """The documents with size, source_size, target, rate and copies (how often the mix takes each), which replace columns
-    of these names."""
+    of these names.
+
+    With `keep`, only these columns of the documents stay. Their texts are then read once: sizes and draws are stored beside
+    the kept columns, and the shares and the result both come from that narrow table.
+    """
     added = ["size", "source_size", "target", "rate", "copies"]
-    return drawn(docs, weights, most, seed).select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in added], *added)
+    sized = measured(docs, seed)
+    names = docs.columns if keep is None else keep
+    if keep is not None:
+        kept = F.struct(*[F.col(f"doc.`{c}`") for c in keep]).alias("doc")
+        sized = staged(sized.select(kept, "source", "size", "draw"), "source-sizes")
+    return drawn(sized, weights, most).select(*[F.col(f"doc.`{c}`") for c in names if c not in added], *added)
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 20) -> DataFrame:
     """The mixed corpus itself: each document as many times as it is taken, with its own columns, whatever their names."""
-    taken = drawn(docs, weights, most, seed).filter("copies > 0")
+    taken = drawn(measured(docs, seed), weights, most).filter("copies > 0")
     return taken.select("doc", F.explode(F.expr("sequence(1L, copies)"))).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op5(spark, sf_dir):
     from .common import table
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP5_SQL = r"""
