@@ -707,3 +707,38 @@ def test_articles_in_deep_pages_take_linear_time(page):
     began = time.process_time()
     html_text.parse(page)
     assert time.process_time() - began < 6
+
+
+MENU = '<div class="menu"><a href=1>Home</a> <a href=2>News</a></div><div class="cookie-notice">We use cookies here.</div>'
+PARAGRAPHS = [f"Long paragraph number {k} about the river and its banks, and what the town did there in spring." for k in range(5)]
+
+
+@pytest.mark.parametrize("name", ["promotion-story", "legal-news", "search-results", "side-effects", "notice", "copyright"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("around", ["{}", '<div class="widget-wrap">{}</div>'])
+def test_html_a_name_does_not_drop_what_holds_the_page(name, tag, around):
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f"<html><body>{MENU}{around.format(f'<{tag} class={name}>{text}</{tag}>')}</body></html>"
+    assert html_text.main_text(page) == " ".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", ["promotion-story", "legal-news", "side-effects"])
+def test_html_sections_with_a_word_of_their_own_stay(name):
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f'<html><body>{MENU}<div class=content>{text}<section id="{name}">{text}</section></div></body></html>'
+    assert html_text.main_text(page) == " ".join(PARAGRAPHS + PARAGRAPHS)
+
+
+def test_html_parts_of_the_layout_still_go():
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    for part in ('<div class="legal-links">Our terms of use</div>', '<div class="ad-box">Buy this now</div>', '<div id="sidebar"><p>Also on this site</p></div>', f'<div class="comments">{text}{text}{text}</div>'):
+        assert html_text.main_text(f"<html><body>{MENU}<div class=content>{text}</div>{part}</body></html>") == " ".join(PARAGRAPHS)
+    assert html_text.main_text(f"<html><body>{MENU}</body></html>") == ""
+
+
+def test_mix_keeps_chosen_columns(spark):
+    docs = spark.createDataFrame([(k, "a b c " * (k % 5), f"s{k % 3}", k) for k in range(200)], "doc_id long, text string, source string, size long")
+    names = ["doc_id", "size", "source_size", "target", "copies"]
+    narrow = mixing.mix(docs, keep=["doc_id"])
+    assert narrow.columns == ["doc_id", "size", "source_size", "target", "rate", "copies"]
+    assert sorted(narrow.select(*names).collect()) == sorted(mixing.mix(docs).select(*names).collect())

@@ -7,8 +7,8 @@ parts that fall below it and are mostly links are left out. An article or main e
 taken whole, and so are its sibling articles that reach the threshold.
 
 Elements that are no text by their name, role, class or id go first. Where a word can also mean a part of an article,
-density decides: inside an article or main element such a part goes only if half of its text is links, and a form
-stays if it holds most of the page's text.
+density decides: inside an article or main element such a part goes only if half of its text is links. A form, or an
+element named like a part of the layout, stays if it holds most of the page's text and little of it is links.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; unclosed and stray tags are
 repaired as browsers do in the common cases, in time that grows with the page's length; repeated rows are worked each;
@@ -51,6 +51,10 @@ NOT_EVEN_ARTICLES = frozenset("comment comments commentlist disqus reply replies
 STRUCTURE = frozenset("area bar block body bottom box button buttons center col column container content count default entry fixed form global group head holder icon inline inner item items layout left link links list main meta mobile module page panel placeholder post primary right row secondary section site slot small sticky text title top unit wrap wrapper wide view".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
+#: A part with a layout word in its name that holds most of a page's text has at least so many characters: a page with a
+#: short notice and no article has no text.
+LEAST_TEXT = 140
+
 MARKS = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -75,13 +79,16 @@ KEPT, LINKS, FORM, LAYOUT, SURE = range(5)
 
 def named(value: str, inside: bool) -> set[str]:
     """The words of NOT_TEXT that a class or id has. Inside an article a word counts as the last of a name, or among words
-    of mere structure: "cookie-notice" and "notice-box" do, "notice-period" does not."""
-    if not inside:
-        return NOT_TEXT.intersection(SPLIT.split(value))
+    of mere structure: "cookie-notice" and "notice-box" do, "notice-period" does not. Elsewhere this holds for the words of
+    ALSO_TEXT: "legal-links" is no text, "legal-news" may be."""
     found = set()
     for name in value.split():
         words = [w for w in SPLIT.split(name) if w]
-        found |= {w for k, w in enumerate(words) if w in NOT_TEXT and (k == len(words) - 1 or all(x in STRUCTURE or x in NOT_TEXT or x.isdigit() for x in words[k + 1 :]))}
+        last = len(words) - 1
+        while last >= 0 and (words[last] in STRUCTURE or words[last] in NOT_TEXT or words[last].isdigit()):
+            last -= 1
+        # What stands after the last word with a meaning of its own is what the name means.
+        found |= {w for k, w in enumerate(words) if w in NOT_TEXT and (k > last or k == len(words) - 1 or not inside and w not in ALSO_TEXT)}
     return found
 
 
@@ -259,9 +266,16 @@ def weigh(root: Node) -> list[Node]:
             if node.drop == LINKS and 2 * node.link_chars >= node.chars:
                 node.drop = SURE
         if not decided:
+            # The text of a part that a layout word would drop counts for the page, not for what the part stands in.
+            whole = root.chars + sum(n.chars for n in nodes if n.drop == LAYOUT)
             for node in nodes:
                 if node.drop == FORM:
-                    node.drop = KEPT if 3 * node.chars > 2 * root.chars else SURE
+                    node.drop = KEPT if 3 * node.chars > 2 * whole else SURE
+                elif node.drop == LAYOUT and node.chars >= LEAST_TEXT and 3 * node.chars > 2 * whole and 4 * node.link_chars < node.chars:
+                    up = node
+                    while up is not None:
+                        up.drop = KEPT if up.drop in (LAYOUT, FORM) else up.drop
+                        up = up.parent
     nodes = order_of(root)
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in reversed(nodes):
