@@ -40,8 +40,9 @@ def gaps_yearly(inc: DataFrame, persons: DataFrame, years: range, days: float) -
 
 
 def activity_yearly(inc: DataFrame, persons: DataFrame, years: range) -> DataFrame:
-    """Distinct edges at either end by year, a column a year."""
-    return _by_year(inc.withColumn("year", F.year("time")), persons, years, F.count_distinct("obs_id"), "y")
+    """Edges at either end by year, a column a year. inc lists an edge once at each id (see `graph.incidence`), so rows are
+    counted, not distinct edges."""
+    return _by_year(inc.withColumn("year", F.year("time")), persons, years, F.count("obs_id"), "y")
 
 
 def gaps_target(wide: DataFrame, year: int) -> DataFrame:
@@ -57,8 +58,12 @@ def disengagement(wide: DataFrame, year: int) -> DataFrame:
     return wide.select("id", F.when((prev == 0) | (after > prev), 0.0).otherwise(1 - after / prev).alias("target"))
 
 
-def breach_total(sources: DataFrame, key: str) -> DataFrame:
-    """(id, total): sum of an attribute over all rows of a fused person; persons without the attribute are left out."""
+def breach_total(sources: DataFrame, key: str, fusion: DataFrame | None = None) -> DataFrame:
+    """(id, total): sum of an attribute over all rows of a person; persons without the attribute are left out. With fusion,
+    (id_other, id_lowest), over all rows of the persons that are one."""
+    if fusion is not None:
+        one = fusion.select(F.col("id_other").alias("owner"), "id_lowest")
+        sources = sources.join(one, "owner").withColumn("owner", F.col("id_lowest")).drop("id_lowest")
     has = sources.withColumn("_v", F.col("attrs")[key].cast("double")).filter("_v is not null")
     return has.groupBy(F.col("owner").alias("id")).agg(F.sum("_v").alias("total"))
 
@@ -89,12 +94,12 @@ def active_dates(inc: DataFrame) -> DataFrame:
 def neighbour_sums(persons: DataFrame, inc: DataFrame, attrs: DataFrame, hops: tuple[int, ...] = (1, 2), t_min=None, t_max=None) -> DataFrame:
     """(id, hop, key, total): for each person and hop distance k, the sum over the entities within k hops, itself
     included. attrs: (id, key, value)."""
-    parts = None
-    for k in hops:
-        near = graph.neighbours(persons.select(F.col("id").alias("seed")), inc, k, t_min, t_max, return_self=True, among=attrs).select("seed", "id")
-        sums = near.join(attrs, "id").groupBy(F.col("seed").alias("id"), F.lit(k).alias("hop"), "key").agg(F.sum("value").alias("total"))
-        parts = sums if parts is None else parts.unionByName(sums)
-    return parts
+    # One traversal to the farthest: whoever is met at a hop is within that and all later ones.
+    near = graph.neighbours(persons.select(F.col("id").alias("seed")), inc, max(hops), t_min, t_max, return_self=True, among=attrs)
+    within = [(k, F.col("hop") <= k) for k in hops]
+    sums = near.join(attrs, "id").groupBy(F.col("seed").alias("id"), "key").agg(*[F.sum(F.when(w, F.col("value"))).alias(f"_sum{k}") for k, w in within], *[F.count_if(w).alias(f"_n{k}") for k, w in within])
+    rows = F.array(*[F.struct(F.lit(k).alias("hop"), F.col(f"_sum{k}").alias("total"), F.col(f"_n{k}").alias("n")) for k in hops])
+    return sums.select("id", "key", F.explode(rows).alias("_row")).filter("_row.n > 0").select("id", "_row.hop", "key", "_row.total")
 
 
 def neighbour_lists(persons: DataFrame, inc: DataFrame, scores: DataFrame, k: int = 2, t_min=None, t_max=None) -> DataFrame:

@@ -145,6 +145,18 @@ def term_evidence(spark, d):
     return reports.evidence(works, graph_queries.inc(spark, d), found, 1)
 
 
+@query(f"""{with_tables('incidence')}, w AS (SELECT 4000000000000 + o_orderkey AS id FROM orders),
+f AS (SELECT 5000000000000 + p_partkey AS id, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z]+'))) AS term FROM part),
+h1 AS (SELECT DISTINCT w.id AS seed, i.other_id AS id FROM w JOIN incidence i ON i.id = w.id),
+n AS (SELECT seed, id FROM h1 UNION SELECT h1.seed, i.other_id FROM h1 JOIN incidence i ON i.id = h1.id WHERE i.other_id <> h1.seed)
+SELECT seed, term, count(*) AS n, min(id) AS first_id FROM n JOIN f USING (id) WHERE term IN ('red', 'ring') GROUP BY ALL""")
+def term_evidence_hops(spark, d):
+    """Texts with a term within two hops of each work: how many, and the first."""
+    works = fixture.table(spark, d, "orders").select((F.lit(fixture.ORDER) + F.col("o_orderkey")).cast("long").alias("id"))
+    found = fixture.table(spark, d, "part").select((F.lit(fixture.PART) + F.col("p_partkey")).cast("long").alias("id"), text.term_examples(F.col("p_name"), ["red", "ring"]).alias("terms"))
+    return reports.evidence(works, graph_queries.inc(spark, d), found, 2).groupBy("seed", "term").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 @query("""SELECT CASE WHEN year(o_orderdate) <= 1997 THEN 'to 1997' WHEN year(o_orderdate) <= 1999 THEN 'to 1999' ELSE 'later' END AS era,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'good' WHEN o_orderpriority LIKE '5%' THEN 'bad' ELSE 'other' END AS status, count(*) AS n FROM orders GROUP BY ALL""")
 def works_by_era(spark, d):

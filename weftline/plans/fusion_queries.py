@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from weftline.functions import names, numbers, text
-from weftline.operators import fuse
+from weftline.operators import fuse, targets
 from weftline.sources import store
 from weftline.sources.stage import shared_dir
 
@@ -157,6 +157,14 @@ def line_sources(spark, d):
     return lines.select("owner", F.lit(0).alias("src_id"), own.alias("attrs")).unionByName(lines.filter("l_linenumber > 1").select("owner", F.lit(1).alias("src_id"), later.alias("attrs")))
 
 
+@query(f"""{_fused}
+SELECT id_lowest AS id, round(sum(value::DOUBLE), 6) AS total FROM attr JOIN fusion ON id_other = owner WHERE key = 'nation' AND value IS NOT NULL AND value <> 'null' GROUP BY id_lowest""")
+def breach_total_fused(spark, d):
+    """Sums over all rows of the persons that fusion finds to be one."""
+    rows = fixture.attr_sources(spark, d).withColumn("attrs", F.map_filter("attrs", lambda k, v: v != "null"))
+    return targets.breach_total(rows, "nation", fusion(spark, d)).withColumn("total", F.round("total", 6))
+
+
 @query(f"""{_fused}, own AS (SELECT id_lowest AS owner, src_id, key, value FROM attr JOIN fusion ON id_other = owner),
 later AS (SELECT 3000000000000000 + line AS owner, 0 AS src_id, unnest(['quantity', 'flag']) AS key, unnest([l_quantity::INT::VARCHAR, '"' || l_returnflag || '"']) AS value FROM line
   UNION ALL SELECT 3000000000000000 + line, 1, unnest(['flag', 'checked']), unnest([CASE WHEN l_linenumber % 2 = 0 THEN 'null' ELSE '"later"' END, 'true']) FROM line WHERE l_linenumber > 1),

@@ -169,9 +169,9 @@ def coauthor_matrix(members: DataFrame) -> DataFrame:
 
 def co_involvement(members: DataFrame, least_share: float = 0.1) -> DataFrame:
     """(a, b, n, p_b_given_a): others who share max(1, least_share * own) projects or more with a person."""
-    pairs = shared_projects(members)
-    own = pairs.filter("a = b").select("a", F.col("n").alias("own"))
-    return pairs.filter("a <> b").join(own, "a").filter(F.col("n") >= F.greatest(F.lit(1.0), least_share * F.col("own"))).select("a", "b", "n", (F.col("n") / F.col("own")).alias("p_b_given_a"))
+    m = members.select("person", "project").distinct()
+    own = m.groupBy(F.col("person").alias("a")).agg(F.count("*").alias("own"))
+    return shared_projects(m).filter("a <> b").join(own, "a").filter(F.col("n") >= F.greatest(F.lit(1.0), least_share * F.col("own"))).select("a", "b", "n", (F.col("n") / F.col("own")).alias("p_b_given_a"))
 
 
 def author_stats(works: DataFrame) -> DataFrame:
