@@ -129,6 +129,17 @@ def test_random_windows_are_the_same_again(spark):
     assert samples.random_windows(inc, persons, 50, 2, 10_000).count() == 0
 
 
+def test_random_windows_round_the_ends_of_a_span_as_their_sql_does(spark):
+    def pivots(low_micros, high_micros):
+        low, high = T(2020, 1, 1) + dt.timedelta(microseconds=low_micros), T(2020, 3, 1) + dt.timedelta(microseconds=high_micros)
+        rows = [(k, 1, "created", t, 1, 1000 + k) for k, t in enumerate((low, high))]
+        inc = graph.incidence(spark.createDataFrame(rows, "id long, batch_id long, type string, time timestamp_ntz, src_id long, dst_id long"))
+        return sorted(map(tuple, samples.random_windows(inc, spark.createDataFrame([(1,)], "id long"), 9, 2, 2).collect()))
+
+    assert pivots(700_000, 900_000) == pivots(1_000_000, 1_000_000) != pivots(0, 0)
+    assert pivots(500_000, 1_500_000) == pivots(0, 2_000_000)
+
+
 # --- scorers
 
 

@@ -32,10 +32,10 @@ def busy(inc: DataFrame, persons: DataFrame, least_degree: int = 100) -> DataFra
 def random_windows(inc: DataFrame, persons: DataFrame, draws: int, days: int, least_degree: int = 100, salt: int = 0) -> DataFrame:
     """(id, draw, start, pivot, end): `draws` windows of `days` before and after a pivot for every busy person.
 
-    A pivot lies between the person's first and last edge, to the second, at the part of that span that a hash of salt,
-    person and draw gives: the same windows in every run and engine, however the rows are dealt.
+    A pivot lies between the person's first and last edge, both at the nearest second (the even one of two), at the part of
+    that span that a hash of salt, person and draw gives: the same windows in every run and engine, however the rows are dealt.
     """
-    low, high = F.unix_timestamp(F.col("first").cast("timestamp")), F.unix_timestamp(F.col("last").cast("timestamp"))
+    low, high = (F.rint(targets.seconds(F.col(c))).cast("long") for c in ("first", "last"))
     each = busy(inc, persons, least_degree).select("id", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     pivot = F.col("low") + F.shiftright((F.col("high") - F.col("low") + 1) * draw_of(F.lit(salt), F.col("id"), F.col("draw")), 32)
     at = lambda seconds: F.timestamp_seconds(seconds).cast("timestamp_ntz")
