@@ -55,6 +55,26 @@ def test_windows_of_their_own(spark):
     assert got == {(A, 1), (B, 2), (B, 3)}
 
 
+def test_a_traversal_for_each_year_equals_windows_of_years(spark):
+    r = random.Random(7)
+    inc = graph.incidence(observations(spark, [(i, r.randint(1, 9), r.randint(1, 9), r.choice([3, 200, 370, 500, 800])) for i in range(40)]))
+    seeds = spark.createDataFrame([(1,), (2,), (3,)], "seed long")
+    spans = spark.createDataFrame([(k, dt.datetime(y, 1, 1), dt.datetime(y + 1, 1, 1)) for k in (1, 2, 3) for y in (2020, 2021, 2022)], "seed long, start timestamp_ntz, end timestamp_ntz")
+    for k in (1, 2, 3):
+        want = {(r["seed"], r["start"].year, r["obs_id"], r["hop"]) for r in graph.obs_hops(spans, inc, k).collect()}
+        assert want == {tuple(r) for r in graph.obs_hops(seeds, inc, k, by=F.year("time")).select("seed", "by", "obs_id", "hop").collect()}
+        want = {(r["seed"], r["start"].year, r["id"], r["hop"]) for r in graph.neighbours(spans, inc, k, return_self=True).collect()}
+        assert want == {tuple(r) for r in graph.neighbours(seeds, inc, k, return_self=True, by=F.year("time")).select("seed", "by", "id", "hop").collect()}
+
+
+def test_windows_spread_over_seeds_are_not_broadcast(spark):
+    inc = graph.incidence(observations(spark, PATH))
+    windows = spark.createDataFrame([(k,) for k in range(50)], "id long")
+    spans = targets.sweep(windows, "2020-01-01", "2021-01-01", 30).select(F.col("id").alias("seed"), "start", "end")
+    plan = graph.obs_hops(spans, inc, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_hops_against_search(spark, seed):
     r = random.Random(seed)

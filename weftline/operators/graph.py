@@ -17,10 +17,11 @@ __all__ = ["adjacency", "collaborators", "commits_via_requests", "adjacent_event
 
 
 def incidence(obs: DataFrame) -> DataFrame:
-    """(id, other_id, obs_id, type, time, dir): each edge from both ends; a self loop once."""
-    out = obs.select(F.col("src_id").alias("id"), F.col("dst_id").alias("other_id"), F.col("id").alias("obs_id"), "type", "time", F.lit("out").alias("dir"))
-    back = obs.filter("src_id <> dst_id").select(F.col("dst_id").alias("id"), F.col("src_id").alias("other_id"), F.col("id").alias("obs_id"), "type", "time", F.lit("in").alias("dir"))
-    return out.unionByName(back)
+    """(id, other_id, obs_id, type, time, dir): each edge from both ends; a self loop once. Edges are read once for both."""
+    end = lambda a, b, dir: F.struct(F.col(a).alias("id"), F.col(b).alias("other_id"), F.lit(dir).alias("dir"))
+    out, back = end("src_id", "dst_id", "out"), end("dst_id", "src_id", "in")
+    ends = F.explode(F.when(F.col("src_id") != F.col("dst_id"), F.array(out, back)).otherwise(F.array(out))).alias("e")
+    return obs.select(F.col("id").alias("obs_id"), "type", "time", ends).select("e.id", "e.other_id", "obs_id", "type", "time", "e.dir")
 
 
 def in_range(time: Column, start=None, end=None, closed: bool = False) -> Column:
@@ -38,54 +39,63 @@ def _bounded(inc: DataFrame, t_min, t_max) -> DataFrame:
     return inc.filter(in_range(F.col("time"), lit(t_min), lit(t_max)))
 
 
-def obs_hops(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0) -> DataFrame:
-    """(seed, obs_id, hop): the edges within k hops of each seed in [t_min, t_max), each with the hop that finds it first.
+def obs_hops(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0, by: Column | None = None) -> DataFrame:
+    """(seed, [by,] obs_id, hop): the edges within k hops of each seed in [t_min, t_max), each with the hop that finds it first.
 
     seeds: (seed), or (seed, start, end) for a window of its own. Nodes are expanded once a seed; an edge between two
     explored nodes still counts. sample: at most so many edges of a node and hop, by a salted hash, so that a repeated
-    task draws alike. k = 0 is empty.
+    task draws alike. by: a column of the edges (their year, say): a traversal for each of its values. k = 0 is empty.
     """
-    windows = [c for c in ("start", "end") if c in seeds.columns]
-    return _steps(seeds, inc, k, t_min, t_max, sample, salt).groupBy("seed", *windows, "obs_id").agg(F.min("hop").alias("hop"))
+    keys = _keys(seeds, by)
+    return _steps(seeds, inc, k, t_min, t_max, sample, salt, by=by).groupBy("seed", *keys, "obs_id").agg(F.min("hop").alias("hop"))
 
 
-def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0, among: DataFrame | None = None) -> DataFrame:
-    """(seed, id, other_id, obs_id, hop): each edge as often as a hop meets it, from the end that it is met at. among: (id)
+def _keys(seeds: DataFrame, by: Column | None) -> list[str]:
+    return [c for c in ("start", "end") if c in seeds.columns] + ([] if by is None else ["by"])
+
+
+def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0, among: DataFrame | None = None, by: Column | None = None) -> DataFrame:
+    """(seed, [by,] id, other_id, obs_id, hop): each edge as often as a hop meets it, from the end that it is met at. among: (id)
     to which the last hop, if not the first, goes; what it meets besides is left out."""
-    windows = [c for c in ("start", "end") if c in seeds.columns]
+    windows, keys = _keys(seeds, None), _keys(seeds, by)
     frontier = seeds.select("seed", *windows, F.col("seed").alias("id")).distinct()
-    explored = frontier.select("seed", *windows, "id")
     edges = _bounded(inc, t_min, t_max)
-    found = None
+    if by is not None:
+        edges = edges.withColumn("by", by).filter("by is not null")
+    found = explored = None
     for hop in range(1, k + 1):
         last = among is not None and not sample and hop == k > 1
-        step = frontier.join(edges.join(among.select(F.col("id").alias("other_id")), "other_id", "left_semi") if last else edges, "id")
+        # Spark takes windows spread over few ids for few rows: what it would broadcast grows with the seeds.
+        at = frontier.hint("merge") if windows else frontier
+        step = at.join(edges.join(among.select(F.col("id").alias("other_id")), "other_id", "left_semi") if last else edges, ["id", "by"] if by is not None and hop > 1 else "id")
         if windows:
             step = step.filter(in_range(F.col("time"), *[F.col(c) if c in windows else None for c in ("start", "end")]))
         if sample:
-            drawn = Window.partitionBy("seed", *windows, "id").orderBy(F.md5(F.concat_ws(":", F.lit(f"{salt}:{hop}"), "id", "obs_id").cast("binary")), "obs_id")
+            drawn = Window.partitionBy("seed", *keys, "id").orderBy(F.md5(F.concat_ws(":", F.lit(f"{salt}:{hop}"), "id", "obs_id").cast("binary")), "obs_id")
             step = step.withColumn("_rank", F.row_number().over(drawn)).filter(F.col("_rank") <= sample)
-        new = step.select("seed", *windows, "id", "other_id", "obs_id", F.lit(hop).alias("hop"))
+        new = step.select("seed", *keys, "id", "other_id", "obs_id", F.lit(hop).alias("hop"))
         found = new if found is None else found.unionByName(new)
         if hop < k:
-            reached = step.select("seed", *windows, F.col("other_id").alias("id")).distinct()
-            frontier = reached.join(explored, ["seed", *windows, "id"], "left_anti")
+            # The seed itself is explored from the first hop on.
+            frontier = step.filter("other_id <> seed").select("seed", *keys, F.col("other_id").alias("id")).distinct()
             if hop >= 2:
-                frontier = staged(frontier, "hop-frontier")
-            explored = explored.unionByName(frontier)
+                frontier = staged(frontier.join(explored.hint("merge"), ["seed", *keys, "id"], "left_anti"), "hop-frontier")
+            explored = frontier if explored is None else explored.unionByName(frontier)
     if found is None:
-        return frontier.select("seed", *windows, "id", F.col("id").alias("other_id"), F.col("id").alias("obs_id"), F.lit(0).alias("hop")).limit(0)
+        none = seeds.select("seed", *windows, F.col("seed").alias("id"), F.col("seed").alias("other_id"), F.col("seed").alias("obs_id"), F.lit(0).alias("hop")).limit(0)
+        return none if by is None else none.join(edges.select("by").limit(0))
     return found
 
 
-def neighbours(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, return_self: bool = False, among: DataFrame | None = None, **sampling) -> DataFrame:
-    """(seed, id, hop): ends of the edges within k hops, with the least hop. The seed itself only if return_self, and only
-    where it has an edge in the window. With among, (id), only those: hubs are then not spread out in the last hop."""
-    windows = [c for c in ("start", "end") if c in seeds.columns]
-    ends = _steps(seeds, inc, k, t_min, t_max, among=among, **sampling).select("seed", *windows, F.explode(F.array("id", "other_id")).alias("id"), "hop")
+def neighbours(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, return_self: bool = False, among: DataFrame | None = None, by: Column | None = None, **sampling) -> DataFrame:
+    """(seed, [by,] id, hop): ends of the edges within k hops, with the least hop. The seed itself only if return_self, and only
+    where it has an edge in the window. With among, (id), only those: hubs are then not spread out in the last hop. by: as
+    for `obs_hops`."""
+    keys = _keys(seeds, by)
+    ends = _steps(seeds, inc, k, t_min, t_max, among=among, by=by, **sampling).select("seed", *keys, F.explode(F.array("id", "other_id")).alias("id"), "hop")
     if among is not None:
         ends = ends.join(among.select("id"), "id", "left_semi")
-    met = ends.groupBy("seed", *windows, "id").agg(F.min("hop").alias("hop"))
+    met = ends.groupBy("seed", *keys, "id").agg(F.min("hop").alias("hop"))
     return met if return_self else met.filter("id <> seed")
 
 
