@@ -187,3 +187,12 @@ def test_every_rule_and_every_type(spark):
     commits = spark.createDataFrame([(10, "s"), (11, "s"), (12, "t"), (13, None), (14, None)], "id long, sha string")
     got = {r["id_other"]: r["id_lowest"] for r in fuse.entity_fusion(spark.range(1, 21), fuse.all_edges(fuse.candidates(p), commits)).collect()}
     assert got == {i: {2: 1, 11: 10}.get(i, i) for i in range(1, 21)}
+
+
+def test_a_filter_of_types_reaches_the_sources(spark):
+    rows = [("person:a", "person", "a", {"x": '"1"'}), ("person:b", "person", "b", {})]
+    schema = "key string, type string, name string, attrs map<string,string>"
+    people_ = spark.createDataFrame(rows, schema).withColumn("type", F.lit("person"))
+    works = spark.range(5).selectExpr("concat('work:', id) as key", "'work' as type", "'w' as name", "map('x', cast(raise_error('read') as string)) as attrs")
+    got = ingest.merged(people_.unionByName(works))[0].filter("type = 'person'").collect()
+    assert {(r["key"], r["type"], r["name"], tuple(r["attrs"].items())) for r in got} == {("person:a", "person", "a", (("x", '"1"'),)), ("person:b", "person", "b", ())}

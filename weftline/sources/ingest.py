@@ -52,15 +52,16 @@ class Ingested(NamedTuple):
 def merged(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """One row a key, with the greatest non-empty value of each attribute, and the conflicts (key, attr, n): attributes
     for which a key has several such values. A null never overwrites. strict: a conflict raises where rows are read."""
-    pairs = rows.select("key", F.explode_outer("attrs").alias("attr", "value"))
+    # A key begins with its type: as a column of the grouping, a filter of types reaches the sources. One pass for names and values.
+    pairs = rows.select("key", "type", "name", F.explode_outer("attrs").alias("attr", "value"))
     full = F.when(~F.col("value").isin("null", '""', "0", "false", "[]"), F.col("value"))
-    kept = pairs.groupBy("key", "attr").agg(F.coalesce(F.max(full), F.max("value")).alias("value"), F.count_distinct(full).alias("n"))
+    kept = pairs.groupBy("key", "type", "attr").agg(F.min("name").alias("name"), F.coalesce(F.max(full), F.max("value")).alias("value"), F.count_distinct(full).alias("n"))
     value = F.col("value")
     if strict:
         value = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("conflicting values: "), "key", F.lit(" "), "attr")).cast("string")).otherwise(value)
-    maps = kept.filter("attr is not null").withColumn("value", value).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("attr", "value"))).alias("attrs"))
-    heads = rows.groupBy("key").agg(F.min("type").alias("type"), F.min("name").alias("name"))
-    return heads.join(maps, "key", "left").withColumn("attrs", F.coalesce("attrs", F.create_map().cast("map<string,string>"))), kept.filter("n > 1").select("key", "attr", "n")
+    listed = F.collect_list(F.when(F.col("attr").isNotNull(), F.struct("attr", value.alias("value"))))
+    whole = kept.groupBy("key", "type").agg(F.min("name").alias("name"), F.map_from_entries(listed).alias("attrs"))
+    return whole, kept.filter("n > 1").select("key", "attr", "n")
 
 
 def ingested(rows: DataFrame, edges: DataFrame, strict: bool) -> Ingested:
@@ -182,11 +183,13 @@ def pull_requests(prs: DataFrame, repo: str, strict: bool = False) -> Ingested:
     comments = p.select("pr", F.explode("comments").alias("m")).withColumn("key", message(github_person("m.author"), F.col("m.bodyText")))
     reviews = p.select("pr", F.explode("reviews").alias("r"))
     replies = reviews.select("r", F.explode("r.comments").alias("m")).withColumn("key", message(github_person("m.author"), F.col("m.bodyText")))
-    person = lambda df, q: entity(df, "person", github_person(q), github_person(q), attrs(name=F.col(f"{q}.name"), email=F.col(f"{q}.email"), github_user=_login(q)))
+    # Each author once before its values are written as JSON, since many commits have one.
+    own = attrs(name=F.col("who.name"), email=F.col("who.email"), github_user=_login("who"))
+    person = lambda df, q: entity(df.select(F.col(q).alias("who")).distinct(), "person", github_person("who"), github_person("who"), own)
     rows = unions(
         person(p, "author"), person(commits, "c.author"), person(commits, "c.committer"), person(comments, "m.author"), person(reviews, "r.author"), person(replies, "m.author"),
         entity(p, "github_pullrequest", F.concat(F.lit(f"{repo} PR "), F.col("number")), F.concat(F.lit(f"{repo} PR "), F.col("number")), attrs(github_pr_number=F.col("number"), body_text=F.col("bodyText"), created=F.unix_seconds(F.col("publishedAt").cast("timestamp")))),
-        entity(commits, "git_commit", F.col("c.oid"), F.col("c.oid"), attrs(commit_sha=F.col("c.oid"))), entity(p.filter("mergeCommit is not null"), "git_commit", F.col("mergeCommit.oid"), F.col("mergeCommit.oid"), attrs(commit_sha=F.col("mergeCommit.oid"))),
+        entity(commits.select("c.oid").distinct(), "git_commit", F.col("oid"), F.col("oid"), attrs(commit_sha=F.col("oid"))), entity(p.filter("mergeCommit is not null"), "git_commit", F.col("mergeCommit.oid"), F.col("mergeCommit.oid"), attrs(commit_sha=F.col("mergeCommit.oid"))),
         entity(reviews, "github_review", review_key, review_key, attrs(id=F.col("r.id"), body_text=F.col("r.bodyText"))),
         entity(comments, "message", F.col("key"), F.col("key"), attrs(body_text=F.col("m.bodyText"))), entity(replies, "message", F.col("key"), F.col("key"), attrs(body_text=F.col("m.bodyText"))),
     )
