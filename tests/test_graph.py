@@ -1,6 +1,7 @@
 """Graph operators on small graphs with answers by hand, and against a plain search."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -179,3 +180,11 @@ def test_neighbours_among_some(spark, k, return_self):
     inc = graph.incidence(obs)
     want = sorted(tuple(x) for x in graph.neighbours(seeds, inc, k, return_self=return_self).collect() if x["id"] in (2, 3, 7, 11))
     assert want and sorted(tuple(x) for x in graph.neighbours(seeds, inc, k, return_self=return_self, among=some).collect()) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_degrees_are_counted_before_they_are_joined(spark):
+    from weftline.plans import graph_queries
+
+    plan = graph_queries.degrees(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("LeftSemi") < plan.find("Aggregate [id")

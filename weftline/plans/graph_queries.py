@@ -64,20 +64,24 @@ def activity_monthly_spine(spark, d):
     return targets.activity_monthly(inc(spark, d), fixture.persons(spark, d), "1995-01-01", "2001-08-31")
 
 
+def degrees(spark, d):
+    """(id, degree) of persons. Ends are counted first, in the tasks that read them, so that no join sorts a row an end."""
+    ends = obs(spark, d).select(F.explode(F.array("src_id", "dst_id")).alias("id"))
+    return ends.groupBy("id").agg(F.count("*").alias("degree")).join(people(spark, d), "id", "left_semi")
+
+
 @query(f"""{with_tables('entity', 'observation')},
 e AS (SELECT src_id AS id FROM observation UNION ALL SELECT dst_id FROM observation)
 SELECT e.id, count(*) AS degree FROM e JOIN entity USING (id) WHERE entity.type = 'person' GROUP BY e.id HAVING count(*) >= 10""")
 def degree_of_persons(spark, d):
-    ends = obs(spark, d).select(F.explode(F.array("src_id", "dst_id")).alias("id"))
-    return ends.join(people(spark, d), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree")).filter("degree >= 10")
+    return degrees(spark, d).filter("degree >= 10")
 
 
 @query(f"""{with_tables('entity', 'observation')},
 e AS (SELECT src_id AS id FROM observation UNION ALL SELECT dst_id FROM observation)
 SELECT e.id, count(*) AS degree FROM e JOIN entity USING (id) WHERE entity.type = 'person' GROUP BY e.id ORDER BY degree DESC, e.id LIMIT 20""")
 def degree_top(spark, d):
-    ends = obs(spark, d).select(F.explode(F.array("src_id", "dst_id")).alias("id"))
-    return ends.join(people(spark, d), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(20)
+    return degrees(spark, d).orderBy(F.desc("degree"), "id").limit(20)
 
 
 _gaps = """g AS (SELECT id, start, "end", CAST(floor((epoch_us("end") - epoch_us(start)) / 86400000000.0) AS BIGINT) AS days FROM (
