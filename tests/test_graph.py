@@ -186,5 +186,11 @@ def test_neighbours_among_some(spark, k, return_self):
 def test_degrees_are_counted_before_they_are_joined(spark):
     from weftline.plans import graph_queries
 
-    plan = graph_queries.degrees(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # as for tables too large to be broadcast; where they are not, Spark moves the join below the counts by itself
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = graph_queries.degrees(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert -1 < plan.find("LeftSemi") < plan.find("Aggregate [id")
