@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weftline.operators import graph, grids, samples, scorers
+from weftline.operators import graph, grids, samples, scorers, targets
 from weftline.plans import reports
 from weftline.sources import matrix
 
@@ -140,6 +140,14 @@ def test_random_windows_round_the_ends_of_a_span_as_their_sql_does(spark):
     assert pivots(500_000, 1_500_000) == pivots(0, 2_000_000)
 
 
+def test_windows_that_start_together_are_counted_each(spark):
+    obs = edges(spark)
+    windows = spark.createDataFrame([(10, k, T(2020, 1, 1), T(2020, 2, 1), T(2020, 4, 1)) for k in range(2)], "id long, draw long, start timestamp_ntz, pivot timestamp_ntz, end timestamp_ntz")
+    counts = targets.window_samples(obs, windows)
+    assert sorted((r.draw, r.n_in, r.n_out) for r in counts.collect()) == [(0, 1, 1), (1, 1, 1)]
+    assert "SortMergeJoin" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 # --- scorers
 
 

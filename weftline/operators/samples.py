@@ -26,7 +26,9 @@ def draw_of(*parts: Column) -> Column:
 
 def busy(inc: DataFrame, persons: DataFrame, least_degree: int = 100) -> DataFrame:
     """(id, degree, first, last): persons with as many ends of edges at least, and the times of their first and last one."""
-    return inc.join(persons.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"), F.min("time").alias("first"), F.max("time").alias("last")).filter(F.col("degree") >= least_degree)
+    # Ends are counted before the join, so that it sorts a row a busy node, not one an end.
+    ends = inc.groupBy("id").agg(F.count("*").alias("degree"), F.min("time").alias("first"), F.max("time").alias("last")).filter(F.col("degree") >= least_degree)
+    return ends.join(persons.select("id").distinct(), "id", "left_semi")
 
 
 def random_windows(inc: DataFrame, persons: DataFrame, draws: int, days: int, least_degree: int = 100, salt: int = 0) -> DataFrame:

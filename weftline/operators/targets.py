@@ -129,16 +129,18 @@ def sweep(persons: DataFrame, start: str, end: str, days: int) -> DataFrame:
 
 
 def window_samples(obs: DataFrame, windows: DataFrame, kind: str = "created") -> DataFrame:
-    """(id, start, n_in, n_out, target, weight): a person's edges of a kind before and from the pivot of each of its windows.
+    """(id, start, [more,] n_in, n_out, target, weight): a person's edges of a kind before and from the pivot of each of its windows.
 
     Samples need an edge before the pivot. target = min(0, (0.1 + out) / (0.1 + in) - 1), weight = 1 + in.
-    windows: (id, start, pivot, end), half-open.
+    windows: (id, start, pivot, end[, more]), half-open; what more they have (the number of a draw, say) tells windows apart.
     """
+    more = [c for c in windows.columns if c not in ("id", "start", "pivot", "end")]
     mine = obs.filter(F.col("type") == kind).select(F.col("src_id").alias("id"), "time")
-    met = mine.join(windows, "id").filter(in_window())
-    counted = met.groupBy("id", "start").agg(F.count_if(F.col("time") < F.col("pivot")).alias("n_in"), F.count_if(F.col("time") >= F.col("pivot")).alias("n_out")).filter("n_in > 0")
+    # A person has few windows, whatever its edges, so windows are looked up and edges pass by without a sort.
+    met = mine.join(windows.hint("shuffle_hash"), "id").filter(in_window())
+    counted = met.groupBy("id", "start", *more).agg(F.count_if(F.col("time") < F.col("pivot")).alias("n_in"), F.count_if(F.col("time") >= F.col("pivot")).alias("n_out")).filter("n_in > 0")
     target = F.least(F.lit(0.0), (0.1 + F.col("n_out")) / (0.1 + F.col("n_in")) - 1)
-    return counted.select("id", "start", "n_in", "n_out", target.alias("target"), (1 + F.col("n_in")).alias("weight"))
+    return counted.select("id", "start", *more, "n_in", "n_out", target.alias("target"), (1 + F.col("n_in")).alias("weight"))
 
 
 def in_window() -> Column:

@@ -109,8 +109,7 @@ c AS (SELECT w.id, w.draw, count(*) FILTER (o.time < w.mid) AS n_in, count(*) FI
 SELECT id, draw, n_in, n_out, round(least(0, (0.1 + n_out) / (0.1 + n_in) - 1), 9) AS target, 1 + n_in AS weight,
   CASE WHEN h < 90 THEN 'train' WHEN h < 95 THEN 'validate' ELSE 'test' END AS part FROM (SELECT *, CAST('0x' || substr(md5('0:' || id), 1, 8) AS BIGINT) % 100 AS h FROM c WHERE n_in > 0)""")
 def random_window_samples(spark, d):
-    windows = random_spans(spark, d)
-    rows = targets.window_samples(graph_queries.obs(spark, d), windows, "committed").join(windows.select("id", "draw", "start"), ["id", "start"])
+    rows = targets.window_samples(graph_queries.obs(spark, d), random_spans(spark, d), "committed")
     return targets.split(rows, "id", {"train": 90, "validate": 5, "test": 5}).select("id", "draw", "n_in", "n_out", F.round("target", 9).alias("target"), "weight", "part")
 
 
