@@ -219,6 +219,22 @@ def test_joint_density_splits_good_and_bad(spark):
     assert all(s is None or math.isclose(s, c / o) for s, c, o in zip(got[2, 1].share, got[2, 1].curve, got[2, 2].curve, strict=True)) and sum(got[3, 1].curve) == 0
 
 
+def test_joint_density_totals_are_sums_of_curves(spark):
+    r = np.random.default_rng(4)
+    members = spark.createDataFrame([(int(a), f"p{b}") for a, b in zip(r.integers(0, 12, 150), r.integers(0, 60, 150), strict=True)], "person long, project string")
+    projects = spark.createDataFrame([(f"p{k}", T(1999, 6, 1) + dt.timedelta(days=70 * k), k % 3 == 0) for k in range(60)], "project string, time timestamp_ntz, good boolean")
+    rows = reports.joint_density(members, projects, "2000-01-01", "2010-01-01", least_share=0)
+    got = rows.collect()
+    assert len({(x.a, x.b) for x in got}) == len(got) > 100 and any(x.a != x.b and x.n == 1 for x in got) and any(x.a != x.b and x.n > 2 for x in got)
+    for x in got:
+        assert math.isclose(x.total, sum(x.curve), abs_tol=1e-9) and math.isclose(x.total_good, sum(x.good), abs_tol=1e-9)
+        best = max((s for s in x.share if s is not None), default=None) if sum(x.curve) else None
+        assert x.most == best or math.isclose(x.most, best)
+    # rows of pairs are dealt once, by a
+    plan = rows.select("a", "b", "most")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(a" in x and ", b#" in x]
+
+
 def test_matrix_round_trip(spark, tmp_path):
     r = np.random.default_rng(2)
     rows = [(f"n{a}", f"n{b}", float(v)) for a, b, v in zip(r.integers(0, 60, 300), r.integers(0, 60, 300), r.integers(1, 9, 300), strict=True)]
