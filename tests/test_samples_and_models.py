@@ -235,6 +235,15 @@ def test_joint_density_totals_are_sums_of_curves(spark):
     assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(a" in x and ", b#" in x]
 
 
+def test_matrix_entries_are_dealt_once_and_read_in_one_pass(spark, tmp_path):
+    entries = spark.createDataFrame([("x", "y", 1.0), ("y", "z", 2.0)], "a string, b string, value double")
+    index = spark.createDataFrame([("x", 0), ("y", 1), ("z", 2)], "name string, i long")
+    plan = matrix.blocks(entries, index)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning(block") == 1 and "Exchange hashpartitioning(i#" not in plan and "Exchange hashpartitioning(block" not in plan
+    matrix.write(entries, str(tmp_path / "m"))
+    assert "slice(" not in matrix.read(spark, str(tmp_path / "m"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_matrix_round_trip(spark, tmp_path):
     r = np.random.default_rng(2)
     rows = [(f"n{a}", f"n{b}", float(v)) for a, b, v in zip(r.integers(0, 60, 300), r.integers(0, 60, 300), r.integers(1, 9, 300), strict=True)]
