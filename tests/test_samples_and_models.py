@@ -114,6 +114,14 @@ def test_sample_graphs(spark):
     assert samples.sample_edges(obs, windows.limit(0), 2).count() == 0
 
 
+def test_sample_edges_bring_their_ends_along(spark, monkeypatch):
+    plans, plain = {}, samples.staged
+    monkeypatch.setattr(samples, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and plain(df, name))
+    windows = spark.createDataFrame([(10, T(2020, 1, 1), T(2020, 2, 1), T(2020, 4, 1))], "id long, start timestamp_ntz, pivot timestamp_ntz, end timestamp_ntz")
+    assert samples.sample_edges(edges(spark), windows, 2).count() == 6
+    assert not [x for x in plans["sample-edges"].split("\n") if "Join [obs_id" in x]
+
+
 def test_random_windows_are_the_same_again(spark):
     start = T(2020, 1, 1)
     rows = [(k, 1, "created", start + dt.timedelta(hours=k), 1 + (k % 3 == 0), 1000 + k) for k in range(400)]

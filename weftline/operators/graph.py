@@ -54,9 +54,9 @@ def _keys(seeds: DataFrame, by: Column | None) -> list[str]:
     return [c for c in ("start", "end") if c in seeds.columns] + ([] if by is None else ["by"])
 
 
-def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0, among: DataFrame | None = None, by: Column | None = None) -> DataFrame:
+def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0, among: DataFrame | None = None, by: Column | None = None, whole: bool = False) -> DataFrame:
     """(seed, [by,] id, other_id, obs_id, hop): each edge as often as a hop meets it, from the end that it is met at. among: (id)
-    to which the last hop, if not the first, goes; what it meets besides is left out."""
+    to which the last hop, if not the first, goes; what it meets besides is left out. whole: with time and dir of the edges."""
     windows, keys = _keys(seeds, None), _keys(seeds, by)
     frontier = seeds.select("seed", *windows, F.col("seed").alias("id")).distinct()
     edges = _bounded(inc, t_min, t_max)
@@ -73,7 +73,7 @@ def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sam
         if sample:
             drawn = Window.partitionBy("seed", *keys, "id").orderBy(F.md5(F.concat_ws(":", F.lit(f"{salt}:{hop}"), "id", "obs_id").cast("binary")), "obs_id")
             step = step.withColumn("_rank", F.row_number().over(drawn)).filter(F.col("_rank") <= sample)
-        new = step.select("seed", *keys, "id", "other_id", "obs_id", F.lit(hop).alias("hop"))
+        new = step.select("seed", *keys, "id", "other_id", "obs_id", F.lit(hop).alias("hop"), *(["time", "dir"] if whole else []))
         found = new if found is None else found.unionByName(new)
         if hop < k:
             # The seed itself is explored from the first hop on.

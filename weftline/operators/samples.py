@@ -52,9 +52,12 @@ def sample_edges(obs: DataFrame, windows: DataFrame, k: int, kind: str = "create
     wanted = targets.window_samples(obs, windows, kind).select("id", "start")
     seeds = windows.select(F.col("id").alias("seed"), "start", "end", "pivot").join(wanted.withColumnRenamed("id", "seed"), ["seed", "start"], "left_semi").distinct()
     seeds = staged(seeds, "sample-windows")
-    hops = graph.obs_hops(seeds.select(*KEYS), inc, k)
-    ends = obs.select(F.col("id").alias("obs_id"), F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "time")
-    return staged(hops.join(ends, "obs_id").join(seeds, KEYS), "sample-edges")
+    # Hops bring the ends and times of their edges along, so that edges are dealt once for all hops and not looked up again.
+    found = graph._steps(seeds.select(*KEYS), inc, k, whole=True)
+    out = F.col("dir") == "out"
+    ends = [F.when(out, F.col("id")).otherwise(F.col("other_id")).alias("src"), F.when(out, F.col("other_id")).otherwise(F.col("id")).alias("dst")]
+    each = found.select(*KEYS, "obs_id", "hop", *ends, "time").groupBy(*KEYS, "obs_id", "src", "dst", "time").agg(F.min("hop").alias("hop"))
+    return staged(each.join(seeds, KEYS), "sample-edges")
 
 
 def sample_nodes(edges: DataFrame, entity: DataFrame, terms: DataFrame, types: list[str]) -> DataFrame:
