@@ -92,7 +92,9 @@ def neighbours(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None,
     where it has an edge in the window. With among, (id), only those: hubs are then not spread out in the last hop. by: as
     for `obs_hops`."""
     keys = _keys(seeds, by)
-    ends = _steps(seeds, inc, k, t_min, t_max, among=among, by=by, **sampling).select("seed", *keys, F.explode(F.array("id", "other_id")).alias("id"), "hop")
+    # From the second hop on, an edge is met from a node that the hop before has brought: only its other end can be new.
+    ends = F.explode(F.when(F.col("hop") == 1, F.array("id", "other_id")).otherwise(F.array("other_id"))).alias("id")
+    ends = _steps(seeds, inc, k, t_min, t_max, among=among, by=by, **sampling).select("seed", *keys, ends, "hop")
     if among is not None:
         ends = ends.join(among.select("id"), "id", "left_semi")
     met = ends.groupBy("seed", *keys, "id").agg(F.min("hop").alias("hop"))
