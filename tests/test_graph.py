@@ -118,6 +118,32 @@ def test_components(spark, seed, limit, monkeypatch):
     assert graph.components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "steps"), [("pairs", 0), ("hubs", 0), ("random", 0), ("climbing", 1)])
+def test_components_take_star_steps_only_where_rounds_leave_most_edges(spark, monkeypatch, kind, steps):
+    r = random.Random(5)
+    edges = {
+        "pairs": [(2 * i, 2 * i + 1) for i in range(400)], "hubs": [(h, h + k) for h in (1000, 2000, 3000) for k in range(1, 200)] + [(1000, 2000), (5000, 3000)],
+        "random": [(r.randrange(900), r.randrange(900)) for _ in range(600)], "climbing": [(i, i + 1) for i in range(300)],
+    }[kind]
+    plain, taken = components._stars, []
+    monkeypatch.setattr(components, "FOREST_NODES", 40)
+    monkeypatch.setattr(components, "_stars", lambda work: taken.append(1) or plain(work))
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        a, b = top(x), top(y)
+        up[max(a, b)] = min(a, b)
+    # Dealt out, so that tasks join up little by themselves.
+    df = spark.createDataFrame(edges, "a long, b long").repartition(40)
+    rows = graph.components(df, spark.createDataFrame([(9999,), (edges[0][0],)], "id long")).collect()
+    assert sorted((x["id"], x["label"]) for x in rows) == sorted((x, top(x)) for x in [*up, 9999]) and len(taken) == steps
+
+
 def test_adjacent_events(spark):
     inc = graph.incidence(observations(spark, [(1, A, B, 1), (2, A, C, 1), (3, A, B, 9), (4, D, A, 8)]))
     r = graph.adjacent_events(spark.createDataFrame([(A,), (9,)], "id long"), inc, "2020-01-03", "2020-01-04").collect()

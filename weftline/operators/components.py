@@ -45,22 +45,38 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, vertices: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """(id, label) for every end of an edge (and every vertex, if given): label is the smallest id that is reachable.
 
-    Partitions first reduce their edges to forests. Where these have few edges, one task joins them up. Where not,
-    large-star and small-star steps alternate, each a min per node and an equi-join, until nothing changes; a path of
-    length n takes about log n rounds. A hub's rows are pre-aggregated by task and split by AQE's skew join; each round is
-    staged in the shared folder. Null ends and self loops add nothing but the node.
+    Partitions first reduce their edges to forests. Where these have few edges, one task joins them up. Where not, every
+    node joins its smallest neighbour, and the same goes on with the edges between those that were joined, until few are
+    left; groups of a few nodes and stars are done with after one round. Each round is staged in the shared folder. Null
+    ends and self loops add nothing but the node.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null")
     work = staged(pairs.mapInArrow(_forest, "a long, b long"), "components")
-    if work.count() <= FOREST_NODES // 2:
-        labels = staged(work.repartition(1).mapInArrow(_forest, "a long, b long"), "components")
-    else:
-        labels = work.select("a").distinct().join(_stars(work.filter("a <> b")), "a", "left").select("a", F.coalesce("b", "a").alias("b"))
-    labels = labels.withColumnsRenamed({"a": "id", "b": "label"})
+    labels = _joined(work, work.count()).withColumnsRenamed({"a": "id", "b": "label"})
     if vertices is None:
         return labels
-    alone = vertices.select(F.col(vertices.columns[0]).cast("long").alias("id")).filter("id is not null").distinct().join(labels, "id", "left_anti")
-    return labels.union(alone.select("id", F.col("id").alias("label")))
+    every = vertices.select(F.col(vertices.columns[0]).cast("long").alias("id")).filter("id is not null").distinct()
+    return every.join(labels, "id", "full").withColumn("label", F.coalesce("label", "id"))
+
+
+def _joined(work: DataFrame, n: int) -> DataFrame:
+    """(a, b) of each node of n edges (a self loop is one) and its smallest reachable node.
+
+    A round is a min per node and two equi-joins. What it leaves is joined up by the next, and every node then takes the label of
+    the node that it joined. Where over three quarters of the edges are left, as of paths that climb from one end to the other,
+    large-star and small-star steps do the rest.
+    """
+    if n <= FOREST_NODES // 2:
+        return staged(work.repartition(1).mapInArrow(_forest, "a long, b long"), "components")
+    both = work.union(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("b")), "components")
+    moved = work.filter("a <> b").join(up.select("a", F.col("b").alias("x")), "a").join(up.select(F.col("a").alias("b"), F.col("b").alias("y")), "b").filter("x <> y")
+    left = staged(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "components")
+    m = left.count()
+    if not m:
+        return up
+    rest = _stars(left) if 4 * m > 3 * n else _joined(left, m)
+    return up.join(rest.select(F.col("a").alias("b"), F.col("b").alias("label")), "b", "left").select("a", F.coalesce("label", "b").alias("b"))
 
 
 def _stars(work: DataFrame) -> DataFrame:
