@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import names
 from weftline.operators import fuse
-from weftline.plans import fusion_queries
+from weftline.plans import fixture, fusion_queries
 from weftline.sources import ingest, store
 
 T = dt.datetime(2020, 1, 1)
@@ -145,3 +145,22 @@ def test_every_rule_links_and_equals_plain_search(spark):
     assert got == {i: top(i) for i in got}
     part = {r.id_other: r.id_lowest for r in fusion_queries.fusion(spark, DATA).collect()}
     assert linked["similar"] - linked["name"] - linked["email"] and any(got[i] != part[i] for r in keyed for i in [r.id]) and any(got[c.id] != c.id for c in commits)
+
+
+def test_edges_get_merged_attrs_with_owners_here_and_there(spark):
+    obs = spark.createDataFrame([(1, 10, 20), (5, 10, 21), (6, 99, 20), (7, 20, 20), (9, 21, 10), (None, 10, 20)], "id long, src_id long, dst_id long")
+    fusion = spark.createDataFrame([(10, 10), (20, 10), (21, 21)], "id_other long, id_lowest long")
+    sources = spark.createDataFrame(
+        [(5, 0, {"a": "1", "b": "2"}), (5, 1, {"a": "null", "c": None}), (7, 0, {}), (8, 0, {"a": "3"}), (6, 0, {"a": "4"})], "owner long, src_id long, attrs map<string,string>"
+    )
+    got = {tuple(r)[:3]: r.attrs for r in fuse.fused_observation_attrs(obs, sources, fusion).collect()}
+    assert got == {(1, 10, 10): {}, (5, 10, 21): {"b": "2"}, (7, 10, 10): {}, (9, 21, 10): {}, (None, 10, 10): {}}
+    assert [r.attrs for r in fuse.fused_observation_attrs(obs, sources.limit(0), fusion).collect()] == [{}] * 5
+    assert {r.owner: r.attrs for r in fuse.merge_attrs(sources).collect()} == {5: {"b": "2"}, 6: {"a": "4"}, 7: {}, 8: {"a": "3"}}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_lines_are_numbered_once_for_edges_and_their_attributes(spark, monkeypatch):
+    plain, made = fixture.lines, []
+    monkeypatch.setattr(fixture, "lines", lambda *a: made.append(1) or plain(*a))
+    assert fusion_queries.fused_observation_attrs(spark, DATA).count() and fusion_queries.rebuilt_tables(spark, DATA).count() and len(made) == 2

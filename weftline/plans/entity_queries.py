@@ -73,7 +73,7 @@ def entity_contributors(spark, d):
 SELECT id, src_id, attrs FROM src""")
 def edge_contributors(spark, d):
     """All rows of attributes behind each edge that modifies a file."""
-    rows = entities.contributors(fixture.modified(spark, d), fusion_queries.line_sources(spark, d))
+    rows = entities.contributors(fixture.modified(spark, d), fusion_queries.line_sources(fixture.lines(spark, d)))
     return rows.select("id", "src_id", shown("attrs").alias("attrs"))
 
 
