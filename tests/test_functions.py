@@ -1,5 +1,7 @@
 """Columns on values with known results."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,14 @@ def test_split_message(spark):
     assert tuple(values(spark, text.split_message, ["text\nY wrote:\nmore"])[0]) == ("text\nY wrote:\nmore", "", "")
 
 
+def test_split_message_takes_time_in_proportion_to_lines(spark):
+    mail = "\n".join("> quoted" if k % 3 == 0 else f"line {k}" for k in range(12_000))
+    started = time.monotonic()
+    body, quote, sign = values(spark, text.split_message, [f"X wrote:\n{mail}\nThanks\nme"])[0]
+    assert body == "\n".join(f"line {k}" for k in range(12_000) if k % 3) and quote == "\n".join(["> quoted"] * 4000) and sign == "Thanks\nme"
+    assert time.monotonic() - started < 20
+
+
 def test_terms(spark):
     assert values(spark, lambda c: text.term_count(c, ["Foo", "foo bar", "native"]), ["foo bar FOO food native", None]) == [2, 0]
     assert values(spark, lambda c: text.term_examples(c, ["Foo", "foo bar"]), ["foo bar FOO food"]) == [["foo", "foo bar"]]

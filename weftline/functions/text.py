@@ -34,13 +34,21 @@ def split_message(text: Column) -> Column:
         ),
     )
     far = F.lit(2**31 - 1)
-    close = F.coalesce(F.array_min(F.transform(F.filter(marked, lambda m: m["closing"] & ~m["header"] & ~m["quote"]), lambda m: m["at"])), far)
-    start = F.coalesce(F.array_min(F.transform(F.filter(marked, lambda m: ~m["header"] & ~m["quote"] & ~m["attribution"] & (m["at"] < close)), lambda m: m["at"])), far)
-    kept = F.filter(marked, lambda m: ~m["header"] & ~(m["attribution"] & (m["at"] < start)))
-    part = lambda keep: strip(F.array_join(F.transform(F.filter(kept, keep), lambda m: m["text"]), "\n"))
-    return F.struct(
-        part(lambda m: ~m["quote"] & (m["at"] < close)).alias("body"), part(lambda m: m["quote"]).alias("quote"), part(lambda m: ~m["quote"] & (m["at"] >= close)).alias("sign")
-    )
+    at = lambda m: m["at"]
+    close = lambda marked: F.coalesce(F.array_min(F.transform(F.filter(marked, lambda m: m["closing"] & ~m["header"] & ~m["quote"]), at)), far)
+    start = lambda marked, end: F.coalesce(F.array_min(F.transform(F.filter(marked, lambda m: ~m["header"] & ~m["quote"] & ~m["attribution"] & (m["at"] < end)), at)), far)
+
+    def parts(kept: Column, end: Column) -> Column:
+        part = lambda keep: strip(F.array_join(F.transform(F.filter(kept, keep), lambda m: m["text"]), "\n"))
+        return F.struct(part(lambda m: ~m["quote"] & (m["at"] < end)).alias("body"), part(lambda m: m["quote"]).alias("quote"), part(lambda m: ~m["quote"] & (m["at"] >= end)).alias("sign"))
+
+    kept = lambda marked, first: F.filter(marked, lambda m: ~m["header"] & ~(m["attribution"] & (m["at"] < first)))
+    return once(marked, lambda m: once(close(m), lambda end: once(start(m, end), lambda first: once(kept(m, first), lambda k: parts(k, end)))))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value made once a row: what stands inside of a lambda is else made anew for each element."""
+    return F.transform(F.array(value), use)[0]
 
 
 def message_text(subject: Column, body: Column) -> Column:
