@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import graph, grids, samples, scorers, targets
 from weftline.plans import reports
@@ -87,6 +88,49 @@ def test_whole_grids_have_every_setting():
     assert [math.prod(map(len, g.values())) for g in (grids.BOOSTING, grids.FOREST)] == [432, 144]
 
 
+@pytest.mark.parametrize("kind", ["gbt", "forest"])
+def test_fits_see_every_row(spark, kind):
+    n = 12_000
+    one = {"n_estimators": [1], "learning_rate": [1.0], "min_samples_split": [2], "max_depth": [1], "max_features": [1]}
+    keep = one if kind == "gbt" else {k: v for k, v in one.items() if k != "learning_rate"}
+    df = spark.range(n).select("id", F.lit(0.0).alias("f1"), F.when(F.col("id") % 7 == 0, F.col("id") * 1.0).otherwise(1.0).alias("target"), F.when(F.col("id") < n // 2, "train").otherwise("test").alias("part"))
+    ((loss,),) = grids.fit_grid(df, "id", ["f1"], "target", kind, keep).select("loss").collect()
+    # one leaf: its value is the median (or near the mean) of all training rows, and the loss is over all test rows
+    y = np.array([k if k % 7 == 0 else 1.0 for k in range(n)])
+    plain = np.abs(y[n // 2 :] - 1).mean()
+    assert math.isclose(loss, plain, rel_tol=1e-9) if kind == "gbt" else math.isclose(loss, np.abs(y[n // 2 :] - y[: n // 2].mean()).mean(), rel_tol=0.02)
+
+
+def test_quantiles_are_exact(spark):
+    r = np.random.default_rng(8)
+    x = np.stack([r.integers(0, 9, 70_001), r.permutation(70_001)], 1)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in x], "a long, b long")
+    rank = [-(-len(x) * c // grids.BINS) - 1 for c in range(1, grids.BINS)]
+    assert grids.quantiles(df.repartition(5), ["a", "b"]) == {f: sorted({float(np.sort(x[:, k])[i]) for i in rank}) for k, f in enumerate("ab")}
+
+
+@pytest.mark.parametrize("n", [300, grids.PAIRED + 77])
+def test_counts_of_signs_and_of_two_features_give_the_same_trees(n):
+    r = np.random.default_rng(n)
+    bins, y, weight = r.integers(0, grids.BINS, (n, 3)), r.integers(-1, 2, n), r.integers(0, 2, n)
+    trees = [grids.Tree(bins, y.astype(float), weight.astype(float), 3, 6, 2, np.random.default_rng(1), signs=s) for s in (False, True)]
+    assert all(np.array_equal(a, b) for s, t in zip(trees[0].splits, trees[1].splits, strict=True) for a, b in zip(s, t, strict=True))
+    assert np.array_equal(trees[0].leaf, trees[1].leaf) and np.array_equal(trees[0].leaf, trees[0].leaves(bins)) and np.allclose(trees[0].gains, trees[1].gains)
+    kept = weight > 0
+    low = bins[kept, trees[0].splits[0][0][0]] <= trees[0].splits[0][1][0]
+    part = lambda s: y[kept][s].sum() ** 2 / s.sum()
+    assert math.isclose(trees[0].level_gains[0].sum(), part(low) + part(~low) - part(np.ones(len(low), bool)), rel_tol=1e-9)
+
+
+def test_depths_of_a_forest_are_one_fit():
+    r = np.random.default_rng(0)
+    x, y = r.integers(0, 32, (500, 4)), r.normal(size=500)
+    setting, parts = {"min_samples_split": 6, "max_features": 2}, ((x[:400], y[:400]), (x[400:], y[400:]))
+    for d, k, loss, importance in grids.fit_depths("forest", setting, [2, 3, 5], *parts, [4, 9]):
+        ((_, own, alone),) = grids.fit("forest", setting | {"max_depth": d}, *parts, [k])
+        assert math.isclose(own, loss, rel_tol=1e-9) and np.allclose(alone, importance)
+
+
 # --- samples
 
 
