@@ -166,6 +166,77 @@ def test_sample_edges_bring_their_ends_along(spark, monkeypatch):
     assert not [x for x in plans["sample-edges"].split("\n") if "Join [obs_id" in x]
 
 
+def some_graph(spark):
+    r = np.random.default_rng(11)
+    rows = [(k, 1, ("created", "modified")[int(r.integers(2))], T(2020, 1, 1) + dt.timedelta(days=int(r.integers(120))), int(a), int(b)) for k, (a, b) in enumerate(r.integers(0, 25, (90, 2)))]
+    obs = spark.createDataFrame(rows, "id long, batch_id long, type string, time timestamp_ntz, src_id long, dst_id long")
+    windows = [(i, T(2020, m, 1), T(2020, m, 15), T(2020, m + 1, 10)) for i in range(0, 12) for m in (1, 2)]
+    return rows, obs, windows, spark.createDataFrame(windows, "id long, start timestamp_ntz, pivot timestamp_ntz, end timestamp_ntz")
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_sample_edges_equal_a_plain_search(spark, k):
+    rows, obs, windows, df = some_graph(spark)
+    want = set()
+    for i, start, pivot, end in windows:
+        within = [r for r in rows if start <= r[3] < end]
+        if any(r[2] == "created" and r[4] == i and r[3] < pivot for r in within):
+            near, hops = {i}, {}
+            for hop in range(1, k + 1):
+                met = [r for r in within if r[4] in near or r[5] in near]
+                for r in met:
+                    hops.setdefault(r[0], hop)
+                near = near | {x for r in met for x in r[4:]}
+            want |= {(i, start, h, o) for o, h in hops.items()}
+    assert {(r.seed, r.start, r.hop, r.obs_id) for r in samples.dealt_edges(obs, df, k).collect()} == want and len(want) > 10
+
+
+def test_whole_samples_equal_their_parts_and_are_dealt_once(spark):
+    _, obs, _, windows = some_graph(spark)
+    entity = spark.createDataFrame([(i, ("git_commit", "file", "git_commit", None, "git_commit")[i % 5]) for i in range(24)], "id long, type string")
+    terms = spark.createDataFrame([(i, float(i)) for i in range(0, 25, 3)], "id long, terms double")
+    found = samples.dealt_edges(obs, windows, 2)
+    stored = samples.staged(found, "e")
+    nodes = samples.staged(samples.sample_nodes(stored, entity, terms, ["git_commit", "file"]), "n")
+    pairs = samples.sample_pairs(found)
+    of_nodes = nodes.select("seed", "start", "i", "id")
+    joined = stored.filter("time < pivot").join(of_nodes.withColumnsRenamed({"id": "src"}), ["seed", "start", "src"]).join(of_nodes.withColumnsRenamed({"id": "dst", "i": "j"}), ["seed", "start", "dst"])
+    want = {(r.seed, r.start, *p) for r in joined.collect() for p in ((r.i, r.j), (r.j, r.i))} | {(r.seed, r.start, r.i, r.i) for r in nodes.collect()}
+    got = [(r.seed, r.start, r.i, r.j) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+    whole = samples.whole_samples(found, entity, terms, ["git_commit", "file"])
+    parts = samples.as_arrays(nodes, samples.sample_pairs(stored), samples.sample_targets(stored, entity))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.select(whole.columns).collect())) and whole.count() > 3
+    # what is found is dealt by sample once; the arrays read the same rows twice and deal nodes again, after their types are known
+    dealt = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].split("\n") if "Exchange hashpartitioning(seed" in x]
+    assert [x for x in dealt(pairs) if "obs_id" in x.split("]")[0] or ", i#" in x] == [] and len([x for x in dealt(pairs) if "REPARTITION_BY_COL" in x]) == 1
+    whole.collect()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 1
+
+
+def test_ends_that_are_null_are_nodes_without_pairs(spark):
+    rows = [(1, 1, "created", T(2020, 1, 5), 10, 100), (2, 1, "modified", T(2020, 1, 6), 100, None)]
+    obs = spark.createDataFrame(rows, "id long, batch_id long, type string, time timestamp_ntz, src_id long, dst_id long")
+    windows = spark.createDataFrame([(10, T(2020, 1, 1), T(2020, 2, 1), T(2020, 4, 1))], "id long, start timestamp_ntz, pivot timestamp_ntz, end timestamp_ntz")
+    entity, terms = spark.createDataFrame([(10, "person"), (100, "git_commit")], "id long, type string"), spark.createDataFrame([(9, 1.0)], "id long, terms double")
+    found = samples.dealt_edges(obs, windows, 2)
+    assert [(r.i, r.id) for r in samples.sample_nodes(found, entity, terms, ["git_commit"]).orderBy("i").collect()] == [(0, 10), (1, 100), (2, None)]
+    assert sorted((r.i, r.j) for r in samples.sample_pairs(found).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)]
+    ((n, n_in),) = samples.whole_samples(found, entity, terms, ["git_commit"]).select("n_nodes", "n_in").collect()
+    assert (n, n_in) == (3, 1)
+
+
+def test_hops_deal_only_edges_that_they_can_start_from(spark):
+    rows = [(k, 1, "created", T(2020, 1, 2), 10 + k % 3, 100 + k) for k in range(9)] + [(20 + k, 1, "modified", T(2020, 1, 3), 100 + k, 900 + k) for k in range(9)]
+    inc = graph.incidence(spark.createDataFrame(rows, "id long, batch_id long, type string, time timestamp_ntz, src_id long, dst_id long"))
+    seeds = spark.createDataFrame([(10, T(2020, 1, 1), T(2020, 2, 1))], "seed long, start timestamp_ntz, end timestamp_ntz")
+    found = graph._steps(seeds, inc, 2, whole=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(x in plan for x in (">= 10)", "<= 10)", ">= 100)", "<= 106)"))
+    assert sorted((r.hop, r.obs_id) for r in found.collect()) == [(1, 0), (1, 3), (1, 6), (2, 20), (2, 23), (2, 26)]
+
+
 def test_random_windows_are_the_same_again(spark):
     start = T(2020, 1, 1)
     rows = [(k, 1, "created", start + dt.timedelta(hours=k), 1 + (k % 3 == 0), 1000 + k) for k in range(400)]

@@ -56,23 +56,33 @@ def _keys(seeds: DataFrame, by: Column | None) -> list[str]:
 
 def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sample: int = 0, salt: int = 0, among: DataFrame | None = None, by: Column | None = None, whole: bool = False) -> DataFrame:
     """(seed, [by,] id, other_id, obs_id, hop): each edge as often as a hop meets it, from the end that it is met at. among: (id)
-    to which the last hop, if not the first, goes; what it meets besides is left out. whole: with time and dir of the edges."""
+    to which the last hop, if not the first, goes; what it meets besides is left out. whole: with time and dir of the edges; each hop
+    then deals only edges between the least and the greatest id that it can start from, and leaves out those back to the seed."""
     windows, keys = _keys(seeds, None), _keys(seeds, by)
     frontier = seeds.select("seed", *windows, F.col("seed").alias("id")).distinct()
     edges = _bounded(inc, t_min, t_max)
     if by is not None:
         edges = edges.withColumn("by", by).filter("by is not null")
     found = explored = None
+    reach = _span(seeds, "seed") if whole else None
     for hop in range(1, k + 1):
         last = among is not None and not sample and hop == k > 1
         # Spark takes windows spread over few ids for few rows: what it would broadcast grows with the seeds.
         at = frontier.hint("merge") if windows else frontier
-        step = at.join(edges.join(among.select(F.col("id").alias("other_id")), "other_id", "left_semi") if last else edges, ["id", "by"] if by is not None and hop > 1 else "id")
+        if whole:
+            met = edges.filter(F.col("id").between(*reach))
+            reach = _span(met, "other_id") if hop < k else None
+        else:
+            met = edges
+        step = at.join(edges.join(among.select(F.col("id").alias("other_id")), "other_id", "left_semi") if last else met, ["id", "by"] if by is not None and hop > 1 else "id")
         if windows:
             step = step.filter(in_range(F.col("time"), *[F.col(c) if c in windows else None for c in ("start", "end")]))
         if sample:
             drawn = Window.partitionBy("seed", *keys, "id").orderBy(F.md5(F.concat_ws(":", F.lit(f"{salt}:{hop}"), "id", "obs_id").cast("binary")), "obs_id")
             step = step.withColumn("_rank", F.row_number().over(drawn)).filter(F.col("_rank") <= sample)
+        if whole and hop > 1:
+            # All edges of the seed are found by the first hop.
+            step = step.filter("not (other_id <=> seed)")
         new = step.select("seed", *keys, "id", "other_id", "obs_id", F.lit(hop).alias("hop"), *(["time", "dir"] if whole else []))
         found = new if found is None else found.unionByName(new)
         if hop < k:
@@ -87,6 +97,12 @@ def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sam
     return found
 
 
+def _span(df: DataFrame, column: str) -> tuple[int, int]:
+    """The least and the greatest of a column, (0, -1) where there is none."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return (0, -1) if low is None else (low, high)
+
+
 def neighbours(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, return_self: bool = False, among: DataFrame | None = None, by: Column | None = None, **sampling) -> DataFrame:
     """(seed, [by,] id, hop): ends of the edges within k hops, with the least hop. The seed itself only if return_self, and only
     where it has an edge in the window. With among, (id), only those: hubs are then not spread out in the last hop. by: as

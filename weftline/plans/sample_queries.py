@@ -34,7 +34,7 @@ def terms(spark, d):
 def edges(spark, d):
     """Two hops around every customer with an order before the pivot of a window of two years."""
     windows = targets.sweep(fixture.persons(spark, d), FIRST, LAST, DAYS)
-    return samples.sample_edges(graph_queries.obs(spark, d), windows, 2)
+    return samples.dealt_edges(graph_queries.obs(spark, d), windows, 2)
 
 
 def nodes(spark, d, found):
@@ -71,8 +71,7 @@ def sample_nodes(spark, d):
 
 @query(f"{_samples} SELECT seed, strftime(start, '%Y-%m-%d') AS start, i, j FROM z")
 def sample_pairs(spark, d):
-    found = edges(spark, d)
-    return day(samples.sample_pairs(found, staged(nodes(spark, d, found), "sample-nodes"))).drop("end")
+    return day(samples.sample_pairs(edges(spark, d))).drop("end")
 
 
 @query(f"""{_samples},
@@ -81,9 +80,7 @@ c AS (SELECT seed, start, string_agg(i, ',' ORDER BY i, j) AS i, string_agg(j, '
 SELECT b.seed, strftime(b.start, '%Y-%m-%d') AS start, n_nodes, type, root, terms, c.i, c.j, n_in, n_out, round(least(0, (0.1 + n_out) / (0.1 + n_in) - 1), 9) AS target, 1 + n_in AS weight
 FROM b JOIN c ON c.seed = b.seed AND c.start = b.start JOIN t ON t.seed = b.seed AND t.start = b.start""")
 def sample_graphs(spark, d):
-    found = edges(spark, d)
-    own = staged(nodes(spark, d, found), "sample-nodes")
-    rows = samples.as_arrays(own, samples.sample_pairs(found, own), samples.sample_targets(found, fixture.entities(spark, d)))
+    rows = samples.whole_samples(edges(spark, d), fixture.entities(spark, d).select("id", "type"), terms(spark, d), TYPES)
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
     return day(rows).drop("end").withColumns({c: listed(c) for c in ("type", "root", "terms", "i", "j")}).withColumn("target", F.round("target", 9))
 
