@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import components, graph, running, targets
+from weftline.plans import reports
 
 DAY0 = dt.datetime(2020, 1, 1)
 
@@ -220,3 +221,35 @@ def test_degrees_are_counted_before_they_are_joined(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert -1 < plan.find("LeftSemi") < plan.find("Aggregate [id")
+
+
+@pytest.mark.parametrize("case", ["plain", "shared ids"])
+def test_contributor_detail_yearly_equals_a_plain_search(spark, case):
+    r = random.Random(7)
+    # loops, parallel edges, edges between neighbours of a person, ids that several edges share, ids and ends that are null
+    edges = [(k, r.randrange(14), r.randrange(14), r.choice([5, 50, 400, 420, 800])) for k in range(60)] + [(90, 3, 3, 5), (91, None, 4, 5), (92, 3, None, 5)]
+    if case == "shared ids":
+        edges += [(k, r.randrange(14), r.randrange(14), r.choice([5, 400, 2000])) for k in range(0, 12)] + [(None, 2, 3, 5), (95, 1, 5, 50), (95, 1, 5, 50)]
+    people, kinds = [0, 1, 2, 3, 9], {i: "abc"[i % 3] for i in range(13)}
+    want = {}
+    for year in (2020, 2021):
+        within = [e for e in edges if (DAY0 + dt.timedelta(days=e[3])).year == year]
+        for seed in people:
+            near = {seed} | {x for e in within if seed in e[1:3] for x in e[1:3]}
+            ids = {e[0] for e in within if (near - {None}) & set(e[1:3])} - {None}
+            for i, s, d, _ in edges:
+                if i in ids and s in kinds and d in kinds:
+                    key = seed, year, f"{kinds[s]} -> {kinds[d]}"
+                    want[key] = want.get(key, 0) + 1
+    persons, typed = spark.createDataFrame([(i,) for i in people], "id long"), spark.createDataFrame(list(kinds.items()), "id long, type string")
+    got = reports.contributor_detail_yearly(persons, graph.incidence(observations(spark, edges)), typed, range(2020, 2022))
+    rows = got.collect()
+    assert {(x.seed, x.year, x.kind_pair): x.n for x in rows} == want and len(rows) == len(want) > 20
+
+
+def test_contributor_detail_yearly_lists_no_edge_a_person(spark):
+    inc = graph.incidence(observations(spark, [(1, 1, 10, 5), (2, 2, 10, 5), (3, 10, 20, 6), (4, 10, 21, 400)]))
+    persons, kinds = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, "p"), (2, "p"), (10, "w"), (20, "f"), (21, "f")], "id long, type string")
+    got = reports.contributor_detail_yearly(persons, inc, kinds, range(2020, 2022))
+    assert "obs_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 2020, "p -> w", 2), (1, 2020, "w -> f", 1), (2, 2020, "p -> w", 2), (2, 2020, "w -> f", 1)]

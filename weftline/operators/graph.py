@@ -64,14 +64,14 @@ def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sam
     if by is not None:
         edges = edges.withColumn("by", by).filter("by is not null")
     found = explored = None
-    reach = _span(seeds, "seed") if whole else None
+    reach = span(seeds, "seed") if whole else None
     for hop in range(1, k + 1):
         last = among is not None and not sample and hop == k > 1
         # Spark takes windows spread over few ids for few rows: what it would broadcast grows with the seeds.
         at = frontier.hint("merge") if windows else frontier
         if whole:
             met = edges.filter(F.col("id").between(*reach))
-            reach = _span(met, "other_id") if hop < k else None
+            reach = span(met, "other_id") if hop < k else None
         else:
             met = edges
         step = at.join(edges.join(among.select(F.col("id").alias("other_id")), "other_id", "left_semi") if last else met, ["id", "by"] if by is not None and hop > 1 else "id")
@@ -97,7 +97,7 @@ def _steps(seeds: DataFrame, inc: DataFrame, k: int, t_min=None, t_max=None, sam
     return found
 
 
-def _span(df: DataFrame, column: str) -> tuple[int, int]:
+def span(df: DataFrame, column: str) -> tuple[int, int]:
     """The least and the greatest of a column, (0, -1) where there is none."""
     low, high = df.agg(F.min(column), F.max(column)).first()
     return (0, -1) if low is None else (low, high)
