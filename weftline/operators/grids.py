@@ -1,7 +1,7 @@
 """Grids of tree ensembles: every setting fitted, losses and feature importances side by side.
 
 Features are binned once, by exact quantiles over all rows, and every fit sees every row: the training part as bytes of bins
-and a target, the test part in the same way, some 17 bytes a row for each task. Settings that differ only in the number of
+and a target, the test part in the same way, some 16 bytes a row for each task. Settings that differ only in the number of
 trees are one fit, read off after each of their counts; forests that differ only in depth are one fit too, as the trees of
 the lesser depth are the first levels of the deeper ones. A setting that tries more features than there are tries
 all of them. The fits are dealt to tasks. Draws come from a generator seeded by what fits share, so a repeated task gives the same trees.
